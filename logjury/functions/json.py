@@ -1,9 +1,11 @@
 """Strict JSON objects as ``map<string,string>`` columns.
 
-A line is parsed once, as the first item of ``[line, {sentinel}]``: trailing text, a second
-value or an early closing bracket all break that shape, so only a whole object passes. Values
-are kept as text; JSON null is a present key with a NULL value. The variant type is consulted
-only for values whose text alone does not tell the JSON kind.
+A payload is parsed once. Its closing brace is moved behind one more member that holds a hash of
+the payload: only if the text is one whole object does the parser reach that member on the top
+level, so trailing text, a second value or a missing brace all show. (The hash is the value, not
+the name: the JSON parser keeps every member name it has seen.) Values are kept as text;
+JSON null is a present key with a NULL value. The variant type is consulted only for values
+whose text alone does not tell the JSON kind.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 
 from logjury.functions.text import last_wins_map, let, none_if_empty, strip_start
 
+# Member name outside the characters meant for interchange.
+_MARK = "\ufdd0end"
+
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 # Text that may be a nested value, a float in scientific form or an integer beyond 64 bits.
@@ -61,18 +66,38 @@ def first_field(members: Column, *keys: str) -> Column:
     return none_if_empty(F.coalesce(*[members[key] for key in keys]))
 
 
+def object_mark(payload: Column) -> Column:
+    """Value of the extra member; a payload cannot be expected to hold its own hash."""
+    return F.xxhash64(payload).cast("string")
+
+
+def parse_marked(payload: Column, mark: Column) -> Column:
+    """Members of the payload and the mark; without the mark the payload is no whole object."""
+    body = F.rtrim(payload, F.lit(" \t\r\n"))
+    closed = F.endswith(body, F.lit("}")) & looks_like_object(payload)
+    empty = payload.rlike(r"(?U)^\s*+\{[ \t\r\n]*+\}[ \t\r\n]*+\z")
+    inside = F.substring(body, F.lit(1), F.length(body) - 1)
+    start = F.when(F.startswith(payload, F.lit("{")), inside).otherwise(strip_start(inside))
+    joint = F.when(empty, F.lit(f'"{_MARK}":"')).otherwise(F.lit(f',"{_MARK}":"'))
+    text = F.concat(start, joint, mark, F.lit('"}'))
+    return F.from_json(F.when(closed, text), "map<string,string>", _STRICT)
+
+
+def without_mark(parsed: Column, mark: Column) -> Column:
+    """Members of a whole object, NULL for anything else."""
+    last = F.lit(-1)
+    whole = (F.try_element_at(F.map_keys(parsed), last) == _MARK) & (
+        F.try_element_at(F.map_values(parsed), last) == mark
+    )
+    return F.when(whole, F.map_filter(parsed, lambda key, _: key != _MARK))
+
+
 def open_object(payload: Column) -> Column:
     """Members of a payload that is exactly one JSON object, else NULL."""
-    body = F.when(F.startswith(payload, F.lit("{")), payload).when(
-        payload.rlike(r"(?U)^\s+\{"), strip_start(payload)
-    )
-    mark = F.xxhash64(payload).cast("string")
-    wrapped = F.concat(F.lit("["), body, F.lit(',{"'), mark, F.lit('":""}]'))
-    items = F.from_json(wrapped, "array<map<string,string>>", _STRICT)
     return let(
-        items,
-        lambda pair: F.when(
-            (F.size(pair) == 2) & (F.get(pair, F.lit(1))[mark] == ""), F.get(pair, F.lit(0))
+        object_mark(payload),
+        lambda mark: let(
+            parse_marked(payload, mark), lambda parsed: without_mark(parsed, mark)
         ),
     )
 
@@ -99,11 +124,9 @@ def text_map(payload: Column, members: Column) -> Column:
 
 def unique_members(members: Column) -> Column:
     """Parsed members with the last value of every repeated key."""
-    return let(
-        F.map_keys(members),
-        lambda keys: F.when(F.size(F.array_distinct(keys)) == F.size(keys), members).otherwise(
-            last_wins_map(keys, F.map_values(members))
-        ),
+    distinct = F.size(F.array_distinct(F.map_keys(members))) == F.size(members)
+    return F.when(distinct, members).otherwise(
+        last_wins_map(F.map_keys(members), F.map_values(members))
     )
 
 

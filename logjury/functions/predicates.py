@@ -113,7 +113,7 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
         "s STRING",
         "STRING",
         f"CASE WHEN NOT contains(s, '.') THEN lower(s) "
-        f"WHEN s RLIKE r'^[0-9a-fA-F:]*+:{_V4}\\z' THEN concat("
+        f"WHEN s RLIKE r'^[0-9a-fA-F:]*:{_V4}\\z' THEN concat("
         f"lower(regexp_extract(s, r'^(.*:)', 1)), "
         f"lower(concat({_hex_pair('''regexp_extract(s, r'([^:]*)\\z', 1)''', 1)}, ':', "
         f"{_hex_pair('''regexp_extract(s, r'([^:]*)\\z', 1)''', 3)}))) END",

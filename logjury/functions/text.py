@@ -65,9 +65,10 @@ def upper_ascii(text: Column) -> Column:
 
 def level_name(level: Column) -> Column:
     """Trim, lower-case and spell out the short level names."""
-    return let(
-        lower_ascii(strip(level)),
-        lambda name: F.coalesce(literal_map(LEVEL_SHORT_FORMS)[name], name),
+    spelled = [name for name in LEVEL_TOKENS if name not in LEVEL_SHORT_FORMS]
+    name = lower_ascii(strip(level))
+    return F.when(level.isin(spelled), level).otherwise(
+        F.coalesce(literal_map(LEVEL_SHORT_FORMS)[name], name)
     )
 
 

@@ -9,7 +9,6 @@ from logjury.functions.json import JsonObject, first_field, text_map
 from logjury.functions.text import (
     empty_map,
     let,
-    level_name,
     literal_map,
     lower_ascii,
     overlay_map,
@@ -83,9 +82,9 @@ def api_timestamp(obj: JsonObject) -> Column:
 def api_level(obj: JsonObject) -> Column:
     outcome = obj.field("outcome")
     return F.coalesce(
-        level_name(obj.field("level", "status")),
+        obj.field("level", "status"),
         literal_map(OUTCOME_LEVELS)[lower_ascii(outcome)],
-        level_name(outcome),
+        outcome,
     )
 
 
@@ -187,4 +186,4 @@ def records(line: Line) -> Column:
     )
 
 
-PROVIDER = Provider(DESCRIPTORS, takes_json=takes, json=records, prepare=objects)
+PROVIDER = Provider(DESCRIPTORS, takes_json=takes, json=records, prepare=(objects,))

@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 from logjury.functions.text import (
     is_level_token,
     last_wins_map,
-    let,
-    level_name,
     lower_ascii,
     strip,
     strip_line_end,
     strip_start,
 )
 from logjury.operators.records import only, passthrough, record
-from logjury.schema import RECORD
 from logjury.sources.registry import APPLICATION, Descriptor, Line, Provider
 
 # Field names in order of preference.
@@ -58,30 +55,30 @@ _PAIR = (
 _STARTS_WITH_PAIR = r"^[ \t\n\f\r]*+[^ \t\n\f\r=]++="
 
 
-def infer_source(requested: Column, service: Column, payload: Column) -> Column:
-    """The named source, or the first whose word occurs in the service name or payload."""
+def source_from_words(text: Column) -> Column:
+    """First source one of whose words occurs in a lower-case text."""
+    found = F.lit(FALLBACK_SOURCE)
+    for name, words in reversed(SOURCE_WORDS.items()):
+        hit = F.contains(text, F.lit(words[0]))
+        for word in words[1:]:
+            hit = hit | F.contains(text, F.lit(word))
+        found = F.when(hit, F.lit(name)).otherwise(found)
+    return found
 
-    def by_word(text: Column) -> Column:
-        found = F.lit(FALLBACK_SOURCE)
-        for name, words in reversed(SOURCE_WORDS.items()):
-            hit = F.contains(text, F.lit(words[0]))
-            for word in words[1:]:
-                hit = hit | F.contains(text, F.lit(word))
-            found = F.when(hit, F.lit(name)).otherwise(found)
-        return found
 
-    text = lower_ascii(F.concat_ws(" ", service, payload))
-    return F.when(requested != "auto", requested).otherwise(let(text, by_word))
+def infer_source(requested: Column, lower_text: Column) -> Column:
+    """The named source; in auto mode the one the service name or payload points to."""
+    return F.when(requested != "auto", requested).otherwise(source_from_words(lower_text))
 
 
 def json_records(line: Line) -> Column:
     field = line.object.field
-    service = field(*SERVICE_FIELDS)
+    service = line.prepared["service"]
     return only(
         record(
-            source=infer_source(line.requested, service, F.lit("")),
+            source=infer_source(line.requested, line.prepared["lower_service"]),
             timestamp=field(*TIME_FIELDS),
-            level=level_name(field(*LEVEL_FIELDS)),
+            level=field(*LEVEL_FIELDS),
             service=service,
             message=strip_line_end(F.coalesce(field(*MESSAGE_FIELDS), F.lit(""))),
             attributes=passthrough(
@@ -108,109 +105,119 @@ def bracketed(line: Line) -> Column:
         record(
             source=source,
             timestamp=part(1),
-            level=level_name(part(3)),
+            level=part(3),
             service=part(2),
             message=strip(part(4)),
         ),
     )
 
 
-def pairs(payload: Column) -> Column:
-    """Leading key=value pairs as a map; quoted values lose their quotes, the last key wins."""
-
-    def unquote(raw: Column) -> Column:
-        # The first quote opens; a quote closes only if it is not the escaped last character.
-        body = F.regexp_replace(raw, r'(?s)^"((?:[^"\\]++|\\.)*+)"\z', "$1")
-        inner = F.when(body == raw, F.substring(raw, F.lit(2), F.length(raw))).otherwise(body)
-        return F.when(F.startswith(raw, F.lit('"')), F.replace(inner, F.lit('\\"'), F.lit('"'))).otherwise(
-            raw
-        )
-
-    keys = F.regexp_extract_all(payload, F.lit(_PAIR), F.lit(1))
-    values = F.transform(F.regexp_extract_all(payload, F.lit(_PAIR), F.lit(2)), unquote)
-    return let(
-        F.struct(keys.alias("k"), values.alias("v")), lambda kv: last_wins_map(kv["k"], kv["v"])
-    )
+def unquote(raw: Column) -> Column:
+    """Value of a pair: quotes go, and of the escapes only the escaped quote is resolved."""
+    # The first quote opens; the last character closes only if it is an unescaped quote.
+    closed = raw.rlike(r'(?s)^"[^"\\]*+(?:\\.[^"\\]*+)*+"\z')
+    open_end = F.substring(raw, F.lit(2), F.length(raw))
+    inner = F.when(closed, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(open_end)
+    return F.when(
+        F.startswith(raw, F.lit('"')), F.replace(inner, F.lit('\\"'), F.lit('"'))
+    ).otherwise(raw)
 
 
 def key_value(line: Line) -> Column:
     """key=value text; NULL unless a message, level or time key is among the pairs."""
+    found = line.prepared["pairs"]
+    known = F.map_contains_key(found, PAIR_REQUIRED[0])
+    for key in PAIR_REQUIRED[1:]:
+        known = known | F.map_contains_key(found, key)
 
-    def build(found: Column) -> Column:
-        known = F.lit(False)
-        for key in PAIR_REQUIRED:
-            known = known | F.map_contains_key(found, key)
-
-        def first(keys: list[str]) -> Column:
-            return F.coalesce(*[found[key] for key in keys])
-
-        consumed = [*PAIR_MESSAGE, *PAIR_TIME, *PAIR_LEVEL, *PAIR_SERVICE]
-        return F.when(
-            known,
-            record(
-                source=unstructured_source(line.requested),
-                timestamp=first(PAIR_TIME),
-                level=level_name(first(PAIR_LEVEL)),
-                service=first(PAIR_SERVICE),
-                message=F.coalesce(first(PAIR_MESSAGE), line.payload),
-                attributes=passthrough(found, consumed),
-            ),
-        )
+    def first(keys: list[str]) -> Column:
+        return F.coalesce(*[found[key] for key in keys])
 
-    return F.when(line.payload.rlike(_STARTS_WITH_PAIR), let(pairs(line.payload), build))
+    return F.when(
+        known,
+        record(
+            source=unstructured_source(line.requested),
+            timestamp=first(PAIR_TIME),
+            level=first(PAIR_LEVEL),
+            service=first(PAIR_SERVICE),
+            message=F.coalesce(first(PAIR_MESSAGE), line.payload),
+            attributes=passthrough(
+                found, [*PAIR_MESSAGE, *PAIR_TIME, *PAIR_LEVEL, *PAIR_SERVICE]
+            ),
+        ),
+    )
 
 
 def looks_like_time(token: Column) -> Column:
     """RFC 3339 shape by byte position; digits are not checked."""
     as_bytes = F.decode(F.encode(token, "UTF-8"), "ISO-8859-1")
     shape = r"(?s)^.{4}-.{2}-.{2}[Tt ].{2}:.{2}:.{3}"
-    return F.coalesce(
-        F.when(F.length(token) == F.octet_length(token), token).otherwise(as_bytes).rlike(shape),
-        F.lit(False),
-    )
+    ascii_only = F.length(token) == F.octet_length(token)
+    return F.when(ascii_only, token.rlike(shape)).otherwise(as_bytes.rlike(shape))
 
 
 def plain(line: Line) -> Column:
     """Optional leading time and level tokens; the rest is the message."""
-    token = F.regexp_extract(line.payload, r"(?U)^(\S*+)\s", 1)
-
-    def after_time(parts: Column) -> Column:
-        timed = looks_like_time(parts["token"])
-        rest = F.when(
-            timed, strip_start(F.substring(line.payload, F.length(parts["token"]) + 1, F.length(line.payload)))
-        ).otherwise(line.payload)
-        return let(
-            F.struct(F.when(timed, parts["token"]).alias("timestamp"), rest.alias("rest")), after_level
-        )
+    found = line.prepared
+    leveled = is_level_token(found["word"])
+    message = F.when(
+        leveled, F.regexp_replace(found["rest"], r"(?U)^\s*+\S++", "")
+    ).otherwise(found["rest"])
+    return record(
+        source=unstructured_source(line.requested),
+        timestamp=found["time"],
+        level=F.when(leveled, found["word"]),
+        message=strip(message),
+    )
 
-    def after_level(parts: Column) -> Column:
-        rest = parts["rest"]
-        word = F.regexp_extract(rest, r"(?U)^\s*+(\S++)\s", 1)
-        level = F.regexp_replace(word, r"^[\[\]:]+|[\[\]:]+\z", "")
-        return let(
-            F.struct(F.when(is_level_token(level), level).alias("level"), rest.alias("rest")),
-            lambda it: record(
-                source=unstructured_source(line.requested),
-                timestamp=parts["timestamp"],
-                level=level_name(it["level"]),
-                message=F.when(
-                    it["level"].isNotNull(),
-                    strip(F.regexp_replace(it["rest"], r"(?U)^\s*+\S++", "")),
-                ).otherwise(strip(it["rest"])),
-            ),
-        )
 
-    return let(F.struct(token.alias("token")), after_time)
+def text_records(line: Line) -> Column:
+    return only(F.coalesce(bracketed(line), key_value(line), plain(line)))
 
 
-def text_records(line: Line) -> Column:
-    return only(
-        F.coalesce(
-            bracketed(line).cast(RECORD), key_value(line).cast(RECORD), plain(line).cast(RECORD)
-        )
+def scan(line: Line) -> Column:
+    """Step 1: the service of an object; pairs and the first word of a text."""
+    has_pairs = ~line.is_json & line.payload.rlike(_STARTS_WITH_PAIR)
+    return F.struct(
+        F.when(line.is_json, line.object.field(*SERVICE_FIELDS)).alias("service"),
+        F.when(has_pairs, F.regexp_extract_all(line.payload, F.lit(_PAIR), F.lit(1))).alias("keys"),
+        F.when(has_pairs, F.regexp_extract_all(line.payload, F.lit(_PAIR), F.lit(2))).alias("values"),
+        F.when(~line.is_json, F.regexp_extract(line.payload, r"(?U)^(\S*+)\s", 1)).alias("word"),
+    )
+
+
+def split_time(line: Line) -> Column:
+    """Step 2: the service in lower case; pairs as a map; time and rest of a text."""
+    found = line.prepared
+    word = found["word"]
+    timed = looks_like_time(word)
+    after = F.substring(line.payload, F.length(word) + 1, F.length(line.payload))
+    return F.struct(
+        found["service"].alias("service"),
+        F.when(line.is_auto, lower_ascii(found["service"])).alias("lower_service"),
+        F.when(
+            found["keys"].isNotNull(),
+            last_wins_map(found["keys"], F.transform(found["values"], unquote)),
+        ).alias("pairs"),
+        F.when(timed, word).alias("time"),
+        F.when(timed, strip_start(after)).when(word.isNotNull(), line.payload).alias("rest"),
+    )
+
+
+def split_level(line: Line) -> Column:
+    """Step 3: the word of a text that may be its level."""
+    found = line.prepared
+    word = F.regexp_extract(found["rest"], r"(?U)^\s*+(\S++)\s", 1)
+    carried = [found[name].alias(name) for name in ("service", "lower_service", "pairs", "time", "rest")]
+    return F.struct(
+        *carried, F.regexp_replace(word, r"^[\[\]:]++|[\[\]:]++\z", "").alias("word")
     )
 
 
 PROVIDER = Provider(
-    DESCRIPTORS, takes_json=lambda line: F.lit(True), json=json_records, text=text_records
+    DESCRIPTORS,
+    takes_json=lambda line: F.lit(True),
+    json=json_records,
+    text=text_records,
+    prepare=(scan, split_time, split_level),
 )

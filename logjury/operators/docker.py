@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logjury.functions.json import JsonObject
 from logjury.functions.text import empty_map, overlay_map
-from logjury.operators.application import SERVICE_FIELDS, infer_source
+from logjury.operators.application import SERVICE_FIELDS
 from logjury.operators.records import passthrough
 from logjury.sources.registry import TRANSPORT, Descriptor, Line, Provider
 
@@ -24,8 +24,9 @@ def inner_payload(obj: JsonObject) -> Column:
     return F.coalesce(obj.field("log"), F.lit(""))
 
 
-def inner_source(line: Line, payload: Column) -> Column:
-    return infer_source(line.requested, line.object.field(*SERVICE_FIELDS), payload)
+def source_text(line: Line, payload: Column) -> Column:
+    """Where the source of the payload is looked for: the service name and the text itself."""
+    return F.when(line.is_auto, F.concat_ws(" ", line.object.field(*SERVICE_FIELDS), payload))
 
 
 def overlay(obj: JsonObject) -> Column:

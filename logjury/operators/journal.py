@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logjury.functions.text import level_name, literal_map, strip_line_end, strip_slashes
+from logjury.functions.text import literal_map, strip_line_end, strip_slashes
 from logjury.operators.records import only, passthrough, record
 from logjury.sources.registry import JOURNAL, Descriptor, Line, Provider
 
@@ -36,7 +36,7 @@ def journal_source(line: Line) -> Column:
 
 def priority_level(priority: Column) -> Column:
     known = literal_map({str(i): name for i, name in enumerate(PRIORITIES)})
-    return F.coalesce(known[priority], level_name(priority))
+    return F.coalesce(known[priority], priority)
 
 
 def records(line: Line) -> Column:

@@ -7,16 +7,32 @@ filters on record fields stay above it, so nothing is parsed twice.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import replace
 from functools import lru_cache
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logjury.functions.json import JsonObject, looks_like_object, open_object, text_map
-from logjury.functions.text import empty_map, is_blank, let, overlay_map, strip_line_end
+from logjury.functions.json import (
+    JsonObject,
+    looks_like_object,
+    object_mark,
+    open_object,
+    parse_marked,
+    text_map,
+    without_mark,
+)
+from logjury.functions.text import (
+    is_blank,
+    let,
+    level_name,
+    lower_ascii,
+    overlay_map,
+    strip_line_end,
+)
 from logjury.operators import api, application, docker, journal
+from logjury.operators.application import infer_source
 from logjury.operators.records import record
 from logjury.schema import RECORDS, SCHEMA_TAG
 from logjury.session import prepare
@@ -25,20 +41,6 @@ from logjury.sources.registry import Line, Registry
 BUILTIN = Registry((docker.PROVIDER, journal.PROVIDER, api.PROVIDER, application.PROVIDER))
 
 
-@dataclass(frozen=True)
-class _State:
-    """Columns that describe the payload currently being looked at."""
-
-    payload: Column
-    members: Column
-    requested: Column
-    provider: Column
-
-    @property
-    def line(self) -> Line:
-        return Line(self.requested, self.payload, JsonObject(self.payload, self.members))
-
-
 def normalize(
     lines: DataFrame,
     line: str = "value",
@@ -79,23 +81,10 @@ def normalize(
         requested.alias("requested"),
         unknown.alias("unknown"),
     )
-    steps = _expressions(lines.sparkSession.sparkContext, registry, first_only)
-    parsed = cleaned.withColumn("members", steps.opened).withColumn("members", steps.members)
-    parsed = parsed.withColumn("parse_error", F.coalesce("unknown", _malformed()))
-    routed = parsed.withColumn(
-        "provider", F.when(F.col("parse_error").isNull(), steps.provider)
-    )
-    inner = F.col("inner")
-    prepared = routed.withColumn("inner", steps.inner).withColumns(steps.prepared)
-    built = prepared.withColumn("records", steps.records).select(
-        "ord",
-        *carried,
-        "parse_error",
-        inner["over"].alias("over"),
-        inner["time"].alias("outer_time"),
-        inner["wrapped"].alias("wrapped"),
-        _at_least_one(inner).alias("records"),
-    )
+    staged = cleaned
+    for step in _steps(lines.sparkSession.sparkContext, registry, first_only):
+        staged = staged.withColumns(step)
+    built = staged.select("ord", *carried, "parse_error", "over", "time", "wrapped", "records")
     failure = F.col("parse_error").isNotNull()
     if mode == "failfast":
         # The check sits in the explode input, so no later projection can skip it.
@@ -105,7 +94,7 @@ def normalize(
     else:
         records = F.when(failure, F.array(F.lit(None)).cast(RECORDS)).otherwise(F.col("records"))
     exploded = built.select(
-        "ord", *carried, "parse_error", "over", "outer_time", "wrapped",
+        "ord", *carried, "parse_error", "over", "time", "wrapped",
         F.posexplode(records).alias("rec_idx", "rec"),
     )
     rec = F.col("rec")
@@ -117,8 +106,8 @@ def normalize(
         *carried,
         F.when(known, F.lit(schema_tag)).alias("schema"),
         F.when(wrapped, F.lit(docker.SOURCE)).otherwise(rec["source"]).alias("source"),
-        F.coalesce("outer_time", rec["timestamp"]).alias("timestamp"),
-        rec["level"].alias("level"),
+        F.coalesce("time", rec["timestamp"]).alias("timestamp"),
+        level_name(rec["level"]).alias("level"),
         rec["service"].alias("service"),
         rec["message"].alias("message"),
         F.when(wrapped, overlay_map(rec["attributes"], F.col("over")))
@@ -128,32 +117,6 @@ def normalize(
     )
 
 
-@dataclass(frozen=True)
-class _Steps:
-    opened: Column
-    members: Column
-    provider: Column
-    inner: Column
-    prepared: dict[str, Column]
-    records: Column
-
-
-@lru_cache(maxsize=8)
-def _expressions(context: SparkContext, registry: Registry, first_only: bool) -> _Steps:
-    """The large per-line expressions. They only name columns, so one build serves all frames."""
-    top = _State(F.col("payload"), F.col("members"), F.col("requested"), F.lit(None))
-    state = F.col("inner")
-    inside = _State(state["payload"], state["members"], state["requested"], state["provider"])
-    return _Steps(
-        opened=open_object(F.col("payload")),
-        members=text_map(F.col("payload"), F.col("members")),
-        provider=_route(registry, top),
-        inner=_open_wrappers(registry),
-        prepared=_prepared(registry, inside),
-        records=_records(registry, inside, first_only),
-    )
-
-
 def unparsed(records: DataFrame) -> DataFrame:
     """Quarantined rows: ``ord`` and the reason."""
     return records.where(F.col("parse_error").isNotNull()).select("ord", "parse_error")
@@ -166,10 +129,62 @@ def _malformed() -> Column:
     )
 
 
-def _route(registry: Registry, state: _State) -> Column:
-    return F.when(state.members.isNotNull(), registry.route_json(state.line)).otherwise(
-        registry.route_text(state.line)
-    )
+@lru_cache(maxsize=8)
+def _steps(
+    context: SparkContext, registry: Registry, first_only: bool
+) -> list[dict[str, Column]]:
+    """The projections between a cleaned line and its records.
+
+    They only name columns, so one build serves all frames. Each step is a projection of its own
+    because its results are used more than once by the next ones.
+    """
+    c = F.col
+    line = Line(c("requested"), c("payload"), JsonObject(c("payload"), c("members")))
+    wraps = _is_wrapper(registry, c("provider"))
+    log = docker.inner_payload(line.object)
+
+    def if_wrapped(inner: Column, name: str | None = None) -> Column:
+        value = F.when(c("wrapped"), inner)
+        return value if name is None else value.otherwise(c(name))
+
+    the_line = [
+        {"mark": object_mark(c("payload"))},
+        {"parsed": parse_marked(c("payload"), c("mark"))},
+        {"parsed": without_mark(c("parsed"), c("mark"))},
+        {"members": text_map(c("payload"), c("parsed"))},
+        {"parse_error": F.coalesce(c("unknown"), _malformed())},
+        {"provider": F.when(c("parse_error").isNull(), _route(registry, line))},
+    ]
+    one_wrapper = [
+        {
+            "wrapped": wraps,
+            "over": F.when(wraps, docker.overlay(line.object)),
+            "time": F.when(wraps, line.object.field("time")),
+            "text": F.when(wraps, docker.source_text(line, log)),
+            "payload": F.when(wraps, strip_line_end(log)).otherwise(c("payload")),
+        },
+        {"text": lower_ascii(c("text")), "mark": if_wrapped(object_mark(c("payload")))},
+        {
+            "requested": if_wrapped(infer_source(c("requested"), c("text")), "requested"),
+            "parsed": if_wrapped(parse_marked(c("payload"), c("mark"))),
+        },
+        {"parsed": if_wrapped(without_mark(c("parsed"), c("mark")))},
+        {"members": if_wrapped(text_map(c("payload"), c("parsed")), "members")},
+        {"provider": if_wrapped(_route(registry, line), "provider")},
+    ]
+    more_wrappers = [
+        {"deep": _open_deeper(registry, line)},
+        {
+            name: F.when(c("deep").isNotNull(), c("deep")[name]).otherwise(c(name))
+            for name in _STATE
+        },
+    ]
+    records = [{"records": _records(registry, line, first_only)}, {"records": _at_least_one()}]
+    return [*the_line, *one_wrapper, *more_wrappers, *_prepared(registry, line), *records]
+
+
+def _route(registry: Registry, line: Line) -> Column:
+    return F.when(line.is_json, registry.route_json(line)).otherwise(registry.route_text(line))
 
 
 def _is_wrapper(registry: Registry, provider: Column) -> Column:
@@ -177,111 +192,104 @@ def _is_wrapper(registry: Registry, provider: Column) -> Column:
     return F.coalesce(provider.isin(wrappers), F.lit(False)) if wrappers else F.lit(False)
 
 
-def _state_struct(
-    payload: Column, members: Column, requested: Column, provider: Column,
-    over: Column, time: Column, wrapped: Column,
-) -> Column:
-    return F.struct(
-        payload.alias("payload"),
-        members.alias("members"),
-        requested.alias("requested"),
-        provider.alias("provider"),
-        over.alias("over"),
-        time.alias("time"),
-        wrapped.alias("wrapped"),
-    )
+# Columns that describe the payload being looked at while wrappers are opened.
+_STATE = ["payload", "members", "requested", "provider", "over", "time"]
+
+
+def _state(**columns: Column) -> Column:
+    return F.struct(*[columns[name].alias(name) for name in _STATE])
 
 
-def _open_wrappers(registry: Registry) -> Column:
-    """Replace a wrapped payload by what it holds, level by level, to any depth.
+def _open_deeper(registry: Registry, line: Line) -> Column:
+    """What is left when wrappers inside the first wrapper are opened too, to any depth.
 
     Each level costs the text at least one brace, plain or escaped, so counting braces and
-    backslashes bounds the number of levels exactly; lines without a wrapper skip the loop.
+    backslashes bounds the number of levels exactly; NULL if there is nothing more to open.
     """
-    outer = _state_struct(
-        F.col("payload"),
-        F.col("members"),
-        F.col("requested"),
-        F.col("provider"),
-        empty_map(),
-        F.lit(None).cast("string"),
-        F.lit(False),
-    )
-    log = docker.inner_payload(JsonObject(F.col("payload"), F.col("members")))
+    log = docker.inner_payload(line.object)
     marks = F.length(log) - F.length(F.translate(log, "{\\", ""))
     levels = F.when(looks_like_object(log), marks + 1).otherwise(F.lit(1))
+    start = _state(**{name: F.col(name) for name in _STATE})
 
     def unwrap(state: Column, _: Column) -> Column:
-        line = Line(
+        here = Line(
             state["requested"],
             state["payload"],
             JsonObject(state["payload"], state["members"]),
         )
-        text = strip_line_end(docker.inner_payload(line.object))
-        # Source inference looks at the whole text, before line ends are cut.
-        requested = docker.inner_source(line, docker.inner_payload(line.object))
-        over = overlay_map(docker.overlay(line.object), state["over"])
-        time = F.coalesce(state["time"], line.object.field("time"))
+        text = docker.inner_payload(here.object)
+        requested = let(
+            lower_ascii(docker.source_text(here, text)),
+            lambda lower: infer_source(here.requested, lower),
+        )
+        over = overlay_map(docker.overlay(here.object), state["over"])
+        time = F.coalesce(state["time"], here.object.field("time"))
 
         def route(inner: Column) -> Column:
-            payload = _State(inner["payload"], inner["members"], inner["requested"], F.lit(None))
-            return _state_struct(
-                payload.payload, payload.members, payload.requested,
-                _route(registry, payload), over, time, F.lit(True),
-            )
+            payload, members = inner["payload"], inner["members"]
+            inside = Line(inner["requested"], payload, JsonObject(payload, members))
+            return _state(
+                payload=payload,
+                members=members,
+                requested=inner["requested"],
+                provider=_route(registry, inside),
+                over=over,
+                time=time,
+            )
 
         def parse(inner: Column) -> Column:
-            members = let(
-                open_object(inner["payload"]), lambda m: text_map(inner["payload"], m)
-            )
+            payload = inner["payload"]
+            members = let(open_object(payload), lambda m: text_map(payload, m))
             return let(
                 F.struct(
-                    inner["payload"].alias("payload"),
+                    payload.alias("payload"),
                     inner["requested"].alias("requested"),
                     members.alias("members"),
                 ),
                 route,
             )
 
-        opened = let(F.struct(text.alias("payload"), requested.alias("requested")), parse)
+        opened = let(
+            F.struct(strip_line_end(text).alias("payload"), requested.alias("requested")), parse
+        )
         return F.when(_is_wrapper(registry, state["provider"]), opened).otherwise(state)
 
     return F.when(
-        _is_wrapper(registry, F.col("provider")),
-        F.aggregate(F.sequence(F.lit(1), levels), outer, unwrap),
-    ).otherwise(outer)
+        F.col("wrapped") & _is_wrapper(registry, F.col("provider")),
+        F.aggregate(F.sequence(F.lit(1), levels), start, unwrap),
+    )
 
 
-def _prepared(registry: Registry, state: _State) -> dict[str, Column]:
-    """Extra projections asked for by providers, for the JSON lines they took."""
-    return {
-        f"prepared_{index}": F.when(
-            (state.provider == index) & state.members.isNotNull(), provider.prepare(state.line)
-        )
-        for index, provider in enumerate(registry.providers)
-        if provider.prepare is not None
-    }
+def _prepared(registry: Registry, line: Line) -> list[dict[str, Column]]:
+    """Extra projections asked for by providers, for the lines they took."""
+    steps = []
+    for number in range(max((len(p.prepare) for p in registry.providers), default=0)):
+        step = {}
+        for index, provider in enumerate(registry.providers):
+            if number < len(provider.prepare):
+                before = F.col(f"prepared_{index}") if number else None
+                column = provider.prepare[number](replace(line, prepared=before))
+                step[f"prepared_{index}"] = F.when(F.col("provider") == index, column)
+        steps.append(step)
+    return steps
 
 
-def _records(registry: Registry, state: _State, first_only: bool) -> Column:
+def _records(registry: Registry, line: Line, first_only: bool) -> Column:
     """Records from the provider that took the payload."""
-    is_json = state.members.isNotNull()
     records = F.array().cast(RECORDS)
     for index, provider in enumerate(registry.providers):
-        line = state.line
-        if provider.prepare is not None:
+        taken = F.col("provider") == index
+        if provider.prepare:
             line = replace(line, prepared=F.col(f"prepared_{index}"))
         if provider.text is not None:
-            taken = (state.provider == index) & ~is_json
-            records = F.when(taken, provider.text(line).cast(RECORDS)).otherwise(records)
+            records = F.when(taken & ~line.is_json, provider.text(line)).otherwise(records)
         if provider.json is not None:
-            taken = (state.provider == index) & is_json
-            records = F.when(taken, provider.json(line).cast(RECORDS)).otherwise(records)
+            records = F.when(taken & line.is_json, provider.json(line)).otherwise(records)
     return F.slice(records, 1, 1) if first_only else records
 
 
-def _at_least_one(inner: Column) -> Column:
+def _at_least_one() -> Column:
     """A wrapper yields a record even if nothing came out of its payload."""
     records = F.col("records")
-    blank = F.array(record(inner["requested"], F.lit(""))).cast(RECORDS)
-    return F.when(inner["wrapped"] & (F.size(records) == 0), blank).otherwise(records)
+    blank = F.array(record(F.col("requested"), F.lit("")))
+    return F.when(F.col("wrapped") & (F.size(records) == 0), blank).otherwise(records)

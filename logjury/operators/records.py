@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logjury.functions.text import empty_map
-from logjury.schema import RECORD, RECORDS
+from logjury.schema import RECORD
 
 
 def record(
@@ -17,7 +17,10 @@ def record(
     service: Column | None = None,
     attributes: Column | None = None,
 ) -> Column:
-    """One record struct; everything but source and message may be left out."""
+    """One record struct; everything but source and message may be left out.
+
+    The level is taken as written: ``normalize`` brings the levels of all lanes to one form.
+    """
     none = F.lit(None).cast("string")
     values = {
         "source": source,
@@ -31,7 +34,7 @@ def record(
 
 
 def only(one: Column) -> Column:
-    return F.array(one).cast(RECORDS)
+    return F.array(one)
 
 
 def passthrough(members: Column, consumed: list[str]) -> Column:

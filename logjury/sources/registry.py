@@ -47,6 +47,10 @@ class Line:
     def is_auto(self) -> Column:
         return self.requested == AUTO
 
+    @property
+    def is_json(self) -> Column:
+        return self.object.members.isNotNull()
+
 
 @dataclass(frozen=True)
 class Provider:
@@ -54,9 +58,11 @@ class Provider:
 
     ``takes_json`` decides per line, ``json`` and ``text`` build ``array<record>`` columns
     (see ``schema.RECORD``). A provider without ``text`` never takes plain text. ``unwraps``
-    marks a transport whose payload is dispatched again. ``prepare`` is an expression for the
-    JSON lines the provider takes; it runs in a projection of its own and ``json`` finds the
-    result in ``line.prepared``.
+    marks a transport whose payload is dispatched again.
+
+    ``prepare`` lists steps for the lines the provider takes. Each step is a struct computed in a
+    projection of its own; the next step, ``json`` and ``text`` find it in ``line.prepared``. Steps
+    keep shared sub-expressions from being evaluated more than once.
     """
 
     descriptors: tuple[Descriptor, ...]
@@ -64,7 +70,7 @@ class Provider:
     json: Callable[[Line], Column] | None = None
     text: Callable[[Line], Column] | None = None
     unwraps: bool = False
-    prepare: Callable[[Line], Column] | None = None
+    prepare: tuple[Callable[[Line], Column], ...] = ()
 
     @property
     def canonical_names(self) -> list[str]:
