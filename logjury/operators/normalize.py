@@ -97,23 +97,26 @@ def normalize(
         "ord", *carried, "parse_error", "over", "time", "wrapped",
         F.posexplode(records).alias("rec_idx", "rec"),
     )
+    # Every output depends on the exploded struct, so a filter on any of them stays above the
+    # explode and no line is parsed twice for it.
     rec = F.col("rec")
-    known = F.col("parse_error").isNull()
-    wrapped = F.col("wrapped")
+    wrapped = rec.isNotNull() & F.col("wrapped")
     return exploded.select(
         "ord",
         "rec_idx",
         *carried,
-        F.when(known, F.lit(schema_tag)).alias("schema"),
+        F.when(rec.isNotNull(), F.lit(schema_tag)).alias("schema"),
         F.when(wrapped, F.lit(docker.SOURCE)).otherwise(rec["source"]).alias("source"),
-        F.coalesce("time", rec["timestamp"]).alias("timestamp"),
+        F.when(wrapped, F.coalesce("time", rec["timestamp"]))
+        .otherwise(rec["timestamp"])
+        .alias("timestamp"),
         level_name(rec["level"]).alias("level"),
         rec["service"].alias("service"),
         rec["message"].alias("message"),
         F.when(wrapped, overlay_map(rec["attributes"], F.col("over")))
         .otherwise(rec["attributes"])
         .alias("attributes"),
-        "parse_error",
+        F.when(rec.isNull(), F.col("parse_error")).alias("parse_error"),
     )
 
 
