@@ -181,13 +181,15 @@ def _rule_frame(spark: SparkSession, rule_set: RuleSet, predicates: list[Predica
     return rule_set.rule_frame(spark).join(errors, "rule_rank")
 
 
-def evaluate_table(records: DataFrame, rules: DataFrame) -> DataFrame:
+def evaluate_table(
+    records: DataFrame, rules: DataFrame, broadcast_limit: int = BROADCAST_RULES
+) -> DataFrame:
     """Matches and errors for rules kept in a table, for rule sets too large to write as text.
 
     A rule is a conjunction: ``(condition, source_eq, level_eq, service_eq, contains array)``,
     where NULL or an empty array means "any". Candidates come from an equality join on the
     source, with a wildcard key for rules without one; the other tests are evaluated in the join.
-    A rule table beyond ``BROADCAST_RULES`` rows is joined by shuffle, and since one source can
+    A rule table beyond ``broadcast_limit`` rows is joined by shuffle, and since one source can
     hold most records its key is salted.
 
     Output: the record's columns, ``condition``, ``matched`` and ``error``.
@@ -198,7 +200,7 @@ def evaluate_table(records: DataFrame, rules: DataFrame) -> DataFrame:
     )
     keys = F.array(F.concat(F.lit("="), F.col("source")), wildcard)
     keyed = records.withColumn("rule_key", F.explode(keys))
-    small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    small = rules.limit(broadcast_limit + 1).count() <= broadcast_limit
     if small:
         keyed_rules, on = F.broadcast(keyed_rules), ["rule_key"]
     else:

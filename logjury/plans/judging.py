@@ -709,14 +709,12 @@ def s1(spark, sf_dir):
 )
 def s2(spark, sf_dir):
     """The latest decisions over micro-batches; which rows are last depends on how files arrive."""
-    from logjury.operators.normalize import normalize
-
     folder = scratch(spark)
     lines = mixed_lines(spark, sf_dir)
     lines.repartition(2).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     store = RecentStore(spark, f"{folder}/recent", _JUDGED.max_decisions)
-    running = run_recent(normalize(stream), _JUDGED, store, f"{folder}/state", sink=f"{folder}/out")
+    running = run_recent(stream, _JUDGED, store, f"{folder}/state", sink=f"{folder}/out")
     running.awaitTermination()
     return store.read(running.lastProgress["batchId"]).agg(F.count("*").alias("kept"))
 

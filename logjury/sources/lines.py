@@ -15,23 +15,32 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ``ord`` grows in reading order and is unique, but it is not dense; ``number_lines`` gives
     exact line numbers at the price of a second pass.
     """
-    return _with_position(spark.read.text(path)).select("ord", "file", "split", "value")
+    lines = _with_file(spark.read.text(path))
+    return lines.select(F.monotonically_increasing_id().alias("ord"), "file", "split", "value")
 
 
-def stream_lines(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """The same columns from files as they arrive. ``ord`` orders lines within a micro-batch."""
+def stream_lines(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
+) -> DataFrame:
+    """The same columns from files as they arrive.
+
+    Streams know no line positions: ``ord`` is the file's modification time in microseconds, so
+    it orders files, not the lines of one file. ``run_recent`` puts positions in per micro-batch.
+    """
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _with_position(reader.load(path)).select("ord", "file", "split", "value")
+    lines = _with_file(reader.load(path))
+    return lines.select(F.unix_micros("modified").alias("ord"), "file", "split", "value")
 
 
-def _with_position(lines: DataFrame) -> DataFrame:
+def _with_file(lines: DataFrame) -> DataFrame:
     return lines.select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
-    ).withColumn("ord", F.monotonically_increasing_id())
+        F.col("_metadata.file_modification_time").alias("modified"),
+    )
 
 
 def number_lines(lines: DataFrame) -> DataFrame:

@@ -72,23 +72,30 @@ class RecentStore:
 
 
 def run_recent(
-    records: DataFrame, rule_set: RuleSet, store: RecentStore, checkpoint: str, sink: str | None = None
+    lines: DataFrame,
+    rule_set: RuleSet,
+    store: RecentStore,
+    checkpoint: str,
+    sink: str | None = None,
+    **options,
 ) -> StreamingQuery:
-    """Judge a record stream in micro-batches and keep the latest decisions in ``store``.
+    """Judge a line stream in micro-batches and keep the latest decisions in ``store``.
 
-    With ``sink`` all decisions of a batch are written there too, one folder per batch.
+    ``ord`` becomes the position of the line in its batch. With ``sink`` all decisions of a batch
+    are written there too, one folder per batch. ``options`` go to ``normalize``.
     """
 
-    def on_batch(batch_records: DataFrame, batch: int) -> None:
-        decisions = judge(batch_records, rule_set)
+    def on_batch(batch_lines: DataFrame, batch: int) -> None:
+        placed = batch_lines.withColumn("ord", F.monotonically_increasing_id())
+        decisions = judge(normalize(placed, **options), rule_set)
         if sink:
             target = f"{sink.rstrip('/')}/batch={batch}"
             decisions.write.mode("overwrite").parquet(target)
-            decisions = batch_records.sparkSession.read.parquet(target)
+            decisions = batch_lines.sparkSession.read.parquet(target)
         store.update(decisions, batch)
 
     return (
-        records.writeStream.option("checkpointLocation", checkpoint)
+        lines.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(on_batch)
         .start()

@@ -249,8 +249,7 @@ def test_numbering_with_a_hot_key(spark):
 
 
 @pytest.mark.parametrize("limit", [20_000, 0])
-def test_rule_table_both_join_ways(spark, records, monkeypatch, limit):
-    monkeypatch.setattr("logjury.operators.evaluate.BROADCAST_RULES", limit)
+def test_rule_table_both_join_ways(spark, records, limit):
     rules = spark.createDataFrame(
         [
             ("a", "oxibelt", "error", None, ["block"]),
@@ -260,7 +259,7 @@ def test_rule_table_both_join_ways(spark, records, monkeypatch, limit):
         ],
         "condition string, source_eq string, level_eq string, service_eq string, contains array<string>",
     )
-    rows = evaluate_table(records, rules).collect()
+    rows = evaluate_table(records, rules, limit).collect()
     matched = {(r["condition"], r["ord"]) for r in rows if r["matched"]}
     assert matched == {("a", 1), ("b", 3), ("c", 2), ("d", 1)}
     assert {(r["condition"], r["ord"]) for r in rows if r["error"]} == {("d", 3)}

@@ -43,9 +43,9 @@ def test_stream_equals_batch(spark, folder):
 
 
 def test_recent_over_batches(spark, folder):
-    records = normalize(stream_lines(spark, str(folder / "in"), max_files_per_trigger=1))
+    lines = stream_lines(spark, str(folder / "in"), max_files_per_trigger=1)
     store = RecentStore(spark, str(folder / "recent"), RULES.max_decisions)
-    query = run_recent(records, RULES, store, str(folder / "state"), sink=str(folder / "all"))
+    query = run_recent(lines, RULES, store, str(folder / "state"), sink=str(folder / "all"))
     query.awaitTermination()
     assert query.lastProgress["batchId"] == 1
     first, last = store.read(0).collect(), store.read(1).collect()
