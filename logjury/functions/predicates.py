@@ -37,6 +37,45 @@ def _regex(pattern: str) -> str:
     return f"concat('(?U)', {pattern})"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """Evaluate a value once and use it by name, so that inlining does not multiply it."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _v6_words(s: str) -> str:
+    """An IPv6 address in lower case, a dotted tail as two groups."""
+    tail = rf"regexp_extract({s}, r'([^:]*)\z', 1)"
+    return (
+        f"CASE WHEN NOT contains({s}, '.') THEN lower({s}) "
+        rf"WHEN {s} RLIKE r'^[0-9a-fA-F:]*:{_V4}\z' THEN lower(concat("
+        rf"regexp_extract({s}, r'^(.*:)', 1), {_hex_pair(tail, 1)}, ':', {_hex_pair(tail, 3)})) END"
+    )
+
+
+def _v6_digits(s: str) -> str:
+    """Groups as four digits each, without separators."""
+    return (
+        f"regexp_replace(regexp_replace({s}, '([0-9a-f]+)', '000$1'), "
+        r"r'[0-9a-f]*([0-9a-f]{4})(?::|\z)', '$1')"
+    )
+
+
+def _v6_hex(w: str) -> str:
+    """The 32 digits of an address; ``::`` stands for one zero group at least."""
+    groups = f"size(regexp_extract_all({w}, '[0-9a-f]+', 0))"
+    head, tail = (_v6_digits(f"split_part({w}, '::', {n})") for n in (1, 2))
+    return (
+        rf"CASE WHEN {w} RLIKE r'^(?:[0-9a-f]{{1,4}}:){{7}}[0-9a-f]{{1,4}}\z' THEN {_v6_digits(w)} "
+        rf"WHEN {w} RLIKE r'^{_GROUPS}?::{_GROUPS}?\z' AND {groups} <= 7 "
+        f"THEN concat({head}, repeat('0000', 8 - {groups}), {tail}) END"
+    )
+
+
+def _v6_bits(h: str) -> str:
+    halves = [f"lpad(conv(substr({h}, {at}, 16), 16, 2), 64, '0')" for at in (1, 17)]
+    return f"concat('6', {', '.join(halves)})"
+
+
 # name -> (parameters, result type, body); order matters, later ones may use earlier ones.
 DEFINITIONS: dict[str, tuple[str, str, str]] = {
     "lower_ascii": (
@@ -108,42 +147,15 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
         f"forall(map_entries(m), e -> e.key RLIKE {_regex('kp')} "
         f"AND coalesce(e.value RLIKE {_regex('vp')}, false))",
     ),
-    # An IPv6 address without its dotted tail, in lower case.
-    "ip_words": (
-        "s STRING",
-        "STRING",
-        f"CASE WHEN NOT contains(s, '.') THEN lower(s) "
-        f"WHEN s RLIKE r'^[0-9a-fA-F:]*:{_V4}\\z' THEN concat("
-        f"lower(regexp_extract(s, r'^(.*:)', 1)), "
-        f"lower(concat({_hex_pair('''regexp_extract(s, r'([^:]*)\\z', 1)''', 1)}, ':', "
-        f"{_hex_pair('''regexp_extract(s, r'([^:]*)\\z', 1)''', 3)}))) END",
-    ),
-    # Groups of hex digits as four digits each, without separators.
-    "ip_digits": (
-        "s STRING",
-        "STRING",
-        "regexp_replace(regexp_replace(s, '([0-9a-f]+)', '000$1'), "
-        r"r'[0-9a-f]*([0-9a-f]{4})(?::|\z)', '$1')",
-    ),
-    "ip_hex": (
-        "w STRING",
-        "STRING",
-        rf"CASE WHEN w RLIKE r'^(?:[0-9a-f]{{1,4}}:){{7}}[0-9a-f]{{1,4}}\z' THEN ip_digits(w) "
-        rf"WHEN w RLIKE r'^{_GROUPS}?::{_GROUPS}?\z' "
-        "AND size(regexp_extract_all(w, '[0-9a-f]+', 0)) <= 7 THEN concat("
-        "ip_digits(split_part(w, '::', 1)), "
-        "repeat('0000', 8 - size(regexp_extract_all(w, '[0-9a-f]+', 0))), "
-        "ip_digits(split_part(w, '::', 2))) END",
-    ),
     # '4' or '6' followed by the bits of the address; NULL for anything else.
     "ip_bits": (
         "s STRING",
         "STRING",
         rf"CASE WHEN s RLIKE r'^{_V4}\z' THEN concat('4', "
         + ", ".join(_octet("s", n, 2, 8) for n in (1, 2, 3, 4))
-        + ") WHEN contains(s, ':') THEN concat('6', "
-        "lpad(conv(substr(ip_hex(ip_words(s)), 1, 16), 16, 2), 64, '0'), "
-        "lpad(conv(substr(ip_hex(ip_words(s)), 17, 16), 16, 2), 64, '0')) END",
+        + ") WHEN contains(s, ':') THEN "
+        + _let(_v6_words("s"), "w", _let(_v6_hex("w"), "h", _v6_bits("h")))
+        + " END",
     ),
     "cidr_prefix": (
         "c STRING",
@@ -152,17 +164,18 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
         r"AND try_cast(regexp_extract(c, r'/(.*)\z', 1) AS BIGINT) <= 4294967295 "
         r"THEN try_cast(regexp_extract(c, r'/(.*)\z', 1) AS BIGINT) END",
     ),
-    "bits_in_net": (
-        "ip STRING, net STRING, prefix BIGINT",
-        "BOOLEAN",
-        "CASE WHEN ip IS NULL OR net IS NULL OR prefix IS NULL THEN NULL "
-        "WHEN prefix < char_length(net) THEN startswith(ip, left(net, CAST(prefix + 1 AS INT))) "
-        "WHEN left(ip, 1) <> left(net, 1) THEN false END",
-    ),
     "in_cidr": (
         "ip STRING, cidr STRING",
         "BOOLEAN",
-        "bits_in_net(ip_bits(ip), ip_bits(split_part(cidr, '/', 1)), cidr_prefix(cidr))",
+        _let(
+            "named_struct('ip', ip_bits(ip), 'net', ip_bits(split_part(cidr, '/', 1)), "
+            "'prefix', cidr_prefix(cidr))",
+            "v",
+            "CASE WHEN v.ip IS NULL OR v.net IS NULL OR v.prefix IS NULL THEN NULL "
+            "WHEN v.prefix < char_length(v.net) "
+            "THEN startswith(v.ip, left(v.net, CAST(v.prefix + 1 AS INT))) "
+            "WHEN left(v.ip, 1) <> left(v.net, 1) THEN false END",
+        ),
     ),
 }
 
