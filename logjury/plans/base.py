@@ -47,10 +47,16 @@ def sql_case(column: str, values: dict) -> str:
     return f"CASE {column} {arms} END"
 
 
+def _spread(table: DataFrame) -> DataFrame:
+    """Use all cores for an input of few file splits; a large input already has enough."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the texts the lines are made of."""
     prepare(spark)
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    table = _spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return table.select(
         c("event_id").alias("ord"),
         c("event_id"),
@@ -122,7 +128,7 @@ def scratch(spark: SparkSession) -> str:
 def text_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Records whose messages are the whole texts of ``documents``, ``pages`` or ``conversations``."""
     prepare(spark)
-    source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    source = _spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
     if table == "documents":
         rows = source.select(c("doc_id").alias("ord"), c("text"), c("lang").alias("svc"), c("source").alias("src"))
     elif table == "pages":
