@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from logjury.llm import mixing, simhash, vectors
+from logjury.llm import language, mixing, quality, rules, simhash, vectors
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op4_quality": quality.op4_quality,
     "op6_simhash": simhash.op6_simhash,
     "op7_embedding_links": vectors.op7_embedding_links,
+    "op8_language": language.op8_language,
+    "op10_quality_rules": rules.op10_quality_rules,
 }
 
 ORACLES = {
