@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from logjury.llm import language, mixing, quality, rules, simhash, vectors
+from logjury.llm import chat, language, licenses, mixing, packing, pages, quality, rules, simhash, vectors
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_chat": chat.op2_chat,
+    "op3_main_text": pages.op3_main_text,
     "op4_quality": quality.op4_quality,
+    "op5_pack": packing.op5_pack,
     "op6_simhash": simhash.op6_simhash,
     "op7_embedding_links": vectors.op7_embedding_links,
     "op8_language": language.op8_language,
+    "op9_licenses": licenses.op9_licenses,
     "op10_quality_rules": rules.op10_quality_rules,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op2_chat": chat.OP2_SQL,
 }
