@@ -28,7 +28,6 @@ predictions; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,8 +35,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from logjury.llm.shared import in_batches, in_learning_fold, ship, stored, table
+from logjury.llm.shared import in_learning_fold, of_texts, ship, stored, table
 
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 30_000
@@ -240,29 +240,25 @@ def fit(
     return Model(letters, [row["lang"] for row in built], tables, [row["size"] for row in built])
 
 
-def _predict_batches(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            names, scores = model.predict([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names[:-1], "lang_pred", "score"],
-            )
-
-    return run
+def predict(
+    docs: DataFrame,
+    model: Model,
+    keep: list[str],
+    text: str = "text",
+    names: tuple[str, str] = ("_lang_pred", "_score"),
+) -> DataFrame:
+    """The columns ``keep``, the language and the score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    def run(texts: list) -> list[pa.Array]:
+        languages, scores = shared.value.predict([t or "" for t in texts])
+        return [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep``, ``lang_pred`` and ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    narrow = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in keep)
-    return in_batches(narrow, _predict_batches(shared), f"{schema}, lang_pred string, score double")
+    return of_texts(docs, keep, text, dict(zip(names, (StringType(), DoubleType()), strict=True)), run)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return predict(docs, fit(docs), ["doc_id"]).select(
+    return predict(docs, fit(docs), ["doc_id"], names=("lang_pred", "score")).select(
         "doc_id", (~in_learning_fold(F.col("doc_id"))).alias("held_out"), "lang_pred", "score"
     )

@@ -30,8 +30,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from logjury.llm.shared import in_batches, table
+from logjury.llm.shared import in_batches, of_texts, table
 
 TRAINING = 2000
 TAGS = 256
@@ -226,18 +227,13 @@ def learn(pages: DataFrame, page_id: str = "page_id", html: str = "html", limit:
     return Weights({(r["tag"], r["is_word"]): (r["inside"], r["outside"]) for r in common})
 
 
-def extract(pages: DataFrame, weights: Weights, keep: list[str], html: str = "html") -> DataFrame:
-    """The columns ``keep`` and ``text``."""
+def extract(pages: DataFrame, weights: Weights, keep: list[str], html: str = "html", name: str = "text") -> DataFrame:
+    """The columns ``keep`` and the main text under ``name``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(page.as_py(), weights) for page in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"]
-            )
+    def run(found: list) -> list[pa.Array]:
+        return [pa.array([main_text(page, weights) for page in found], pa.string())]
 
-    schema = ", ".join(f"`{name}` {pages.schema[name].dataType.simpleString()}" for name in keep)
-    return in_batches(pages.select(*keep, F.col(html).alias("_html")), run, f"{schema}, text string")
+    return of_texts(pages, keep, html, {name: StringType()}, run)
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from logjury.llm.shared import in_batches, in_learning_fold, stored, table
+from logjury.llm.shared import in_batches, in_learning_fold, of_texts, stored, table
 
 BITS = 18
 TRAINING = 4096
@@ -129,10 +130,6 @@ def features(texts: list[bytes], bits: int = BITS) -> Iterator[tuple[int, np.nda
         yield len(starts), np.bincount(text, minlength=len(starts)), of, buckets.astype(np.int64)
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
@@ -164,7 +161,7 @@ def _train_batches(bits: int, epochs: int):
         rows = []
         for batch in batches:
             labels = iter(batch.column(1).to_pylist())
-            for count, lengths, of, buckets in features(_bytes(batch.column(0)), bits):
+            for count, lengths, of, buckets in features([(t or "").encode() for t in batch.column(0).to_pylist()], bits):
                 order = np.argsort(of, kind="stable")
                 cuts = np.searchsorted(of[order], np.arange(count + 1))
                 for k in range(count):
@@ -219,36 +216,28 @@ def fit(
     return weights
 
 
-def _score_batches(weights, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
-        for batch in batches:
-            scores = [np.zeros(0)]
-            for count, lengths, of, buckets in features(_bytes(batch.column(batch.num_columns - 1)), bits):
-                dots = np.bincount(of, weights=w[buckets], minlength=count) / np.maximum(1, lengths)
-                scores.append(_sigmoid(dots + w[-1]))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(np.concatenate(scores), pa.float64())],
-                names=[*batch.schema.names[:-1], "score"],
-            )
-
-    return run
+def score(
+    docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text", name: str = "_score"
+) -> DataFrame:
+    """The columns ``keep`` and the score under ``name``."""
+    bits = (len(weights) - 2).bit_length()
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
+    def run(texts: list) -> list[pa.Array]:
+        w = shared.value
+        scores = [np.zeros(0)]
+        for count, lengths, of, buckets in features([(t or "").encode() for t in texts], bits):
+            dots = np.bincount(of, weights=w[buckets], minlength=count) / np.maximum(1, lengths)
+            scores.append(_sigmoid(dots + w[-1]))
+        return [pa.array(np.concatenate(scores), pa.float64())]
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``score``."""
-    spark = docs.sparkSession
-    bits = (len(weights) - 2).bit_length()
-    shared = spark.sparkContext.broadcast(weights)
-    narrow = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in keep)
-    return in_batches(narrow, _score_batches(shared, bits), f"{schema}, score double")
+    return of_texts(docs, keep, text, {name: DoubleType()}, run)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, weights, ["doc_id"]).select(
+    return score(docs, weights, ["doc_id"], name="score").select(
         "doc_id",
         (~in_learning_fold(F.col("doc_id"))).alias("held_out"),
         "score",

@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from logjury.session import ensure_checkpoint_dir
 
@@ -78,12 +80,34 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def in_batches(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
+def in_batches(frame: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this library at hand in the tasks."""
     ship(frame.sparkSession)
     return frame.mapInArrow(run, schema)
 
 
+def of_texts(
+    docs: DataFrame, keep: list[str], text: str, results: dict[str, DataType], run: Callable[[list], list]
+) -> DataFrame:
+    """The columns ``keep`` and, beside each row, what ``run`` makes of its text.
+
+    ``run`` gets the texts of a batch (None for null) and returns one Arrow array per result. A text
+    that is kept is sent to Python once.
+    """
+    sent = keep if text in keep else [*keep, text]
+    place = sent.index(text)
+    names = [*keep, *results]
+
+    def batch_by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = run(batch.column(place).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=names)
+
+    fields = [StructField(name, docs.schema[name].dataType) for name in keep]
+    fields += [StructField(name, kind) for name, kind in results.items()]
+    return in_batches(docs.select(*sent), batch_by_batch, StructType(fields))
+
+
 def in_learning_fold(doc_id: Column) -> Column:
     """Rows that models may learn from: crc32 of the id's text leaves a remainder other than 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(2)) != 2

@@ -31,9 +31,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from logjury.llm.graph import components
-from logjury.llm.shared import in_batches, stored, table
+from logjury.llm.shared import in_batches, of_texts, stored, table
 
 SHINGLE = 4
 SEED = 42
@@ -74,17 +75,12 @@ def _signed(value: int) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, fp)`` for every row."""
-    kind = docs.schema[doc_id].dataType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [_signed(fingerprint(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"]
-            )
+    def run(texts: list) -> list[pa.Array]:
+        return [pa.array([_signed(fingerprint(t)) for t in texts], pa.int64())]
 
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return in_batches(named, run, f"doc_id {kind.simpleString()}, fp long")
+    return of_texts(named, ["doc_id"], "text", {"fp": LongType()}, run)
 
 
 def near(radius: int = RADIUS) -> list[int]:
@@ -217,6 +213,19 @@ def near_duplicates(
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their group, with their columns.
+
+    Rows that share an id are one document, of which one row stays; rows without an id cannot stand
+    for a group and are kept as they are.
+    """
+    named = docs.where(F.col(doc_id).isNotNull())
+    groups = near_duplicates(named, doc_id, text, **options)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id))
+    first = named.join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).select(*docs.columns)
+    return first.union(docs.where(F.col(doc_id).isNull()))
+
+
 def hex_digits(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
