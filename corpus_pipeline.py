@@ -12,8 +12,11 @@ from logjury.llm.shared import stored
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
-    ("simhash", stages.one_of_each_group),
-    ("mixing", stages.mix_sources),
+    ("quality classifier", stages.good_quality),
+    ("language ID", stages.known_language),
+    ("SimHash near-dedup", stages.one_of_each_group),
+    ("mixing sources", stages.mix_sources),
+    ("packing", stages.pack_sequences),
 ]
 
 # Models trained here, XXH64 and token ids are beyond SQL.
