@@ -67,18 +67,19 @@ def code_table(letters: str) -> np.ndarray:
 
 
 def encode(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Letter classes of all texts in one row, runs of spaces as one, and where each text begins."""
-    joined = " ".join(texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
-    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    """Letter classes of all texts in one row, one space between words, and the bounds of the texts."""
+    points = np.frombuffer(" ".join(texts).encode("utf-32-le", "replace"), dtype=np.uint32)
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
     found = codes[points]
-    first = np.zeros(len(found) + 1, dtype=bool)
-    first[starts[:-1]] = True  # a space at the front goes, the one between texts ends a text
-    keep = found != 0
-    keep[1:] |= found[:-1] != 0
-    keep[first[:-1] & (found == 0)] = False
-    at = np.concatenate([[0], np.cumsum(keep)])
-    return found[keep], at[np.minimum(starts, len(found))]
+    letters = np.flatnonzero(found)
+    cuts = np.searchsorted(letters, begins)
+    apart = np.zeros(len(letters), dtype=np.int64)
+    apart[1:] = np.diff(letters) > 1
+    apart[cuts[:-1][cuts[:-1] < len(letters)]] = 0  # no space before the first letter of a text
+    places = np.cumsum(apart + 1) - 1
+    row = np.zeros(len(letters) + int(apart.sum()), dtype=np.uint8)
+    row[places] = found[letters]
+    return row, np.append(0, places + 1)[cuts]
 
 
 def automaton(sample: np.ndarray, classes: int) -> np.ndarray:
@@ -116,9 +117,9 @@ def automaton(sample: np.ndarray, classes: int) -> np.ndarray:
     root = np.ones(classes, dtype=np.int32)  # a class the sample lacks: a phrase of its own
     for c, q in step[0].items():
         root[c] = 2 * q + 1
-    rows = np.tile(root, (len(step), 1))
-    of = np.repeat(np.arange(len(step)), [len(s) for s in step])
-    rows[of, [c for s in step for c in s]] = [2 * q for s in step for q in s.values()]
+    rows = np.tile(root, (len(step), 1))  # at the root no phrase is open, so any step begins one
+    of = np.repeat(np.arange(1, len(step)), [len(s) for s in step[1:]])
+    rows[of, [c for s in step[1:] for c in s]] = [2 * q for s in step[1:] for q in s.values()]
     return rows
 
 
@@ -147,7 +148,7 @@ class Model:
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
         place = np.tile((self.roots * self.classes).astype(np.int32), (len(of), 1))
-        count = np.ones((len(of), len(self.languages)), dtype=np.int32)
+        count = np.zeros((len(of), len(self.languages)), dtype=np.int32)
         steps = int(size[0]) if len(size) else 0
         # How many segments are still being parsed at each step; the longest come first.
         active = len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")
@@ -172,8 +173,7 @@ class Model:
                 total += len(texts[stop])
                 stop += 1
             found, starts = encode(texts[at:stop], codes)
-            lettered = np.add.reduceat(np.append(found > 1, 0) | np.append(found == 1, 0), np.minimum(starts[:-1], len(found)))
-            lettered = (lettered > 0) & (np.diff(starts) > 0)
+            lettered = np.diff(starts) > 0
             if self.languages:
                 cost = self.phrases(found, starts) * self.bits / np.maximum(1, np.diff(starts))[:, None]
                 best = cost.argmin(axis=1)
@@ -245,7 +245,7 @@ def predict(
     model: Model,
     keep: list[str],
     text: str = "text",
-    names: tuple[str, str] = ("_lang_pred", "_score"),
+    names: tuple[str, str] = ("lang_pred", "score"),
 ) -> DataFrame:
     """The columns ``keep``, the language and the score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -259,6 +259,6 @@ def predict(
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return predict(docs, fit(docs), ["doc_id"], names=("lang_pred", "score")).select(
+    return predict(docs, fit(docs), ["doc_id"]).select(
         "doc_id", (~in_learning_fold(F.col("doc_id"))).alias("held_out"), "lang_pred", "score"
     )

@@ -16,7 +16,7 @@ figures are one row per source.
 
 Defined cases: a null text has size 0; the null source is a source, last in order; documents of
 size 0 take part but take no words; repeated rows are sampled one by one; an empty table gives an
-empty table; further columns are kept, names beginning with ``_`` are reserved.
+empty table; further columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -93,25 +93,13 @@ def source_targets(
     )
 
 
-def mix_counts(
-    docs: DataFrame,
-    text: str = "text",
-    source: str = "source",
-    doc_id: str = "doc_id",
-    **options,
-) -> DataFrame:
-    """Every row of ``docs`` (without the text, if the caller dropped it afterwards) with ``_copies``.
-
-    Added columns: ``_size``, ``_source_size``, ``_target``, ``_copies``.
+def mix_counts(sized: DataFrame, ties: Sequence[str], **options) -> DataFrame:
+    """``sized`` (``_source``, ``_size`` and columns of any other names) with ``_source_size``, ``_target``
+    and ``_copies``. ``ties`` put documents of one size in order.
     """
-    sized = docs.select("*", word_count(F.col(text)).alias("_size"), F.col(source).alias("_source"))
-    return _counted(sized, [F.col(doc_id), F.xxhash64(F.col(text))], options)
-
-
-def _counted(sized: DataFrame, ties: list[Column], options: dict) -> DataFrame:
     placed = with_position(sized, F.col("_source").asc_nulls_first(), F.col("_size"), *ties)
-    targets = stored(source_targets(sized.select("_source", "_size"), **options))
-    joined = placed.join(targets.withColumnRenamed("_source", "_of"), F.col("_source").eqNullSafe(F.col("_of")))
+    targets = stored(source_targets(sized.select("_source", "_size"), **options)).withColumnRenamed("_source", "_of")
+    joined = placed.join(targets, F.col("_source").eqNullSafe(F.col("_of")))
     rank = F.col("_position") - F.col("_start")
     crossed = lambda r: F.shiftright(F.col("_offset") + F.col("_each") * r, 24)
     return joined.withColumn("_copies", crossed(rank + 1) - crossed(rank)).drop(
@@ -119,13 +107,17 @@ def _counted(sized: DataFrame, ties: list[Column], options: dict) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
     """The mixed corpus: every document as often as the sample takes it, with the columns it had."""
-    columns = docs.columns
-    counted = mix_counts(docs, **options).where(F.col("_copies") > 0)
-    return counted.select(
-        *columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
-    ).select(*columns)
+    sized = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        word_count(F.col(text)).alias("_size"),
+        F.col(source).alias("_source"),
+        F.col(doc_id).alias("_id"),
+        F.xxhash64(text).alias("_tie"),
+    )
+    counted = mix_counts(sized, ["_id", "_tie"], **options).where(F.col("_copies") > 0)
+    return counted.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +125,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow = stored(
         docs.select("doc_id", word_count(F.col("text")).alias("_size"), F.col("source").alias("_source"))
     )
-    return _counted(narrow, [F.col("doc_id")], {}).select(
+    return mix_counts(narrow, ["doc_id"]).select(
         "doc_id",
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),

@@ -39,6 +39,8 @@ TAGS = 256
 SMOOTH = 1.0
 WORD_LEAST, WORD_MOST = 0.2, 2.0
 TAG_LEAST, TAG_MOST = 0.02, 3.0
+# Penalty of a tag the labelled pages lack outside what is cut out.
+TAG_UNKNOWN = 0.1
 
 _PARTS = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -179,7 +181,7 @@ class Weights:
 
     def scores(self, row: list[Token]) -> list[float]:
         return [
-            t.words * self.word.get(t.tag, 1.0) if t.words else -self.tag.get(t.tag, 1.0) if not t.text.strip() else 0.0
+            t.words * self.word.get(t.tag, 1.0) if t.words else -self.tag.get(t.tag, TAG_UNKNOWN) if not t.text.strip() else 0.0
             for t in row
         ]
 

@@ -217,7 +217,7 @@ def fit(
 
 
 def score(
-    docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text", name: str = "_score"
+    docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text", name: str = "score"
 ) -> DataFrame:
     """The columns ``keep`` and the score under ``name``."""
     bits = (len(weights) - 2).bit_length()
@@ -237,7 +237,7 @@ def score(
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, weights, ["doc_id"], name="score").select(
+    return score(docs, weights, ["doc_id"]).select(
         "doc_id",
         (~in_learning_fold(F.col("doc_id"))).alias("held_out"),
         "score",

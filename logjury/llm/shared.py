@@ -108,6 +108,14 @@ def of_texts(
     return in_batches(docs.select(*sent), batch_by_batch, StructType(fields))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, made longer until no column of ``docs`` has it."""
+    taken = {column.lower() for column in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def in_learning_fold(doc_id: Column) -> Column:
     """Rows that models may learn from: crc32 of the id's text leaves a remainder other than 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(2)) != 2
