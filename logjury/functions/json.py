@@ -20,6 +20,9 @@ from logjury.functions.text import last_wins_map, let, none_if_empty, strip_star
 # Member name outside the characters meant for interchange.
 _MARK = "\ufdd0end"
 
+# Around numbers inside nested values while their keys are put in order.
+_NUMBER = "\ufdd1"
+
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 # Text that may be a nested value, a float in scientific form or an integer beyond 64 bits.
@@ -134,17 +137,33 @@ def _exact_text(raw: Column, value: Column) -> Column:
     return let(
         F.struct(F.schema_of_variant(value).alias("kind"), raw.alias("raw")),
         lambda it: F.when(it["kind"] == "STRING", it["raw"])
-        .when(it["raw"].rlike(r"^[\[{]"), _nested_text(it["raw"], value.cast("string")))
+        .when(it["raw"].rlike(r"^[\[{]"), _nested_text(it["raw"]))
         .otherwise(number_text(it["raw"])),
     )
 
 
-def _nested_text(raw: Column, ordered: Column) -> Column:
-    """Compact text with sorted keys. The variant text sorts keys but shortens 1.0 to 1, the raw
-    text keeps floats; where only numbers differ the raw text is right in both respects."""
-    number = r"-?\d+(?:\.\d+)?(?:E-?\d+)?"
-    same_shape = F.regexp_replace(raw, number, "0") == F.regexp_replace(ordered, number, "0")
-    return F.when((raw == ordered) | ~same_shape, ordered).otherwise(raw)
+def _nested_text(raw: Column) -> Column:
+    """Compact text with sorted keys in which every number has its own shortest form.
+
+    The variant type sorts keys but shortens 1.0 to 1, so numbers travel through it as marked texts:
+    every number outside a text is put between marks, the marks behind texts go, and marked numbers
+    become texts; sorted, they are cut out again and spelled.
+    """
+    text = r'"(?:[^"\\]|\\.)*+"'
+    number = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+    marked = F.regexp_replace(raw, f"({text})|({number})", f"$1{_NUMBER}$2{_NUMBER}")
+    marked = F.regexp_replace(marked, f"{_NUMBER}{_NUMBER}", "")
+    marked = F.regexp_replace(marked, f"{_NUMBER}([^{_NUMBER}]*){_NUMBER}", f'"{_NUMBER}$1"')
+    ordered = F.try_parse_json(marked).cast("string")
+    found = f'"{_NUMBER}([^"]*)"'
+
+    def respell(sorted_text: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(sorted_text, F.lit(found), F.lit(1)), number_text)
+        between = F.split(sorted_text, f'"{_NUMBER}[^"]*"', -1)
+        pairs = F.zip_with(between, numbers, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.array_join(pairs, "")
+
+    return let(ordered, respell)
 
 
 def number_text(java: Column) -> Column:

@@ -11,6 +11,7 @@ they are. Patterns follow Java syntax with Unicode classes switched on.
 
 from __future__ import annotations
 
+import re
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, SparkSession
@@ -135,6 +136,25 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
         f"exists(map_entries(m), e -> e.key RLIKE {_regex('p')} "
         f"OR coalesce(e.value RLIKE {_regex('p')}, false))",
     ),
+    # The same questions to one text or a list; conditions are led here by their receiver.
+    "any_value_contains_text": ("s STRING, x STRING", "BOOLEAN", "contains(s, x)"),
+    "any_value_contains_list": (
+        f"a {_LIST}, x STRING",
+        "BOOLEAN",
+        "exists(a, v -> coalesce(contains(v, x), false))",
+    ),
+    "any_value_matches_text": ("s STRING, p STRING", "BOOLEAN", f"s RLIKE {_regex('p')}"),
+    "any_value_matches_list": (
+        f"a {_LIST}, p STRING",
+        "BOOLEAN",
+        f"exists(a, v -> coalesce(v RLIKE {_regex('p')}, false))",
+    ),
+    "any_matches_text": ("s STRING, p STRING", "BOOLEAN", f"s RLIKE {_regex('p')}"),
+    "any_matches_list": (
+        f"a {_LIST}, p STRING",
+        "BOOLEAN",
+        f"exists(a, v -> coalesce(v RLIKE {_regex('p')}, false))",
+    ),
     "any_entry_matches": (
         f"m {_TEXTS}, kp STRING, vp STRING",
         "BOOLEAN",
@@ -180,9 +200,34 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
 }
 
 
+# Places of the pattern arguments of the functions above.
+PATTERN_ARGUMENTS = {
+    "matches": (1,),
+    "any_key_matches": (1,),
+    "any_name_matches": (1,),
+    "any_value_matches": (1,),
+    "any_item_matches": (1,),
+    "any_matches": (1,),
+    "any_value_matches_text": (1,),
+    "any_value_matches_list": (1,),
+    "any_matches_text": (1,),
+    "any_matches_list": (1,),
+    "any_entry_matches": (1, 2),
+    "all_entries_match": (1, 2),
+}
+
+
+# Functions that also take a text or a list; and all that take a root or another struct as a map.
+WIDE_RECEIVERS = ("any_value_contains", "any_value_matches", "any_matches")
+MAP_RECEIVERS = (
+    *WIDE_RECEIVERS, "has_key", "get_value", "get_all", "map_size", "any_key_matches", "any_name_matches",
+    "any_entry_matches", "all_entries_match",
+)
+
+
 def register_functions(spark: SparkSession) -> None:
     """Make the rule functions known to a session; does nothing if they already are."""
-    if spark.catalog.functionExists("in_cidr"):
+    if spark.catalog.functionExists("any_matches_list"):
         return
     for name, (parameters, result, body) in DEFINITIONS.items():
         spark.sql(
@@ -227,3 +272,12 @@ def call(name: str, *args: Column | str) -> Column:
     """
     register_functions(SparkSession.active())
     return F.call_function(name, *[F.lit(a) if isinstance(a, str) else a for a in args])
+
+
+def java_pattern_problem(spark: SparkSession, pattern: str) -> str | None:
+    """Why a pattern cannot be compiled, or None."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile("(?U)" + pattern)
+    except Exception as error:  # py4j wraps PatternSyntaxException
+        return re.sub(r"\s+", " ", str(getattr(error, "java_exception", error)))
+    return None

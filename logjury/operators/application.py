@@ -27,7 +27,7 @@ SERVICE_FIELDS = [
 
 # Source names and the words that point to them, in order of preference.
 SOURCE_WORDS = {
-    "oxibelt": ["oxibelt"],
+    "edge": ["edge"],
     "authelia": ["authelia"],
     "ory": ["ory", "kratos", "hydra"],
     "voidauth": ["voidauth"],

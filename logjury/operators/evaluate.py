@@ -1,8 +1,9 @@
 """Records x rules: every rule's answer on every record.
 
 Each rule ends as matched, not matched or error. SQL NULL is the error state: a rule that cannot
-be decided never matches. All rules of a set are evaluated in one projection without a shuffle;
-the answers are small numbers in an array that is exploded and joined to the rule names.
+be decided never matches. All rules of a set are evaluated in one projection; the answers are small
+numbers in an array, of which the hits are exploded. What a rule is called is looked up in a
+constant, so there is neither a join nor a shuffle.
 """
 
 from __future__ import annotations
@@ -12,22 +13,26 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logjury.functions.predicates import pattern_set_functions, register_functions
+from logjury.functions.predicates import java_pattern_problem, pattern_set_functions, register_functions
 from logjury.operators.roots import ROOTS, with_roots
-from logjury.operators.rules import RuleError, RuleSet, java_pattern_problem
+from logjury.operators.conditions import (
+    ConditionError,
+    hoisted_networks,
+    null_safe,
+    with_receivers,
+    without_traps,
+)
+from logjury.operators.records import literal_rows
+from logjury.operators.rules import RuleError, RuleSet
 from logjury.schema import RECORD_FIELDS
 from logjury.session import prepare
 
 NOT_MATCHED, MATCHED, UNDECIDED, WRONG_TYPE = 0, 1, 2, 3
 
-# Rules up to this number are broadcast; a larger rule table is joined by key with salting.
-BROADCAST_RULES = 20_000
-RULE_SALTS = 16
-
 
 @dataclass(frozen=True)
 class Predicate:
@@ -46,10 +51,10 @@ class Predicate:
         return F.when(value.isNull(), F.lit(UNDECIDED)).otherwise(F.lit(WRONG_TYPE)).cast("tinyint")
 
     def error(self) -> str:
-        return self.broken or f"condition evaluated to {self.kind}, expected bool"
+        return self.broken or f"no answer: condition is {self.kind}, not true or false"
 
 
-UNDECIDED_ERROR = "condition evaluated to null, expected bool"
+UNDECIDED_ERROR = "no answer: condition is null"
 
 
 @contextmanager
@@ -87,8 +92,8 @@ def _sample(spark: SparkSession) -> DataFrame:
     return with_roots(one).select(*ROOTS)
 
 
-def compile_rules(spark: SparkSession, rule_set: RuleSet) -> list[Predicate]:
-    """Analyse every condition once; raise ``RuleError`` for one that is no expression.
+def compile_rules(spark: SparkSession, rule_set: RuleSet) -> tuple[list[Predicate], dict[str, str]]:
+    """Analyse every condition once, and collect the addresses they look at; raise ``RuleError`` for one that is no expression.
 
     A condition that is an expression but cannot run (a malformed pattern) becomes a rule that
     reports an error on every record, as a rule that fails must not stop the others.
@@ -99,11 +104,20 @@ def compile_rules(spark: SparkSession, rule_set: RuleSet) -> list[Predicate]:
         for pattern in pattern_set.patterns if pattern_set.kind == "regex" else ():
             problem = java_pattern_problem(spark, pattern)
             if problem:
-                raise RuleError(f"invalid condition pattern set: {problem}")
+                raise RuleError(f"pattern set {pattern_set.name}: {problem}")
     for statement in pattern_set_functions(rule_set.patterns("contains"), rule_set.patterns("regex")):
         spark.sql(statement)
     sample = _sample(spark)
-    texts = {rule.name: rule_set.condition_of(rule) for rule in rule_set.ordered_rules()}
+    addresses: dict[str, str] = {}
+    texts = {}
+    for rule in rule_set.ordered_rules():
+        try:
+            text = with_receivers(sample, rule_set.condition_of(rule))
+            text = null_safe(without_traps(spark, text))
+            texts[rule.name] = hoisted_networks(spark, sample, text, addresses)
+        except ConditionError as error:
+            raise RuleError(f"rule {rule.name}: {error}") from error
+    sample = _with_addresses(sample, addresses)
     with _lenient(spark):
         try:
             analysed = sample.select(*[F.expr(t).alias(f"c{i}") for i, t in enumerate(texts.values())])
@@ -115,9 +129,14 @@ def compile_rules(spark: SparkSession, rule_set: RuleSet) -> list[Predicate]:
         for text, data_type in zip(texts.values(), types, strict=True):
             broken = None
             if not runnable and not _runs(sample.select(F.expr(text).alias("c"))):
-                broken = f"condition cannot be evaluated: {text}"
+                broken = f"condition fails: {text}"
             predicates.append(Predicate(text, _kind(data_type), broken))
-    return predicates
+    return predicates, addresses
+
+
+def _with_addresses(rooted: DataFrame, addresses: dict[str, str]) -> DataFrame:
+    """The bits of every address that rules look at, as columns of a projection of their own."""
+    return rooted.withColumns({name: F.expr(f"ip_bits({text})") for text, name in addresses.items()})
 
 
 def _analyse(sample: DataFrame, name: str, text: str) -> T.DataType:
@@ -125,7 +144,7 @@ def _analyse(sample: DataFrame, name: str, text: str) -> T.DataType:
         return sample.select(F.expr(text).alias("c")).schema[0].dataType
     except (AnalysisException, PySparkException) as error:
         message = str(error).split("\n")[0]
-        raise RuleError(f"invalid condition rule {name} expression: {message}") from error
+        raise RuleError(f"rule {name} cannot be analysed: {message}") from error
 
 
 def _runs(frame: DataFrame) -> bool:
@@ -145,84 +164,109 @@ def evaluate(records: DataFrame, rule_set: RuleSet, hits_only: bool = False) ->
     Quarantined lines (``parse_error`` set) are no records and are left out.
     """
     spark = records.sparkSession
-    predicates = compile_rules(spark, rule_set)
+    predicates, addresses = compile_rules(spark, rule_set)
     if "parse_error" in records.columns:
-        records = records.where(F.col("parse_error").isNull())
+        records = records.where(F.col("parse_error").isNull()).drop("raw_line")
     columns = records.columns
     if predicates:
         with _lenient(spark):
             states = F.array(*[p.state() for p in predicates])
-            answered = with_roots(records).select(*columns, states.alias("states"))
+            rooted = _with_addresses(with_roots(records), addresses)
+            answered = rooted.select(*columns, states.alias("states"))
     else:
         answered = records.withColumn("states", F.array().cast("array<tinyint>"))
-    exploded = answered.select(*columns, F.posexplode("states").alias("rule_rank", "state"))
-    if hits_only:
-        exploded = exploded.where(F.col("state") != NOT_MATCHED)
-    rules = _rule_frame(spark, rule_set, predicates)
-    return exploded.join(rules, "rule_rank").select(
+    answers = F.transform(
+        "states", lambda state, rank: F.struct(rank.alias("rule_rank"), state.alias("state"))
+    )
+    if hits_only:  # before the explode, so a record without a hit makes no row at all
+        answers = F.filter(answers, lambda answer: answer["state"] != NOT_MATCHED)
+    exploded = answered.select(*columns, F.explode(answers).alias("answer"))
+    state, rank = F.col("answer")["state"], F.col("answer")["rule_rank"]
+    rule = F.get(_rule_literal(rule_set, predicates), rank)
+    return exploded.select(
         *columns,
-        "rule_rank",
-        "condition",
-        "rule_id",
-        "tags",
-        "priority",
-        (F.col("state") == MATCHED).alias("matched"),
-        F.when(F.col("state") == UNDECIDED, F.lit(UNDECIDED_ERROR))
-        .when(F.col("state") == WRONG_TYPE, F.col("wrong_type"))
+        rank.alias("rule_rank"),
+        rule["condition"].alias("condition"),
+        rule["rule_id"].alias("rule_id"),
+        rule["tags"].alias("tags"),
+        rule["priority"].alias("priority"),
+        (state == MATCHED).alias("matched"),
+        F.when(state == UNDECIDED, F.lit(UNDECIDED_ERROR))
+        .when(state == WRONG_TYPE, rule["wrong_type"])
         .alias("error"),
     )
 
 
-def _rule_frame(spark: SparkSession, rule_set: RuleSet, predicates: list[Predicate]) -> DataFrame:
-    errors = spark.createDataFrame(
-        [(rank, p.error()) for rank, p in enumerate(predicates)],
-        "rule_rank int, wrong_type string",
+def _rule_literal(rule_set: RuleSet, predicates: list[Predicate]) -> Column:
+    """The rules in order as one constant, so that attaching them needs no join."""
+    rows = [
+        {
+            "condition": rule.name,
+            "rule_id": rule.id,
+            "tags": list(rule.tags),
+            "priority": rule.priority,
+            "wrong_type": predicate.error(),
+        }
+        for rule, predicate in zip(rule_set.ordered_rules(), predicates, strict=True)
+    ]
+    return literal_rows(
+        rows, "condition string, rule_id string, tags array<string>, priority bigint, wrong_type string"
     )
-    return rule_set.rule_frame(spark).join(errors, "rule_rank")
 
 
-def evaluate_table(
-    records: DataFrame, rules: DataFrame, broadcast_limit: int = BROADCAST_RULES
-) -> DataFrame:
-    """Matches and errors for rules kept in a table, for rule sets too large to write as text.
+def evaluate_table(records: DataFrame, rules: DataFrame) -> DataFrame:
+    """Matches for rules kept in a table, for rule sets too large to write as text.
+
+    A rule is a conjunction: ``(condition, source_eq, level_eq, service_eq, contains array)``, where
+    NULL or an empty array means "any"; ``rule_id``, ``tags`` and ``priority`` may be given. A rule
+    is keyed by the most telling equality it has (service, then source, then level), a record by its
+    own values, so only rules that agree on that key meet a record; rules without any equality have
+    to look at every record. The sides are joined without a hint: Catalyst broadcasts a rule table
+    whose size is below its threshold, and else splits hot keys at run time.
 
-    A rule is a conjunction: ``(condition, source_eq, level_eq, service_eq, contains array)``,
-    where NULL or an empty array means "any". Candidates come from an equality join on the
-    source, with a wildcard key for rules without one; the other tests are evaluated in the join.
-    A rule table beyond ``broadcast_limit`` rows is joined by shuffle, and since one source can
-    hold most records its key is salted.
+    Quarantined lines are no records. The tests are null-safe, so a record without a level merely
+    does not match; no rule of this form can fail, and ``error`` is always NULL.
 
-    Output: the record's columns, ``condition``, ``matched`` and ``error``.
+    Output: that of ``evaluate(..., hits_only=True)``, ready for ``decide``. Ranks follow priority and
+    name, as in a rule set.
     """
-    wildcard = F.lit("*")
-    keyed_rules = rules.withColumn(
-        "rule_key", F.coalesce(F.concat(F.lit("="), "source_eq"), wildcard)
+    if "parse_error" in records.columns:
+        records = records.where(F.col("parse_error").isNull()).drop("raw_line")
+    given = {
+        "rule_id": F.lit(None).cast("string"),
+        "tags": F.array().cast("array<string>"),
+        "priority": F.lit(0).cast("bigint"),
+    }
+    rules = rules.withColumns({name: c for name, c in given.items() if name not in rules.columns})
+
+    def key(kind: str, value: str) -> Column:
+        return F.concat(F.lit(f"{kind}="), F.col(value))
+
+    # One row per rule meets here, never a record.
+    rank = F.row_number().over(Window.orderBy("priority", "condition")) - 1
+    keyed_rules = rules.select(
+        "*",
+        rank.alias("rule_rank"),
+        F.coalesce(
+            key("service", "service_eq"), key("source", "source_eq"), key("level", "level_eq"), F.lit("*")
+        ).alias("rule_key"),
     )
-    keys = F.array(F.concat(F.lit("="), F.col("source")), wildcard)
-    keyed = records.withColumn("rule_key", F.explode(keys))
-    small = rules.limit(broadcast_limit + 1).count() <= broadcast_limit
-    if small:
-        keyed_rules, on = F.broadcast(keyed_rules), ["rule_key"]
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1)))
-        keyed_rules = keyed_rules.withColumn("salt", salts)
-        keyed = keyed.withColumn(
-            "salt", F.pmod(F.xxhash64("ord", "rec_idx"), F.lit(RULE_SALTS)).cast("int")
-        )
-        on = ["rule_key", "salt"]
-    record, rule = keyed.alias("record"), keyed_rules.alias("rule")
-    answer = (
-        (F.col("level_eq").isNull() | (F.col("level") == F.col("level_eq")))
-        & (F.col("service_eq").isNull() | (F.col("service") == F.col("service_eq")))
-        & F.forall("rule.contains", lambda part: F.contains(F.col("message"), part))
+    keys = F.array_compact(
+        F.array(key("service", "service"), key("source", "source"), key("level", "level"), F.lit("*"))
+    )
+    record, rule = records.withColumn("rule_key", F.explode(keys)).alias("record"), keyed_rules.alias("rule")
+
+    def agrees(name: str) -> Column:
+        return F.col(f"rule.{name}_eq").isNull() | F.col(f"record.{name}").eqNullSafe(F.col(f"rule.{name}_eq"))
+
+    texts = F.coalesce(
+        F.forall("rule.contains", lambda part: F.contains(F.col("record.message"), part)), F.lit(True)
     )
-    same_key = F.lit(True)
-    for key in on:
-        same_key = same_key & (F.col(f"record.{key}") == F.col(f"rule.{key}"))
-    joined = record.join(rule, same_key & F.coalesce(answer, F.lit(True)))
+    answer = agrees("source") & agrees("level") & agrees("service") & texts
+    joined = record.join(rule, (F.col("record.rule_key") == F.col("rule.rule_key")) & answer)
     return joined.select(
         *[F.col(f"record.{name}") for name in records.columns],
-        F.col("rule.condition").alias("condition"),
-        F.coalesce(answer, F.lit(False)).alias("matched"),
-        F.when(answer.isNull(), F.lit(UNDECIDED_ERROR)).alias("error"),
+        *[F.col(f"rule.{name}") for name in ("rule_rank", "condition", "rule_id", "tags", "priority")],
+        F.lit(True).alias("matched"),
+        F.lit(None).cast("string").alias("error"),
     )

@@ -6,41 +6,52 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logjury.operators.evaluate import evaluate
-from logjury.operators.rules import RuleSet
-from logjury.schema import CALLBACK_INTENT, ORDER_KEY
+from logjury.operators.records import literal_rows
+from logjury.operators.rules import RuleSet, action_rows
+from logjury.schema import ACTION, CALLBACK_INTENT, ORDER_KEY
 from logjury.session import ensure_checkpoint_dir
 
-# Up to this many latest decisions are picked by a bounded top-k.
-TOP_K = 10_000
+HANDLES = f"struct<handler_rank: int, handler: string, actions: array<{ACTION.simpleString()}>>"
 
 
 def judge(records: DataFrame, rule_set: RuleSet) -> DataFrame:
-    """Decisions of a rule set on records, as one narrow job.
+    """Decisions of a rule set on records, as one narrow job: no join, no shuffle.
 
     Every row carries the order key ``(ord, rec_idx, rule_rank, handler_rank, action_rank)``;
     ``number`` turns it into ids. A rule that failed gives one ``error`` decision, a matched rule
     one decision per action of each of its handlers (or one plain ``matched`` decision for a
     handler without actions).
     """
-    spark = records.sparkSession
     hits = evaluate(records, rule_set, hits_only=True)
     if not rule_set.judgment_enabled:
         hits = hits.where(F.lit(False))
-    return decide(hits, rule_set.handler_frame(spark), rule_set.mode, rule_set.generation)
+    own = F.get(_handler_literal(rule_set), F.col("rule_rank"))
+    return _decided(hits, own, rule_set.mode, rule_set.generation)
 
 
 def decide(hits: DataFrame, handlers: DataFrame, mode: str, generation: int) -> DataFrame:
-    """Fan matched evaluations out over a handler table; failed ones pass through.
+    """Decisions for hits of any origin, with the handlers in a table (``RuleSet.handler_frame``).
 
-    The handler side is configuration; Catalyst broadcasts it while it is small.
+    The handlers of a condition are brought together first, so every hit meets one row; Catalyst
+    broadcasts that side while it is small.
     """
+    rows = F.struct("handler_rank", "handler", "actions")
+    # Maps have no order, so the ranks alone are sorted and point to the rows.
+    sides = handlers.groupBy(F.col("condition").alias("_handles")).agg(
+        F.map_from_entries(F.collect_list(F.struct("handler_rank", rows))).alias("_rows")
+    ).select("_handles", F.transform(F.array_sort(F.map_keys("_rows")), lambda k: F.col("_rows")[k]).alias("_own"))
+    joined = hits.join(sides, F.col("condition") == F.col("_handles"), "left")
+    return _decided(joined, F.col("_own"), mode, generation)
+
+
+def _decided(hits: DataFrame, own: Column, mode: str, generation: int) -> DataFrame:
+    """Fan every hit out over the handlers of its rule (``own``); failed rules pass through."""
     failed = F.col("error").isNotNull()
-    side = handlers.withColumnRenamed("condition", "handles").drop("priority")
-    joined = hits.drop("priority").withColumnRenamed("message", "record_text").join(
-        side, (F.col("handles") == F.col("condition")) & ~failed, "left"
+    no_handler = F.array(F.lit(None).cast(HANDLES))
+    handled = hits.withColumnRenamed("message", "record_text").select(
+        "*", F.explode(F.when(failed, no_handler).otherwise(own)).alias("_to")
     )
-    live = joined.where(failed | F.col("handler").isNotNull())
-    fanned = live.select("*", F.posexplode_outer("actions").alias("action_pos", "action"))
+    fanned = handled.select("*", F.posexplode_outer("_to.actions").alias("action_pos", "action"))
     action = F.col("action")
     is_intent = action["kind"] == "emit_callback_intent"
     is_decision = action["kind"] == "emit_decision"
@@ -51,12 +62,12 @@ def decide(hits: DataFrame, handlers: DataFrame, mode: str, generation: int) ->
         "ord",
         "rec_idx",
         "rule_rank",
-        F.coalesce("handler_rank", F.lit(0)).alias("handler_rank"),
+        F.coalesce(F.col("_to.handler_rank"), F.lit(0)).alias("handler_rank"),
         F.coalesce("action_pos", F.lit(0)).alias("action_rank"),
         F.lit(generation).cast("bigint").alias("generation"),
         F.unix_millis(F.current_timestamp()).alias("created_at_unix_ms"),
         "condition",
-        "handler",
+        F.col("_to.handler").alias("handler"),
         _outcome(failed, is_intent).alias("outcome"),
         F.lit(mode).alias("mode"),
         F.when(failed, F.lit("error")).when(is_decision, action["severity"]).alias("severity"),
@@ -67,6 +78,18 @@ def decide(hits: DataFrame, handlers: DataFrame, mode: str, generation: int) ->
     )
 
 
+def _handler_literal(rule_set: RuleSet) -> Column:
+    """For every rule, in order, its handlers in order, as one constant."""
+    own: dict[str, list] = {}
+    for rank, handler in enumerate(rule_set.ordered_handlers()):
+        actions = [dict(zip(ACTION.names, row, strict=True)) for row in action_rows(handler)]
+        own.setdefault(handler.condition, []).append(
+            {"handler_rank": rank, "handler": handler.name, "actions": actions}
+        )
+    rows = [{"own": own.get(rule.name, [])} for rule in rule_set.ordered_rules()]
+    return F.transform(literal_rows(rows, f"own array<{HANDLES}>"), lambda row: row["own"])
+
+
 def _outcome(failed: Column, is_intent: Column) -> Column:
     return (
         F.when(failed, F.lit("error"))
@@ -111,14 +134,12 @@ def with_ids(decisions: DataFrame, start: int = 1) -> DataFrame:
 
 
 def recent(decisions: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
-    """The last ``n`` decisions, oldest first. Few are a top-k; many are cut by their number."""
+    """The last ``n`` decisions by key, oldest first, with the columns they came with.
+
+    ``n`` bounds the result, so this is a top-k: every task keeps its last ``n`` rows at most.
+    """
     keys = keys or ORDER_KEY
-    if n <= TOP_K:
-        last = decisions.orderBy(*[F.col(k).desc() for k in keys]).limit(n)
-        return last.orderBy(*keys)
-    numbered = decisions if "seq" in decisions.columns else number(decisions, keys)
-    total = numbered.agg(F.max("seq")).first()[0] or 0
-    return numbered.where(F.col("seq") > total - n).orderBy("seq")
+    return decisions.orderBy(*[F.col(k).desc() for k in keys]).limit(n).orderBy(*keys)
 
 
 def etag(generation: int) -> str:

@@ -59,7 +59,8 @@ def normalize(
     ``parse_error``; with ``mode="failfast"`` the first such line stops the job instead.
     ``first_only`` keeps only the first record of a line. Columns named in ``keep`` travel along.
 
-    Output: ``ord, rec_idx``, the kept columns, the seven record fields and ``parse_error``.
+    Output: ``ord, rec_idx``, the kept columns, the seven record fields, ``parse_error``, and for a
+    bad line ``raw_line``. Bad lines are named by ``line_no`` if the lines have one, else by ``ord``.
     """
     if mode not in ("quarantine", "failfast"):
         raise ValueError(f"unknown mode: {mode}")
@@ -70,12 +71,13 @@ def normalize(
     else:
         requested = registry.resolve_column(source)
         unknown = F.when(
-            requested.isNull(), F.concat(F.lit("unknown parse source: "), source.cast("string"))
+            requested.isNull(), F.concat(F.lit("no such source: "), source.cast("string"))
         )
     carried = keep or []
 
     cleaned = lines.where(~is_blank(F.col(line))).select(
         F.col(ord).alias("ord"),
+        F.col("line_no" if "line_no" in lines.columns else ord).alias("number"),
         *carried,
         strip_line_end(F.col(line)).alias("payload"),
         requested.alias("requested"),
@@ -84,8 +86,9 @@ def normalize(
     staged = cleaned
     for step in _steps(lines.sparkSession.sparkContext, registry, first_only):
         staged = staged.withColumns(step)
-    built = staged.select("ord", *carried, "parse_error", "over", "time", "wrapped", "records")
     failure = F.col("parse_error").isNotNull()
+    raw_line = F.when(failure, F.col("payload")).alias("raw_line")
+    built = staged.select("ord", *carried, "parse_error", raw_line, "over", "time", "wrapped", "records")
     if mode == "failfast":
         # The check sits in the explode input, so no later projection can skip it.
         records = F.when(failure, F.raise_error(F.col("parse_error")).cast(RECORDS)).otherwise(
@@ -94,7 +97,7 @@ def normalize(
     else:
         records = F.when(failure, F.array(F.lit(None)).cast(RECORDS)).otherwise(F.col("records"))
     exploded = built.select(
-        "ord", *carried, "parse_error", "over", "time", "wrapped",
+        "ord", *carried, "parse_error", "raw_line", "over", "time", "wrapped",
         F.posexplode(records).alias("rec_idx", "rec"),
     )
     # Every output depends on the exploded struct, so a filter on any of them stays above the
@@ -117,18 +120,19 @@ def normalize(
         .otherwise(rec["attributes"])
         .alias("attributes"),
         F.when(rec.isNull(), F.col("parse_error")).alias("parse_error"),
+        F.when(rec.isNull(), F.col("raw_line")).alias("raw_line"),
     )
 
 
 def unparsed(records: DataFrame) -> DataFrame:
-    """Quarantined rows: ``ord`` and the reason."""
-    return records.where(F.col("parse_error").isNotNull()).select("ord", "parse_error")
+    """Quarantined rows: ``ord``, the reason and the line as it came."""
+    return records.where(F.col("parse_error").isNotNull()).select("ord", "parse_error", "raw_line")
 
 
 def _malformed() -> Column:
     return F.when(
         F.col("members").isNull() & looks_like_object(F.col("payload")),
-        F.concat(F.lit("failed to parse JSON on line "), F.col("ord").cast("string")),
+        F.concat(F.lit("line "), F.col("number").cast("string"), F.lit(" is no JSON object")),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +42,8 @@ def only(one: Column) -> Column:
 def passthrough(members: Column, consumed: list[str]) -> Column:
     """Members a normalizer did not use, without JSON nulls."""
     return F.map_filter(members, lambda key, value: value.isNotNull() & ~key.isin(consumed))
+
+
+def literal_rows(rows: list[dict], fields: str) -> Column:
+    """Rows of configuration as one constant array of structs; the optimizer folds it once."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")

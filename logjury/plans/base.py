@@ -17,7 +17,7 @@ c = F.col
 
 # Per user: service name, the source it points to.
 SERVICES = [
-    ("oxibelt-edge", "oxibelt"),
+    ("Edge-Gate", "edge"),
     ("Authelia", "authelia"),
     ("Ory Kratos", "ory"),
     ("history", "ory"),

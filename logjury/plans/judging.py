@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logjury.operators.evaluate import evaluate, evaluate_table
-from logjury.operators.judge import judge, recent, status, with_ids
+from logjury.operators.judge import decide, judge, recent, status, with_ids
 from logjury.operators.roots import with_roots
 from logjury.operators.rules import (
     Action,
@@ -161,7 +161,8 @@ _function(
     "f1_contains",
     {
         "text": ("contains(Log.Message, 'denied')", "event_type = 'error'"),
-        "list": ("has_item(Context.RuleTags, 'x')", "false"),
+        "list": ("has_item(array(Log.Service, Log.Level), 'shop')", "svc = 'shop'"),
+        "empty": ("has_item(Context.RuleTags, 'x')", "false"),
     },
 )
 _function("f2_starts_with", {"text": ("startswith(Log.Service, 'h')", "starts_with(svc, 'h')")})
@@ -220,17 +221,36 @@ _function(
         "item": ("has_item(get_all(Log.Attributes, 'name'), 'shop')", "svc = 'shop'"),
     },
 )
-_function("f13_any_value_contains", {"map": ("any_value_contains(Log.Attributes, 'Kratos')", "svc = 'Ory Kratos'")})
+_TEXT_LIST = "array(Log.Service, Log.Message)"
+_function(
+    "f13_any_value_contains",
+    {
+        "map": ("any_value_contains(Log.Attributes, 'Kratos')", "svc = 'Ory Kratos'"),
+        "text": ("any_value_contains(Log.Service, 'sho')", "svc = 'shop'"),
+        "list": (f"any_value_contains({_TEXT_LIST}, 'view')", "event_type = 'view'"),
+        "root": ("any_value_contains(Log, 'event purchase')", "event_type = 'purchase'"),
+    },
+)
 _function("f14_any_key_matches", {"map": ("any_key_matches(Log.Attributes, '^method$')", "event_id % 2 = 0")})
 _function("f15_any_name_matches", {"map": ("any_name_matches(Log.Attributes, '(?i)^METH')", "event_id % 2 = 0")})
 _function(
     "f16_any_value_matches",
     {
         "map": ("any_value_matches(Log.Attributes, '^(GET|his.*)$')", "event_id % 2 = 0 OR svc = 'history'"),
-        "list": ("any_item_matches(Request.Tags, '.')", "false"),
+        "list": (f"any_value_matches({_TEXT_LIST}, '^event (view|click)')", "event_type IN ('view', 'click')"),
+        "text": ("any_value_matches(Log.Service, '^sh')", "svc = 'shop'"),
+        "items": (f"any_item_matches({_TEXT_LIST}, '^his')", "svc = 'history'"),
+        "empty": ("any_item_matches(Request.Tags, '.')", "false"),
+    },
+)
+_function(
+    "f17_any_matches",
+    {
+        "map": ("any_matches(Log.Attributes, '^(method|shop)$')", "event_id % 2 = 0 OR svc = 'shop'"),
+        "text": ("any_matches(Log.Service, '^sh')", "svc = 'shop'"),
+        "list": (f"any_matches({_TEXT_LIST}, '^(shop|event view)')", "svc = 'shop' OR event_type = 'view'"),
     },
 )
-_function("f17_any_matches", {"map": ("any_matches(Log.Attributes, '^(method|shop)$')", "event_id % 2 = 0 OR svc = 'shop'")})
 _function(
     "f18_any_entry_matches",
     {"map": ("any_entry_matches(Log.Attributes, '^(name|body)$', '^(shop|click)$')", "svc = 'shop' OR event_type = 'click'")},
@@ -300,8 +320,8 @@ _G_RULES = RuleSet(
 _G_SQL = """SELECT e.event_id, r.rule_rank, r.condition,
  CASE r.condition WHEN 'errors' THEN event_type = 'error' WHEN 'ory' THEN src = 'ory' AND event_type = 'view'
  WHEN 'always' THEN true WHEN 'text' THEN false ELSE event_id % 3 = 0 AND k > 50 END AS matched,
- CASE WHEN r.condition = 'text' THEN 'condition evaluated to string, expected bool'
- WHEN r.condition = 'number' AND event_id % 3 > 0 THEN 'condition evaluated to null, expected bool' END AS error
+ CASE WHEN r.condition = 'text' THEN 'no answer: condition is string, not true or false'
+ WHEN r.condition = 'number' AND event_id % 3 > 0 THEN 'no answer: condition is null' END AS error
  FROM e CROSS JOIN (VALUES (0, 'always'), (1, 'ory'), (2, 'errors'), (3, 'text'), (4, 'number')) r(rule_rank, condition)"""
 
 
@@ -322,6 +342,36 @@ def g2(spark, sf_dir):
     return rows.groupBy("condition", "matched", "error").agg(F.count("*").alias("n"))
 
 
+_NO_TRAPS = RuleSet(
+    rules=(
+        Rule("guarded", "Log.Service = 'nobody' AND matches(Log.Message, '(')"),
+        Rule("broken", "matches(Log.Message, '(') OR Log.Service = 'shop'", priority=1),
+        Rule("level", "Log.Level = 'error'", priority=2),
+        Rule("other", "'error' <> Log.Level", priority=3),
+        Rule("none", "Log.Level IS NULL", priority=4),
+    ),
+)
+
+
+@query(
+    "g2_no_traps",
+    oracle(
+        """SELECT event_id, condition, matched, CASE WHEN matched IS NULL THEN 'no answer: condition is null' END AS error FROM (
+ SELECT event_id, 'guarded' AS condition, false AS matched FROM e
+ UNION ALL SELECT event_id, 'broken', CASE WHEN svc = 'shop' THEN true END FROM e
+ UNION ALL SELECT event_id, 'level', event_id % 3 <> 0 AND level = 'error' FROM e
+ UNION ALL SELECT event_id, 'other', event_id % 3 = 0 OR level <> 'error' FROM e
+ UNION ALL SELECT event_id, 'none', event_id % 3 = 0 FROM e)"""
+    ),
+)
+def g2_no_traps(spark, sf_dir):
+    """A pattern that cannot be compiled and lines without a level stop neither job nor other rules."""
+    line = to_line(time="t", level=F.when(c("event_id") % 3 != 0, c("lvl")), service="svc", message="msg")
+    rows = evaluate(parse(events(spark, sf_dir), line, keep=["event_id"]), _NO_TRAPS)
+    matched = F.when(c("error").isNull(), c("matched"))
+    return rows.select("event_id", "condition", matched.alias("matched"), "error")
+
+
 @query("g3_hits", oracle(f"SELECT event_id, condition FROM ({_G_SQL}) WHERE matched OR error IS NOT NULL"))
 def g3(spark, sf_dir):
     return evaluate(_g_records(spark, sf_dir), _G_RULES, hits_only=True).select("event_id", "condition")
@@ -405,12 +455,12 @@ _RULES_SQL = """SELECT event_id, user_id, CASE event_id % 50 WHEN 1 THEN ' ' WHE
 @query(
     "g8_validate",
     f"""WITH r AS ({_RULES_SQL})
- SELECT name, 'name must not be empty' AS problem FROM r WHERE event_id % 50 = 1
- UNION ALL SELECT name, 'priority must not be negative' FROM r WHERE event_id % 40 = 7
- UNION ALL SELECT name, 'must declare when or groups' FROM r WHERE event_id % 30 = 11 AND event_id % 60 <> 11
- UNION ALL SELECT name, 'condition expression must not be empty' FROM r WHERE event_id % 30 = 12
- UNION ALL SELECT name, 'duplicate name' FROM r GROUP BY name HAVING count(*) > 1
- UNION ALL SELECT id, 'duplicate id' FROM r WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1""",
+ SELECT name, 'no name' AS problem FROM r WHERE event_id % 50 = 1
+ UNION ALL SELECT name, 'priority below zero' FROM r WHERE event_id % 40 = 7
+ UNION ALL SELECT name, 'neither when nor groups' FROM r WHERE event_id % 30 = 11 AND event_id % 60 <> 11
+ UNION ALL SELECT name, 'empty condition' FROM r WHERE event_id % 30 = 12
+ UNION ALL SELECT name, 'name occurs twice' FROM r GROUP BY name HAVING count(*) > 1
+ UNION ALL SELECT id, 'id occurs twice' FROM r WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1""",
 )
 def g8(spark, sf_dir):
     return validate_rule_table(_rule_definitions(spark, sf_dir))
@@ -481,6 +531,43 @@ def g1_table(spark, sf_dir):
     return rows.where("matched").select("event_id", "condition")
 
 
+_TABLE_HANDLERS = RuleSet(
+    conditions_enabled=True,
+    rules=(Rule("views", "true"), Rule("loud", "true")),
+    handlers=(
+        Handler("second", "loud", 2, (Action("emit_decision", 1, severity="low"),)),
+        Handler("first", "loud", 1, (Action("emit_callback_intent", 3, target="t", operation="o"), Action("emit_decision", 2))),
+        Handler("bare", "views", 3),
+    ),
+)
+
+
+@query(
+    "g1_table_decisions",
+    oracle(
+        """SELECT event_id, rule_rank, condition, handler, action_rank, outcome, severity FROM (
+ SELECT event_id, 1 AS rule_rank, 'views' AS condition, 'bare' AS handler, 0 AS action_rank, 'matched' AS outcome, NULL AS severity
+   FROM e WHERE event_type = 'view' AND event_id % 5 <> 0
+ UNION ALL SELECT event_id, 0, 'loud', v.* FROM e, (VALUES ('first', 0, 'matched', NULL), ('first', 1, 'callback_intent', NULL),
+   ('second', 0, 'matched', 'low')) v WHERE level = 'error' AND event_id % 3 <> 0 AND event_id % 5 <> 0)"""
+    ),
+)
+def g1_table_decisions(spark, sf_dir):
+    """Rules and handlers kept in tables, to decisions; some lines are broken, some have no level."""
+    whole = to_line(time="t", level=F.when(c("event_id") % 3 != 0, c("lvl")), service="svc", message="msg")
+    line = F.when(c("event_id") % 5 == 0, F.concat(whole, F.lit("}"))).otherwise(whole)
+    records = parse(events(spark, sf_dir), line, keep=["event_id"])
+    rules = spark.createDataFrame(
+        [("loud", None, "error", None, [], 1), ("views", None, None, None, ["event view"], 2), ("unheard", None, None, "shop", [], 3)],
+        "condition string, source_eq string, level_eq string, service_eq string, contains array<string>, priority bigint",
+    )
+    handlers = _TABLE_HANDLERS.handler_frame(spark)
+    rows = decide(evaluate_table(records, rules), handlers, "monitor", 1)
+    return rows.select(
+        c("ord").alias("event_id"), "rule_rank", "condition", "handler", "action_rank", "outcome", "severity"
+    )
+
+
 # ------------------------------------------------------------------ decisions
 
 _JUDGED = RuleSet(
@@ -514,7 +601,7 @@ _DECISIONS_SQL = """SELECT e.event_id, a.rule_rank, a.handler_rank, a.action_ran
  (2, 1, 0, 'errors', 'alert', 'matched', 'high', 'seen', NULL, NULL, NULL, NULL),
  (2, 1, 1, 'errors', 'alert', 'matched', NULL, NULL, NULL, NULL, NULL, NULL),
  (2, 1, 2, 'errors', 'alert', 'callback_intent', NULL, NULL, 'edge', 'review', 'd-1', 'a=b,k=v'),
- (3, 0, 0, 'number', NULL, 'error', 'error', 'condition evaluated to null, expected bool', NULL, NULL, NULL, NULL)
+ (3, 0, 0, 'number', NULL, 'error', 'error', 'no answer: condition is null', NULL, NULL, NULL, NULL)
  ) a(rule_rank, handler_rank, action_rank, condition, handler, outcome, severity, message, target, operation, dedupe_key, payload)
  ON CASE a.condition WHEN 'views' THEN event_type = 'view' WHEN 'errors' THEN event_type = 'error' ELSE event_id % 3 > 0 END"""
 
@@ -620,12 +707,12 @@ def h13(spark, sf_dir):
     "h14_validate",
     f"""WITH r AS ({_RULES_SQL}), h AS (SELECT CASE WHEN event_id % 25 = 3 THEN 'again' WHEN event_id % 25 = 4 THEN '' ELSE 'h-' || event_id END AS name,
  CASE WHEN event_id % 9 = 5 THEN '  ' ELSE 'rule-' || (event_id + 1) END AS condition, event_id FROM events)
- SELECT name, 'name must not be empty' AS problem FROM h WHERE name = ''
- UNION ALL SELECT name, 'condition must not be empty' FROM h WHERE condition = '  '
- UNION ALL SELECT name, 'priority must not be negative' FROM h WHERE event_id % 21 = 6
- UNION ALL SELECT name, 'action priority must not be negative' FROM h WHERE event_id % 33 = 8
- UNION ALL SELECT name, 'unknown condition' FROM h WHERE condition <> '  ' AND NOT EXISTS (SELECT 1 FROM r WHERE r.name = h.condition)
- UNION ALL SELECT name, 'duplicate name' FROM h GROUP BY name HAVING count(*) > 1""",
+ SELECT name, 'no name' AS problem FROM h WHERE name = ''
+ UNION ALL SELECT name, 'no condition' FROM h WHERE condition = '  '
+ UNION ALL SELECT name, 'priority below zero' FROM h WHERE event_id % 21 = 6
+ UNION ALL SELECT name, 'action priority below zero' FROM h WHERE event_id % 33 = 8
+ UNION ALL SELECT name, 'no such condition' FROM h WHERE condition <> '  ' AND NOT EXISTS (SELECT 1 FROM r WHERE r.name = h.condition)
+ UNION ALL SELECT name, 'name occurs twice' FROM h GROUP BY name HAVING count(*) > 1""",
 )
 def h14(spark, sf_dir):
     at = c("event_id")
@@ -704,18 +791,21 @@ def s1(spark, sf_dir):
 @query(
     "s2_stream_recent",
     oracle(
-        f"SELECT count(*) AS kept FROM (SELECT 1 FROM ({_MIXED_SQL}) LIMIT 256)"
+        f"""SELECT number, 'decision-' || number AS id, condition, handler, action_rank, outcome, record_message FROM (
+ SELECT *, row_number() OVER (ORDER BY event_id >= (SELECT median(event_id) FROM e), {_ORDER}) AS number FROM ({_MIXED_SQL}))
+ ORDER BY number DESC LIMIT 256"""
     ),
 )
 def s2(spark, sf_dir):
-    """The latest decisions over micro-batches; which rows are last depends on how files arrive."""
+    """The latest decisions over micro-batches: two files, one after the other, numbered on and on."""
     folder = scratch(spark)
     lines = mixed_lines(spark, sf_dir)
-    lines.repartition(2).write.parquet(f"{folder}/in")
+    middle = F.lit(lines.agg(F.median("ord")).first()[0])
+    for half in (c("ord") < middle, c("ord") >= middle):
+        lines.where(half).coalesce(1).sortWithinPartitions("ord").write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     store = RecentStore(spark, f"{folder}/recent", _JUDGED.max_decisions)
     running = run_recent(stream, _JUDGED, store, f"{folder}/state", sink=f"{folder}/out")
     running.awaitTermination()
-    return store.read(running.lastProgress["batchId"]).agg(F.count("*").alias("kept"))
-
-
+    rows = store.read(running.lastProgress["batchId"])
+    return rows.select(c("seq").alias("number"), "id", "condition", "handler", "action_rank", "outcome", "record_message")

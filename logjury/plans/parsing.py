@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from logjury.functions.text import strip_line_end
 from logjury.operators.application import looks_like_time
-from logjury.operators.normalize import BUILTIN
+from logjury.operators.judge import number
+from logjury.operators.normalize import BUILTIN, normalize
 from logjury.operators.records import record
 from logjury.plans.base import (
     app_line,
@@ -148,7 +149,7 @@ def _alias() -> Column:
 @query(
     "a7_alias",
     f"""SELECT event_id, {sql_case("event_id % 7", dict(enumerate(_CANONICAL)))} AS source,
- CASE WHEN event_id % 7 = 6 THEN 'unknown parse source: nowhere' END AS parse_error FROM events""",
+ CASE WHEN event_id % 7 = 6 THEN 'no such source: nowhere' END AS parse_error FROM events""",
 )
 def a7(spark, sf_dir):
     table = events(spark, sf_dir).withColumn("asked", _alias())
@@ -159,7 +160,7 @@ def a7(spark, sf_dir):
 
 _CHOICES = [
     "auto", "docker-logs", "docker_logs", "docker-journald", "docker_journald", "linux-journal",
-    "linux_journal", "openapi", "open-api", "admin-openapi", "oxibelt", "authelia", "ory",
+    "linux_journal", "openapi", "open-api", "admin-openapi", "edge", "authelia", "ory",
     "voidauth", "vaultwarden",
 ]
 
@@ -182,7 +183,7 @@ def a8(spark, sf_dir):
 
 @query(
     "a9_quarantine",
-    "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'failed to parse JSON on line ' || event_id END AS parse_error FROM events",
+    "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'line ' || event_id || ' is no JSON object' END AS parse_error FROM events",
 )
 def a9(spark, sf_dir):
     whole = app_line()
@@ -190,6 +191,25 @@ def a9(spark, sf_dir):
     return parse(events(spark, sf_dir), line, keep=["event_id"]).select("event_id", "parse_error")
 
 
+@query(
+    "a9_files",
+    """SELECT bucket, line_no, 'line ' || line_no || ' is no JSON object' AS parse_error, '{"broken":' || event_id AS raw_line,
+ row_number() OVER (ORDER BY bucket, line_no) AS bad_line FROM (SELECT event_id, event_id % 7 AS bucket,
+ row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) AS line_no FROM events) WHERE event_id % 4 = 1""",
+)
+def a9_files(spark, sf_dir):
+    """Bad lines of many files by the number they have in their file, in the order of the files."""
+    folder = scratch(spark)
+    line = F.when(c("event_id") % 4 == 1, F.concat(F.lit('{"broken":'), "event_id")).otherwise(c("msg"))
+    lines = events(spark, sf_dir).select("event_id", (c("event_id") % 7).alias("bucket"), line.alias("value"))
+    ordered = lines.repartition("bucket").sortWithinPartitions("bucket", "event_id")
+    ordered.select("bucket", "value").write.partitionBy("bucket").text(folder)
+    records = normalize(number_lines(read_lines(spark, folder)), keep=["file", "line_no"])
+    bad = number(records.where("parse_error IS NOT NULL"), ["ord"], "bad_line")
+    bucket = F.regexp_extract("file", r"bucket=(\d+)", 1).cast("bigint")
+    return bad.select(bucket.alias("bucket"), "line_no", "parse_error", "raw_line", "bad_line")
+
+
 _TAILS = ["", " ", " junk", "]", ',"x":2}', "{}", "}", "\t\t"]
 
 
@@ -716,13 +736,24 @@ def n26(spark, sf_dir):
     return parse(events(spark, sf_dir), line, keep=["event_id"]).select("event_id", "message")
 
 
-_VALUES = ["1.0", "1e20", "-0.5", "true", "[1, 2.50,{\"b\":null,\"a\":\"x\"}]", '{"z":1,"a":[]}', '"1.0E7"', "25000000.25", "1.5e-9"]
-_TEXTS = ["1.0", "1e20", "-0.5", "true", '[1,2.5,{"a":"x","b":null}]', '{"a":[],"z":1}', "1.0E7", "25000000.25", "1.5e-9"]
+_VALUES = [
+    "1.0", "1e20", "-0.5", "true", "[1, 2.50,{\"b\":null,\"a\":\"x\"}]", '{"z":1,"a":[]}', '"1.0E7"', "25000000.25", "1.5e-9",
+    "[1e20]", '{"z":1.0,"a":2}', '{"q":"1.0 \\\\ 2e3","b":[-1.50,1e-7,{"y":0,"x":100.0}]}',
+]
+_TEXTS = [
+    "1.0", "1e20", "-0.5", "true", '[1,2.5,{"a":"x","b":null}]', '{"a":[],"z":1}', "1.0E7", "25000000.25", "1.5e-9",
+    "[1e20]", '{"a":2,"z":1.0}', '{"b":[-1.5,1e-7,{"x":100.0,"y":0}],"q":"1.0 \\\\ 2e3"}',
+]
+
+
+def _texts_sql() -> str:
+    arms = " ".join(f"WHEN {i} THEN '{text}'" for i, text in enumerate(_TEXTS))
+    return f"CASE event_id % {len(_TEXTS)} {arms} END"
 
 
-@query("n27_json_text", f"""SELECT event_id, {sql_case("event_id % 9", dict(enumerate(_TEXTS)))} AS v FROM events""")
+@query("n27_json_text", f"""SELECT event_id, {_texts_sql()} AS v FROM events""")
 def n27(spark, sf_dir):
-    value = F.get(F.array(*[F.lit(v) for v in _VALUES]), (c("event_id") % 9).cast("int"))
+    value = F.get(F.array(*[F.lit(v) for v in _VALUES]), (c("event_id") % len(_VALUES)).cast("int"))
     line = F.concat(F.lit('{"v":'), value, F.lit("}"))
     return parse(events(spark, sf_dir), line, keep=["event_id"]).select("event_id", attr("v"))
 

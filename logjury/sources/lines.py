@@ -12,8 +12,8 @@ from logjury.functions.text import is_blank, strip_line_end
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of text files as ``(ord, file, split, value)``.
 
-    ``ord`` grows in reading order and is unique, but it is not dense; ``number_lines`` gives
-    exact line numbers at the price of a second pass.
+    ``ord`` is unique and grows within a file split; it is neither dense nor in file order, as Spark
+    packs splits by size. ``number_lines`` gives order and line numbers for a second pass.
     """
     lines = _with_file(spark.read.text(path))
     return lines.select(F.monotonically_increasing_id().alias("ord"), "file", "split", "value")
@@ -44,22 +44,36 @@ def _with_file(lines: DataFrame) -> DataFrame:
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Add the 1-based ``line_no`` of every line within its file.
+    """Add the 1-based ``line_no`` of every line within its file, and make ``ord`` the place of the
+    line in the order of (file, line): dense, and the same however the files were split.
 
-    Lines of one file split are consecutive, so a count and a smallest ``ord`` per split are
-    enough: one row per split is aggregated, running totals are taken per file, and the rows are
-    numbered by a join on the split. No line is moved for sorting.
+    Lines of one file split are consecutive in one task, so a count and a smallest ``ord`` per split
+    are enough: one row per split is aggregated, running totals are taken, and the rows are numbered
+    by a join on the split. No line is moved. ``normalize`` names bad lines by ``line_no``.
     """
     splits = lines.groupBy("file", "split").agg(
         F.min("ord").alias("first_ord"), F.count("*").alias("lines")
     )
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    rows = Window.unboundedPreceding, -1
+    in_file = Window.partitionBy("file").orderBy("split").rowsBetween(*rows)
+    in_all = Window.orderBy("file", "split").rowsBetween(*rows)
     offsets = splits.select(
-        "file", "split", "first_ord", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("skip")
+        "file",
+        "split",
+        "first_ord",
+        F.coalesce(F.sum("lines").over(in_file), F.lit(0)).alias("skip"),
+        F.coalesce(F.sum("lines").over(in_all), F.lit(0)).alias("start"),
+    )
+    # One row per input split, a list the driver holds anyway to plan the scan.
+    joined = lines.join(F.broadcast(offsets), ["file", "split"])
+    at = F.col("ord") - F.col("first_ord")
+    return joined.select(
+        (F.col("start") + at).alias("ord"),
+        "file",
+        "split",
+        "value",
+        (F.col("skip") + at + 1).alias("line_no"),
     )
-    return lines.join(offsets, ["file", "split"]).withColumn(
-        "line_no", F.col("ord") - F.col("first_ord") + F.col("skip") + 1
-    ).drop("first_ord", "skip")
 
 
 def clean_lines(lines: DataFrame, line: str = "value") -> DataFrame:

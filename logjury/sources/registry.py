@@ -108,7 +108,7 @@ class Registry:
         try:
             return self.aliases()[name]
         except KeyError:
-            raise UnknownSource(f"unknown parse source: {name}") from None
+            raise UnknownSource(f"no such source: {name}") from None
 
     def resolve_column(self, name: Column) -> Column:
         """Canonical source per row; NULL for an unknown name."""

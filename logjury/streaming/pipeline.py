@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logjury.operators.judge import judge, recent
+from logjury.operators.judge import judge, recent, with_ids
 from logjury.operators.normalize import normalize
 from logjury.operators.rules import RuleSet
 from logjury.schema import ORDER_KEY
@@ -38,7 +38,9 @@ class RecentStore:
     """The latest decisions across micro-batches, in a folder all executors share.
 
     Every batch writes a folder of its own, ``batch=<id>``, from the one before it plus its own
-    last rows. Redoing a batch after a failure rewrites the same folder with the same rows.
+    last rows, and the next free decision number to ``next/batch=<id>``. Redoing a batch after a
+    failure rewrites the same folders with the same rows; folders older than the one before are
+    dropped. A batch whose predecessor is missing is refused, as its view would be wrong.
     """
 
     KEY = ["batch_id", *ORDER_KEY]
@@ -51,20 +53,41 @@ class RecentStore:
     def _folder(self, batch: int) -> str:
         return f"{self.path}/batch={batch}"
 
-    def _exists(self, batch: int) -> bool:
-        hadoop = self.spark._jsc.hadoopConfiguration()
-        marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._folder(batch)}/_SUCCESS")
-        return marker.getFileSystem(hadoop).exists(marker)
+    def _counter(self, batch: int) -> str:
+        return f"{self.path}/next/batch={batch}"
+
+    def _hadoop(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _exists(self, folder: str) -> bool:
+        files, marker = self._hadoop(f"{folder}/_SUCCESS")
+        return files.exists(marker)
+
+    def _drop(self, folder: str) -> None:
+        files, path = self._hadoop(folder)
+        files.delete(path, True)
+
+    def next_number(self, batch: int) -> int:
+        """The number the first decision of this batch gets."""
+        if batch == 0:
+            return 1
+        if not self._exists(self._counter(batch - 1)):
+            raise RuntimeError(f"{self.path} holds no batch {batch - 1}; store and checkpoint belong together")
+        return self.spark.read.parquet(self._counter(batch - 1)).first()["next"]
 
     def update(self, decisions: DataFrame, batch: int) -> None:
-        """Merge one micro-batch; call from ``foreachBatch``."""
-        if self.max_decisions == 0:
-            return
+        """Merge the numbered decisions of one micro-batch; call from ``foreachBatch``."""
+        first = self.next_number(batch)
         new = recent(decisions, self.max_decisions).withColumn("batch_id", F.lit(batch).cast("bigint"))
-        if batch > 0 and self._exists(batch - 1):
+        if batch > 0:
             new = self.spark.read.parquet(self._folder(batch - 1)).unionByName(new)
-        merged = recent(new, self.max_decisions, self.KEY)
-        merged.coalesce(1).write.mode("overwrite").parquet(self._folder(batch))
+        recent(new, self.max_decisions, self.KEY).write.mode("overwrite").parquet(self._folder(batch))
+        counted = decisions.agg((F.count("*") + first).alias("next"))
+        counted.write.mode("overwrite").parquet(self._counter(batch))
+        if batch > 1:
+            self._drop(self._folder(batch - 2))
+            self._drop(self._counter(batch - 2))
 
     def read(self, batch: int) -> DataFrame:
         """The view after a batch, oldest first."""
@@ -81,13 +104,15 @@ def run_recent(
 ) -> StreamingQuery:
     """Judge a line stream in micro-batches and keep the latest decisions in ``store``.
 
-    ``ord`` becomes the position of the line in its batch. With ``sink`` all decisions of a batch
-    are written there too, one folder per batch. ``options`` go to ``normalize``.
+    ``ord`` becomes the position of the line in its batch. Decisions are numbered on and on over the
+    batches. With ``sink`` all decisions of a batch are written there too, one folder per batch.
+    ``options`` go to ``normalize``.
     """
 
     def on_batch(batch_lines: DataFrame, batch: int) -> None:
         placed = batch_lines.withColumn("ord", F.monotonically_increasing_id())
         decisions = judge(normalize(placed, **options), rule_set)
+        decisions = with_ids(decisions, start=store.next_number(batch))
         if sink:
             target = f"{sink.rstrip('/')}/batch={batch}"
             decisions.write.mode("overwrite").parquet(target)

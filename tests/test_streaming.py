@@ -1,6 +1,6 @@
 import pytest
 
-from logjury import Action, Handler, Rule, RuleSet, judge, ndjson, normalize, number_lines, read_lines, stream_lines, write_ndjson
+from logjury import Action, Handler, Rule, RuleSet, judge, ndjson, normalize, number_lines, read_lines, stream_lines, with_ids, write_ndjson
 from logjury.schema import ORDER_KEY
 from logjury.streaming import RecentStore, run_recent, run_to_table
 
@@ -51,6 +51,8 @@ def test_recent_over_batches(spark, folder):
     first, last = store.read(0).collect(), store.read(1).collect()
     assert len(first) == 5 and len(last) == 5
     assert {r["batch_id"] for r in last} == {1}
+    assert [r["id"] for r in first] == [f"decision-{n}" for n in range(1, 6)]
+    assert [r["id"] for r in last] == [f"decision-{n}" for n in range(6, 11)]
     assert [tuple(r[k] for k in ORDER_KEY) for r in last] == sorted(tuple(r[k] for k in ORDER_KEY) for r in last)
 
 
@@ -66,3 +68,32 @@ def test_ndjson_files(spark, folder):
         '{"schema":"my.v1","source":"docker_logs","service":"é","message":"m","attributes":{"a":"x\\"y","z":"1"}}',
     ]
     assert records.where("parse_error IS NULL").select(ndjson()).count() == 2
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 100_000])
+def test_store_keeps_the_last(spark, tmp_path, n):
+    lines = [(k, f"denied {k}") for k in range(4)]
+    decisions = judge(normalize(spark.createDataFrame(lines, "ord long, value string")), RULES)
+    store = RecentStore(spark, str(tmp_path / "store"), n)
+    for batch in range(3):
+        store.update(with_ids(decisions, start=store.next_number(batch)), batch)
+    seen = [r["seq"] for r in store.read(2).collect()]
+    assert seen == list(range(1, 13))[max(0, 12 - n) :][: n or 0]
+    assert not (tmp_path / "store" / "batch=0").exists()
+    with pytest.raises(RuntimeError, match="no batch 7"):
+        store.update(decisions, 8)
+
+
+def test_ids_do_not_depend_on_splits(spark, folder):
+    """Order and numbers follow files and lines, whatever the size of the splits."""
+    seen = []
+    for size in ("64", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            numbered = number_lines(read_lines(spark, str(folder / "in")))
+            rows = with_ids(judge(normalize(numbered), RULES)).orderBy("seq").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        seen.append([(r["id"], r["ord"], r["record_message"]) for r in rows])
+    assert seen[0] == seen[1] and len(seen[0]) == 10
+    assert [m for _, _, m in seen[0]] == [f"denied {k}" for k in range(1, 20, 2)]
