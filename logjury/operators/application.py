@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from logjury.functions.text import (
     strip_start,
 )
 from logjury.operators.records import only, passthrough, record
-from logjury.sources.registry import APPLICATION, Descriptor, Line, Provider
+from logjury.sources.registry import APPLICATION, Descriptor, Line, Provider, SourceWords
 
 # Field names in order of preference.
 MESSAGE_FIELDS = ["message", "msg", "log", "event", "error", "description"]
@@ -25,15 +27,17 @@ SERVICE_FIELDS = [
     "application", "logger", "target", "component",
 ]
 
-# Source names and the words that point to them, in order of preference.
+# Source names and the words that point to them, in order of preference. These are well-known public
+# services; a deployment passes its own to ``provider``.
 SOURCE_WORDS = {
-    "edge": ["edge"],
     "authelia": ["authelia"],
     "ory": ["ory", "kratos", "hydra"],
     "voidauth": ["voidauth"],
     "vaultwarden": ["vaultwarden", "bitwarden"],
 }
 FALLBACK_SOURCE = "docker_logs"
+# Whose bracketed text is, if nothing else is known.
+BRACKET_SOURCE = "vaultwarden"
 
 # Keys of key=value text.
 PAIR_MESSAGE = ["msg", "message"]
@@ -42,8 +46,6 @@ PAIR_LEVEL = ["level", "lvl"]
 PAIR_SERVICE = ["service", "service_name", "app"]
 PAIR_REQUIRED = ["msg", "message", "level", "time"]
 
-DESCRIPTORS = tuple(Descriptor(name, (name,), APPLICATION) for name in SOURCE_WORDS)
-
 _BRACKETS = r"(?sU)^\[([^\]]*+)\]\s*+\[([^\]]*+)\]\s*+\[([^\]]*+)\](.*)\z"
 
 # One pair, anchored where the previous one ended; stops at the first word without "=".
@@ -55,28 +57,28 @@ _PAIR = (
 _STARTS_WITH_PAIR = r"^[ \t\n\f\r]*+[^ \t\n\f\r=]++="
 
 
-def source_from_words(text: Column) -> Column:
+def source_from_words(text: Column, source_words: SourceWords) -> Column:
     """First source one of whose words occurs in a lower-case text."""
     found = F.lit(FALLBACK_SOURCE)
-    for name, words in reversed(SOURCE_WORDS.items()):
-        hit = F.contains(text, F.lit(words[0]))
-        for word in words[1:]:
+    for name, words in reversed(source_words):
+        hit = F.lit(False)
+        for word in words:
             hit = hit | F.contains(text, F.lit(word))
         found = F.when(hit, F.lit(name)).otherwise(found)
     return found
 
 
-def infer_source(requested: Column, lower_text: Column) -> Column:
+def infer_source(requested: Column, lower_text: Column, source_words: SourceWords) -> Column:
     """The named source; in auto mode the one the service name or payload points to."""
-    return F.when(requested != "auto", requested).otherwise(source_from_words(lower_text))
+    return F.when(requested != "auto", requested).otherwise(source_from_words(lower_text, source_words))
 
 
-def json_records(line: Line) -> Column:
+def json_records(line: Line, source_words: SourceWords) -> Column:
     field = line.object.field
     service = line.prepared["service"]
     return only(
         record(
-            source=infer_source(line.requested, line.prepared["lower_service"]),
+            source=infer_source(line.requested, line.prepared["lower_service"], source_words),
             timestamp=field(*TIME_FIELDS),
             level=field(*LEVEL_FIELDS),
             service=service,
@@ -93,13 +95,13 @@ def unstructured_source(requested: Column) -> Column:
     return F.when(requested == "auto", F.lit(FALLBACK_SOURCE)).otherwise(requested)
 
 
-def bracketed(line: Line) -> Column:
+def bracketed(line: Line, bracket_source: str) -> Column:
     """``[time][service][LEVEL] message``; NULL if the text has another form."""
 
     def part(n: int) -> Column:
         return F.regexp_extract(line.payload, _BRACKETS, n)
 
-    source = F.when(line.is_auto, F.lit("vaultwarden")).otherwise(line.requested)
+    source = F.when(line.is_auto, F.lit(bracket_source)).otherwise(line.requested)
     return F.when(
         F.startswith(line.payload, F.lit("[")) & is_level_token(part(3)),
         record(
@@ -171,8 +173,8 @@ def plain(line: Line) -> Column:
     )
 
 
-def text_records(line: Line) -> Column:
-    return only(F.coalesce(bracketed(line), key_value(line), plain(line)))
+def text_records(line: Line, bracket_source: str) -> Column:
+    return only(F.coalesce(bracketed(line, bracket_source), key_value(line), plain(line)))
 
 
 def scan(line: Line) -> Column:
@@ -214,10 +216,23 @@ def split_level(line: Line) -> Column:
     )
 
 
-PROVIDER = Provider(
-    DESCRIPTORS,
-    takes_json=lambda line: F.lit(True),
-    json=json_records,
-    text=text_records,
-    prepare=(scan, split_time, split_level),
-)
+def provider(
+    source_words: Mapping[str, Sequence[str]] = SOURCE_WORDS, bracket_source: str = BRACKET_SOURCE
+) -> Provider:
+    """Application logs of these sources.
+
+    A line in auto mode belongs to the first source one of whose words is in its service name, and
+    bracketed text to ``bracket_source``.
+    """
+    words = tuple((name, tuple(found)) for name, found in source_words.items())
+    return Provider(
+        tuple(Descriptor(name, (name,), APPLICATION) for name, _ in words),
+        takes_json=lambda line: F.lit(True),
+        json=lambda line: json_records(line, words),
+        text=lambda line: text_records(line, bracket_source),
+        prepare=(scan, split_time, split_level),
+        source_words=words,
+    )
+
+
+PROVIDER = provider()

@@ -172,7 +172,7 @@ def _steps(
         },
         {"text": lower_ascii(c("text")), "mark": if_wrapped(object_mark(c("payload")))},
         {
-            "requested": if_wrapped(infer_source(c("requested"), c("text")), "requested"),
+            "requested": if_wrapped(infer_source(c("requested"), c("text"), registry.source_words), "requested"),
             "parsed": if_wrapped(parse_marked(c("payload"), c("mark"))),
         },
         {"parsed": if_wrapped(without_mark(c("parsed"), c("mark")))},
@@ -227,7 +227,7 @@ def _open_deeper(registry: Registry, line: Line) -> Column:
         text = docker.inner_payload(here.object)
         requested = let(
             lower_ascii(docker.source_text(here, text)),
-            lambda lower: infer_source(here.requested, lower),
+            lambda lower: infer_source(here.requested, lower, registry.source_words),
         )
         over = overlay_map(docker.overlay(here.object), state["over"])
         time = F.coalesce(state["time"], here.object.field("time"))

@@ -10,8 +10,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logjury.operators.normalize import normalize
+from logjury.operators import api, application, docker, journal
+from logjury.operators.normalize import normalize as normalize_lines
 from logjury.session import ensure_checkpoint_dir, prepare
+from logjury.sources.registry import Registry
 
 c = F.col
 
@@ -35,6 +37,21 @@ LEVELS = {
 }
 
 
+# The built-in providers, with one source of our own.
+SOURCES = Registry(
+    (
+        docker.PROVIDER,
+        journal.PROVIDER,
+        api.PROVIDER,
+        application.provider({"edge": ["edge"], **application.SOURCE_WORDS}),
+    )
+)
+
+
+def normalize(lines: DataFrame, **options) -> DataFrame:
+    return normalize_lines(lines, **{"registry": SOURCES, **options})
+
+
 def _case(column: Column, values: dict) -> Column:
     found = F.lit(None).cast("string")
     for key, value in values.items():

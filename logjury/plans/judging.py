@@ -23,6 +23,7 @@ from logjury.plans.base import (
     app_line,
     c,
     events,
+    normalize,
     oracle,
     parse,
     scratch,
@@ -766,8 +767,6 @@ _MIXED_SQL = _DECISIONS_SQL.replace(
 
 
 def end_to_end(spark, sf_dir):
-    from logjury.operators.normalize import normalize
-
     return _flat(judge(normalize(mixed_lines(spark, sf_dir)), _JUDGED))
 
 
@@ -777,8 +776,6 @@ query("h16_end_to_end", oracle(_MIXED_SQL))(end_to_end)
 @query("s1_stream_decisions", oracle(_MIXED_SQL))
 def s1(spark, sf_dir):
     """The flagship on a stream: lines land as files, decisions are appended to a table."""
-    from logjury.operators.normalize import normalize
-
     folder = scratch(spark)
     lines = mixed_lines(spark, sf_dir)
     lines.write.parquet(f"{folder}/in")

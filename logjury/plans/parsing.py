@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from logjury.functions.text import strip_line_end
 from logjury.operators.application import looks_like_time
 from logjury.operators.judge import number
-from logjury.operators.normalize import BUILTIN, normalize
 from logjury.operators.records import record
 from logjury.plans.base import (
+    SOURCES,
     app_line,
     attr,
     c,
     events,
+    normalize,
     oracle,
     parse,
     scratch,
@@ -174,7 +175,7 @@ _CHOICES = [
 )
 def a8(spark, sf_dir):
     asked = events(spark, sf_dir).groupBy(_alias().alias("alias")).agg(F.count("*").alias("asked"))
-    choices = BUILTIN.alias_table(spark)
+    choices = SOURCES.alias_table(spark)
     return choices.join(asked, "alias", "left").select("position", c("alias").alias("choice"), "asked")
 
 
@@ -309,7 +310,7 @@ WORDS = Provider(
     ),
 )
 def b7(spark, sf_dir):
-    registry = BUILTIN.with_provider(WORDS)
+    registry = SOURCES.with_provider(WORDS)
     rows = parse(events(spark, sf_dir), c("msg"), source="example-idp", registry=registry, keep=["event_id"])
     return rows.select("event_id", "source", "rec_idx", "message")
 

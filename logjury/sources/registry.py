@@ -23,6 +23,10 @@ API = "api"
 APPLICATION = "application"
 
 
+# Source names with the words that point to them, in order of preference.
+SourceWords = tuple[tuple[str, tuple[str, ...]], ...]
+
+
 class UnknownSource(ValueError):
     """A requested source that no provider knows."""
 
@@ -71,6 +75,7 @@ class Provider:
     text: Callable[[Line], Column] | None = None
     unwraps: bool = False
     prepare: tuple[Callable[[Line], Column], ...] = ()
+    source_words: SourceWords = ()
 
     @property
     def canonical_names(self) -> list[str]:
@@ -90,6 +95,11 @@ class Registry:
             return Registry((provider, *self.providers))
         return Registry((*self.providers, provider))
 
+    @property
+    def source_words(self) -> SourceWords:
+        """Words of all providers by which a wrapped payload is led to a source."""
+        return tuple(words for p in self.providers for words in p.source_words)
+
     def descriptors(self) -> list[Descriptor]:
         return [d for p in self.providers for d in p.descriptors]
 

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 from logjury import BUILTIN, Descriptor, Provider, UnknownSource, normalize
 from logjury.functions.json import open_object, text_map
+from logjury.operators import application
 from logjury.operators.records import only, record
 from logjury.schema import SCHEMA_TAG
+from logjury.sources.registry import Registry
 
 DOCKER = "docker_logs"
+# The built-in providers with a source of our own.
+SOURCES = Registry((*BUILTIN.providers[:-1], application.provider({"edge": ["edge"], **application.SOURCE_WORDS})))
 
 # name -> (requested source, line, expected records); a record is a dict of the fields to check,
 # ``None`` instead of the list stands for a quarantined line.
@@ -79,7 +83,7 @@ VECTORS = {
         [
             {
                 "source": "openapi", "service": "depot", "level": "info", "message": "ok",
-                "attributes": {"request_id": "q-77", "api_collection": "operations"},
+                "attributes": {"request_id": "q-77", "actor": "robot", "api_collection": "operations"},
             },
             {"level": "error", "message": "failed"},
         ],
@@ -170,7 +174,7 @@ def parsed(spark):
             vectors[f"{kind} depth {depth}"] = ("auto", build(depth), [expected])
     rows = [(i, name, *v[:2]) for i, (name, v) in enumerate(vectors.items())]
     lines = spark.createDataFrame(rows, "ord long, name string, asked string, value string")
-    found = normalize(lines, source=F.col("asked"), keep=["name"])
+    found = normalize(lines, source=F.col("asked"), keep=["name"], registry=SOURCES)
     records = {name: [] for name in vectors}
     for row in found.orderBy("ord", "rec_idx").collect():
         records[row["name"]].append(row)
@@ -257,14 +261,14 @@ def test_logfmt_on_long_lines(spark):
 
 def test_plug_in_source(spark):
     provider = Provider(
-        (Descriptor("example_idp", ("example-idp",), "application"),),
+        (Descriptor("badge_reader", ("badge-reader",), "application"),),
         text=lambda line: only(record(line.requested, line.payload)),
     )
     registry = BUILTIN.with_provider(provider)
-    assert registry.resolve("example-idp") == "example_idp"
-    lines = spark.createDataFrame([(1, "accepted")], "ord long, value string")
-    rows = normalize(lines, source="example-idp", registry=registry).collect()
-    assert [(r["source"], r["message"]) for r in rows] == [("example_idp", "accepted")]
+    assert registry.resolve("badge-reader") == "badge_reader"
+    lines = spark.createDataFrame([(1, "door 4 opened")], "ord long, value string")
+    rows = normalize(lines, source="badge-reader", registry=registry).collect()
+    assert [(r["source"], r["message"]) for r in rows] == [("badge_reader", "door 4 opened")]
 
 
 def test_failfast_and_unknown_name(spark):

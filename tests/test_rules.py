@@ -26,8 +26,8 @@ from logjury import (
 from logjury.functions.predicates import call
 
 LINES = [
-    '{"service":"edge-7","level":"error","message":"door jammed"}',
-    '{"service":"edge-7","level":"warn","message":"badge denied at gate"}',
+    '{"service":"authelia-7","level":"error","message":"door jammed"}',
+    '{"service":"authelia-7","level":"warn","message":"badge denied at gate"}',
     '{"service":"shop","message":"7"}',
 ]
 
@@ -47,8 +47,8 @@ def test_field_rule_and_group(records):
     found = answers(
         records,
         (
-            Rule("plain", "Log.Source == 'edge' AND Log.Level == 'error'"),
-            Rule("grouped", "Log.Source = 'edge'", groups=("bad",)),
+            Rule("plain", "Log.Source == 'authelia' AND Log.Level == 'error'"),
+            Rule("grouped", "Log.Source = 'authelia'", groups=("bad",)),
         ),
         groups=(Group("bad", "Log.Level = 'error'"),),
     )
@@ -257,9 +257,9 @@ def test_rule_table(spark, threshold):
     """With the rules broadcast and with both sides shuffled; bad lines are no records."""
     rules = spark.createDataFrame(
         [
-            ("a", "edge", "error", None, ["jam"]),
+            ("a", "authelia", "error", None, ["jam"]),
             ("b", None, None, "shop", []),
-            ("c", "edge", None, None, ["denied", "badge"]),
+            ("c", "authelia", None, None, ["denied", "badge"]),
             ("d", None, "error", None, []),
             ("e", None, None, None, None),
         ],
