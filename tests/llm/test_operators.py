@@ -156,6 +156,15 @@ def test_main_text(spark):
         "<p>x</p></div></p><p>y": "x\n\ny", "<script>": "", "<!-- x": "", "<p title='": "<p title='",
     }.items():
         assert pages.main_text(page, pages.Weights({})) == text, page
+    for page, text in {
+        '<body><div class="site-header">Name</div><p>a b c d</p><div id=side_bar>x y</div>': "a b c d",
+        "<body><nav><a>m n</a><article><p>text of it</article><aside><article>teaser</article></aside>": "text of it",
+        '<article class="post"><header><h1>t</h1></header><p>b</p><article class="comment">no</article></article>': "t\n\nb",
+        "<main><p>a<div role=navigation>x</div><p hidden>y</p><table><tr><td>1<td>2</table></main>": "a\n\n1 2",
+        "<p>" * 3000 + "deep": "deep",
+        "<div>" * 3000 + "deep" + "</i>" * 3000: "deep",
+    }.items():
+        assert pages.main_text(page, pages.Weights({})) == text, page[:80]
     long = "<article>" + "<p>word word</p>" * 20_000 + "</article>"
     assert pages.main_text(long, weights).count("\n\n") == 19_999
     rows = spark.createDataFrame([(1, "u", None, "x"), (2, None, PAGE, "x"), (2, None, PAGE, "x")], "page_id long, url string, html string, text string")
