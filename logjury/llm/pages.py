@@ -64,9 +64,12 @@ DROPPED = frozenset(
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar "
     "navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice notices alert "
-    "comment comments commentlist disqus respond share sharing social related recommended newsletter subscribe "
-    "signup login popup modal overlay widget toolbar pagination pager skip complementary contentinfo search".split()
+    "comment comments commentlist commentbox disqus respond replies share sharing social related recommended "
+    "newsletter subscribe signup login popup modal overlay widget toolbar pagination pager skip complementary "
+    "contentinfo search gdpr privacy disclaimer paywall adbox adslot adsense adunit aside topbar".split()
 )
+# Words that mark the head of a page, unless they stand inside its content.
+HEAD_MARKS = frozenset("header top logo brand".split())
 # Elements that have no content and no end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that stand within a line; all others part blocks.
@@ -74,17 +77,24 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
     "strike strong sub sup time tt u var wbr td th".split()
 )
+# Elements that the next one of their kind ends.
+SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 CONTENT = frozenset(["article", "main"])
+# Their class and id tell of the whole page.
+NEVER_MARKED = frozenset(["html", "body", "main"])
 
 
-def _is_marked(rest: str) -> bool:
-    if not rest or "=" not in rest:
+def _is_marked(rest: str, in_content: bool) -> bool:
+    """True for the attributes of an element that holds no article text."""
+    if not rest or ("=" not in rest and "hidden" not in rest):
         return False
     if _HIDDEN.search(rest):
         return True
     for match in _ATTRIBUTE.finditer(rest):
         value = (match[2] or match[3] or match[4] or "").lower()
-        if not MARKS.isdisjoint(_SPLIT.split(value)):
+        parts = [part for part in _SPLIT.split(value) if part]
+        parts += [a + b for a, b in zip(parts, parts[1:], strict=False)]  # side-bar
+        if not MARKS.isdisjoint(parts) or (not in_content and not HEAD_MARKS.isdisjoint(parts)):
             return True
     return False
 
@@ -102,6 +112,7 @@ def tokens(page: str) -> list[Token]:
     """Tags and texts outside the dropped elements. Texts have their references decoded."""
     found: list[Token] = []
     stack: list[str] = []
+    open_tags: Counter = Counter()
     dropped_from = None  # depth of the element being dropped
     content = block = at = 0
     while at < len(page):
@@ -125,10 +136,11 @@ def tokens(page: str) -> list[Token]:
             continue  # a comment or declaration
         rest = match["rest"] or match["rest2"] or ""
         if match["end"] or match["end2"]:
-            if tag not in stack:
+            if not open_tags[tag]:
                 continue
             while True:
                 closed = stack.pop()
+                open_tags[closed] -= 1
                 content -= closed in CONTENT
                 if closed == tag:
                     break
@@ -137,10 +149,21 @@ def tokens(page: str) -> list[Token]:
                 block += 1
                 continue
         elif tag not in VOID and not rest.endswith("/"):
+            if tag in CONTENT and dropped_from is not None and not _closes(page, at, stack[dropped_from - 1]):
+                # The element being dropped has no end tag, so the content must have ended it.
+                for closed in stack[dropped_from - 1 :]:
+                    open_tags[closed] -= 1
+                del stack[dropped_from - 1 :]
+                dropped_from = None
+                block += 1
+            if tag in SELF_CLOSING and stack and stack[-1] == tag and dropped_from != len(stack):
+                stack.pop()
+                open_tags[tag] -= 1
             stack.append(tag)
+            open_tags[tag] += 1
             if dropped_from is None:
                 is_head = tag == "header" and not content
-                if tag in DROPPED or is_head or (tag not in ("html", "body") and _is_marked(rest)):
+                if tag in DROPPED or is_head or (tag not in NEVER_MARKED and _is_marked(rest, content > 0)):
                     dropped_from = len(stack)
                     found.append(Token(tag, "", 0, block, content > 0))
                     block += 1
@@ -152,6 +175,10 @@ def tokens(page: str) -> list[Token]:
     return found
 
 
+def _closes(page: str, at: int, tag: str) -> bool:
+    return re.compile(rf"</{re.escape(tag)}\b", re.IGNORECASE).search(page, at) is not None
+
+
 def best_stretch(scores: list[float]) -> tuple[int, int]:
     """First index and the one behind the last of the stretch of the largest positive sum."""
     best, first, stop = 0.0, 0, 0
