@@ -1,6 +1,6 @@
 from logjury.operators.evaluate import compile_rules, evaluate, evaluate_table
 from logjury.operators.judge import decide, judge, number, recent, status, with_ids
-from logjury.operators.normalize import BUILTIN, normalize, unparsed
+from logjury.operators.normalize import BUILTIN, counted, normalize, unparsed
 from logjury.operators.rules import (
     Action,
     Fragment,
@@ -26,6 +26,7 @@ __all__ = [
     "RuleError",
     "RuleSet",
     "compile_rules",
+    "counted",
     "decide",
     "evaluate",
     "evaluate_table",

@@ -11,7 +11,7 @@ from dataclasses import replace
 from functools import lru_cache
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logjury.functions.json import (
@@ -129,6 +129,21 @@ def unparsed(records: DataFrame) -> DataFrame:
     return records.where(F.col("parse_error").isNotNull()).select("ord", "parse_error", "raw_line")
 
 
+def counted(records: DataFrame, observation: Observation | str = "normalized") -> DataFrame:
+    """The same rows; the running job counts records and quarantined lines on the way.
+
+    With an ``Observation`` the figures are there after the first action; with a name they are part of
+    every progress report of a stream (``observedMetrics``).
+    """
+    bad = F.col("parse_error").isNotNull()
+    return records.observe(
+        observation,
+        F.count_if(~bad).alias("records"),
+        F.count_if(bad).alias("quarantined"),
+        F.count_if(~bad & (F.col("rec_idx") == 0)).alias("lines"),
+    )
+
+
 def _malformed() -> Column:
     return F.when(
         F.col("members").isNull() & looks_like_object(F.col("payload")),

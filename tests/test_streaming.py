@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import Observation
 
-from logjury import Action, Handler, Rule, RuleSet, judge, ndjson, normalize, number_lines, read_lines, stream_lines, with_ids, write_ndjson
+from logjury import Action, counted, Handler, Rule, RuleSet, judge, ndjson, normalize, number_lines, read_lines, stream_lines, with_ids, write_ndjson
 from logjury.schema import ORDER_KEY
 from logjury.streaming import RecentStore, run_recent, run_to_table
 
@@ -42,6 +43,19 @@ def test_stream_equals_batch(spark, folder):
     assert len(texts) == 10
 
 
+def test_counts_of_running_jobs(spark, folder):
+    (folder / "in" / "2.log").write_text('{"cut\n{"audit":[{"outcome":"ok"},{"outcome":"bad"}]}\n')
+    seen = Observation()
+    normalize_counted = counted(normalize(read_lines(spark, str(folder / "in"))), seen)
+    assert normalize_counted.count() == 23
+    assert seen.get == {"records": 22, "quarantined": 1, "lines": 21}
+    stream = counted(normalize(stream_lines(spark, str(folder / "in"))))
+    query = run_to_table(stream, str(folder / "counted"), str(folder / "counted-state"))
+    query.awaitTermination()
+    metrics = query.lastProgress["observedMetrics"]["normalized"]
+    assert (metrics["records"], metrics["quarantined"]) == (22, 1)
+
+
 def test_recent_over_batches(spark, folder):
     lines = stream_lines(spark, str(folder / "in"), max_files_per_trigger=1)
     store = RecentStore(spark, str(folder / "recent"), RULES.max_decisions)
