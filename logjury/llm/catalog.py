@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_chat": chat.OP2_SQL,
+    "op7_embedding_links": vectors.OP7_SQL,
 }

@@ -179,3 +179,26 @@ def near_vectors(
 
 def op7_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = f"""
+WITH RECURSIVE able AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM able a JOIN able b
+    ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+), counted AS (
+  SELECT x, count(*) AS n FROM links GROUP BY x
+)
+SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+FROM embeddings v LEFT JOIN least m ON v.vec_id = m.x LEFT JOIN counted c ON v.vec_id = c.x
+"""

@@ -480,15 +480,20 @@ def test_ratios_against_counts(spark, docs, labels):
         assert rows[b] == pytest.approx(math.log(share(fine, b)) - math.log(share(raw, b)))
 
 
-def test_sql_of_mixing_and_chat(spark, tmp_path):
+def test_sql_oracles(spark, tmp_path):
     rows = [r[:5] for r in corpus() if r[0] is not None][:-3]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").dropDuplicates(["doc_id"]).write.parquet(f"{tmp_path}/documents.parquet")
     turns = [(k // 5, k % 5, ["system", "user", "assistant", "bob"][k * 7 % 4], f"t {k}") for k in range(60)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rng = np.random.default_rng(8)
+    bases = rng.normal(size=(12, 6))
+    near = [(bases[k % 12] + rng.normal(size=6) * 0.2).astype("f4").tolist() for k in range(90)]
+    points = [(k, v, k % 2 if k % 9 else None) for k, v in enumerate([*near, None, [0.0] * 6, [1.0, None]])]
+    spark.createDataFrame(points, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
-    for name in ("documents", "conversations"):
+    for name in ("documents", "conversations", "embeddings"):
         con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
-    for query, sql in ((mixing.op1_mix_sources, mixing.OP1_SQL), (chat.op2_chat, chat.OP2_SQL)):
+    for query, sql in ((mixing.op1_mix_sources, mixing.OP1_SQL), (chat.op2_chat, chat.OP2_SQL), (vectors.op7_embedding_links, vectors.OP7_SQL)):
         found = query(spark, str(tmp_path))
         want = con.sql(sql)
         names = sorted(found.columns)
