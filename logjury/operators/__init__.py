@@ -11,6 +11,7 @@ from logjury.operators.rules import (
     RuleError,
     RuleSet,
     merge,
+    validate_group_table,
     validate_handler_table,
     validate_rule_table,
 )
@@ -37,6 +38,7 @@ __all__ = [
     "recent",
     "status",
     "unparsed",
+    "validate_group_table",
     "validate_handler_table",
     "validate_rule_table",
     "with_ids",

@@ -373,6 +373,19 @@ def g2_no_traps(spark, sf_dir):
     return rows.select("event_id", "condition", matched.alias("matched"), "error")
 
 
+def many_rules(n: int):
+    """Hits of so many rules on the event lines; for measuring, as its work is a matter of ``n``."""
+    rules = tuple(
+        Rule(f"r{k}", f"Log.Level = 'error' AND endswith(Log.Message, 'user {k} denied') OR Log.Attributes['none'] = '{k}'")
+        for k in range(n)
+    )
+
+    def run(spark, sf_dir):
+        return evaluate(_g_records(spark, sf_dir), RuleSet(rules=rules), hits_only=True).select("event_id", "condition")
+
+    return run
+
+
 @query("g3_hits", oracle(f"SELECT event_id, condition FROM ({_G_SQL}) WHERE matched OR error IS NOT NULL"))
 def g3(spark, sf_dir):
     return evaluate(_g_records(spark, sf_dir), _G_RULES, hits_only=True).select("event_id", "condition")

@@ -21,6 +21,8 @@ from logjury import (
     normalize,
     recent,
     status,
+    validate_group_table,
+    validate_rule_table,
     with_ids,
 )
 from logjury.functions.predicates import call
@@ -306,6 +308,36 @@ def test_conditions_refuse_traps(records):
     assert [found["texts", i] for i in (1, 2, 3)] == [True, False, False]
 
 
+def test_rules_and_groups_in_tables(spark):
+    rules = spark.createDataFrame(
+        [("a", "1", 0, "true", ["g", "none"], "and"), ("b", "2", 0, None, ["g"], "xor"), ("c", "3", -1, " ", [], "or")],
+        "name string, id string, priority long, when string, groups array<string>, merge_condition_as string",
+    )
+    parts = "array<struct<when: string, merge_condition_as: string>>"
+    groups = spark.createDataFrame(
+        [
+            ("g", "true", "override", [("x", "override"), (" ", "and")]),
+            ("empty", None, "and", []),
+            ("twice", "t", "and", []),
+            ("twice", "t", "maybe", []),
+        ],
+        f"name string, when string, merge_condition_as string, conditions {parts}",
+    )
+    assert sorted(map(tuple, validate_rule_table(rules, groups).collect())) == [
+        ("a", "no such group: none"),
+        ("b", "no such merge word"),
+        ("c", "empty condition"),
+        ("c", "priority below zero"),
+    ]
+    assert sorted(map(tuple, validate_group_table(groups).collect())) == [
+        ("empty", "neither when nor conditions"),
+        ("g", "empty condition"),
+        ("g", "more than one override"),
+        ("twice", "name occurs twice"),
+        ("twice", "no such merge word"),
+    ]
+
+
 def test_hundreds_of_rules(records):
     rules = tuple(Rule(f"r{k}", f"contains(Log.Message, 'door') AND Log.Level = 'error' AND {k} % 50 = 0") for k in range(300))
     assert evaluate(records, RuleSet(rules=rules), hits_only=True).count() == 6
