@@ -42,9 +42,9 @@ from logjury.llm.shared import in_learning_fold, of_texts, ship, stored, table
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 30_000
 ALPHABET = 64
-SEGMENT = 1 << 14
-# Letters parsed in step at once.
-LETTERS = 1 << 24
+SEGMENT = 1 << 12
+# Letters parsed in step at once: a few tens of bytes of memory each.
+LETTERS = 1 << 21
 UNKNOWN = "und"
 
 
