@@ -3,8 +3,9 @@
 Features: words are runs of letters and digits, or runs of other signs. Hashed are every word, every
 pair of words, and every pair of word shapes (lower case, capitalised, capitals, signs) with the
 fact whether the two words are equal; each is a bucket of ``2**BITS``, and its value is its count
-divided by the number of words. Training: follow-the-regularised-leader with one learning rate per
-coordinate (McMahan et al., 2013), document by document. Scoring: a sparse dot product.
+divided by the number of words and ``PRIOR_WORDS`` more, so a few words alone decide little.
+Training: follow-the-regularised-leader with one learning rate per coordinate (McMahan et al., 2013),
+document by document. Scoring: a sparse dot product.
 
 Learned from are at most ``TRAINING`` labelled documents in order of a hash of the id, of ids in the
 learning fold only; label, language, source and id are no inputs of a score. One task runs the
@@ -41,6 +42,7 @@ BETA = 1.0
 L1 = 0.02
 L2 = 0.1
 KEEP = 0.7
+PRIOR_WORDS = 15
 # Bytes cut into words at once.
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -166,7 +168,7 @@ def _train_batches(bits: int, epochs: int):
                 cuts = np.searchsorted(of[order], np.arange(count + 1))
                 for k in range(count):
                     own, counts = np.unique(buckets[order[cuts[k] : cuts[k + 1]]], return_counts=True)
-                    value = np.append(counts / max(1, lengths[k]), 1.0)
+                    value = np.append(counts / (lengths[k] + PRIOR_WORDS), 1.0)
                     rows.append((np.append(own, 1 << bits), value, next(labels)))
         bias, weights = train(rows, bits, epochs)
         used = np.flatnonzero(weights)
@@ -227,7 +229,7 @@ def score(
         w = shared.value
         scores = [np.zeros(0)]
         for count, lengths, of, buckets in features([(t or "").encode() for t in texts], bits):
-            dots = np.bincount(of, weights=w[buckets], minlength=count) / np.maximum(1, lengths)
+            dots = np.bincount(of, weights=w[buckets], minlength=count) / (lengths + PRIOR_WORDS)
             scores.append(_sigmoid(dots + w[-1]))
         return [pa.array(np.concatenate(scores), pa.float64())]
 

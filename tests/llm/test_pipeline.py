@@ -56,7 +56,7 @@ def _scored(text, weights):
         shape = (shapes[k] * 4 + shapes[k + 1]) * 2 + (hashes[k] == hashes[k + 1])
         found.append(quality._mix(np.array([shape + 1], dtype=np.uint64))[0])
     size = np.uint64((1 << quality.BITS) - 1)
-    total = sum(float(weights[int(h & size)]) for h in found) / max(1, len(parts)) + float(weights[-1])
+    total = sum(float(weights[int(h & size)]) for h in found) / (len(parts) + quality.PRIOR_WORDS) + float(weights[-1])
     return 1 / (1 + np.exp(-total))
 
 
@@ -76,7 +76,7 @@ def _mixed(rows):
         open_ -= full or open_
     copies = Counter()
     for s in sources:
-        own = sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: (size[k], rows[k][0]))
+        own = sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: (size[k], f"{rows[k][0]}|"))
         each = int(target[s] / has[s] * mixing.ONE + 0.5) if has[s] else 0
         name = "none" if s is None else f"s{s}"
         at = int(hashlib.md5(f"{mixing.SEED}|{name}".encode()).hexdigest()[:6], 16)
