@@ -5,13 +5,14 @@ its substrings. A text is parsed from left to right into the longest phrases fou
 where the automaton cannot go on, a new phrase begins at its root. A phrase costs about the
 logarithm of the sample's length, so phrases times that logarithm, divided by the length of the
 text, estimates the cross entropy; the language that needs fewest normalised phrases wins (Ziv and
-Merhav, 1993).
+Merhav, 1993). A text is parsed in segments of ``SEGMENT`` letters; each goes to the language that
+wins it, and the text to the language that wins most letters, so a quoted passage in another
+language, whose letters cost very much in the language of the rest, does not decide it.
 
 Text is seen as letters in lower case, every run of other signs as one space. The automaton is kept
 as a table of states and letter classes in which a step that fails already leads on from the root
-and is marked as a new phrase; so one look-up per letter parses a text, and a batch of texts is
-parsed in step with numpy. A text of more than ``SEGMENT`` letters is parsed in segments, each
-beginning a phrase, which bounds the steps of a batch; all of it is parsed.
+and is marked as a new phrase; so one look-up per letter parses a text, and all segments of a batch
+of texts are parsed in step with numpy. Every segment begins a phrase; all of a text is parsed.
 
 Learned from are text and language of at most ``SAMPLE_DOCS`` documents of each language in the
 learning fold, in order of a hash of the id, up to ``SAMPLE_CHARS`` letters of each language.
@@ -42,7 +43,7 @@ from logjury.llm.shared import in_learning_fold, of_texts, ship, stored, table
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 30_000
 ALPHABET = 64
-SEGMENT = 1 << 12
+SEGMENT = 256
 # Letters parsed in step at once: a few tens of bytes of memory each.
 LETTERS = 1 << 21
 UNKNOWN = "und"
@@ -137,8 +138,8 @@ class Model:
         ) if tables else np.zeros(0, np.int32)
         self.bits = np.log2(np.maximum(2, np.array(sizes, dtype=np.float64)))
 
-    def phrases(self, found: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Phrases of every text (row) in every language (column)."""
+    def phrases(self, found: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every segment its text, its letters, and its phrases in every language."""
         lengths = np.diff(starts)
         parts = -(-lengths // SEGMENT)
         of = np.repeat(np.arange(len(lengths)), parts)
@@ -158,12 +159,33 @@ class Model:
             entry = self.steps.take(place[:m] + letter[:, None])
             count[:m] += entry & 1
             place[:m] = entry >> 1
-        total = np.zeros((len(lengths), len(self.languages)), dtype=np.int64)
-        np.add.at(total, of[order], count)
-        return total
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return of, size[back], count[back]
+
+    def votes(self, found: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Winner and score of every text that has letters."""
+        of, size, count = self.phrases(found, starts)
+        cost = count * self.bits
+        best = cost.argmin(axis=1)
+        lead = np.ones(len(of))
+        if len(self.languages) > 1:
+            two = np.partition(cost, 1, axis=1)
+            lead = 1 - two[:, 0] / two[:, 1]
+        won = np.zeros((len(starts) - 1, len(self.languages)))
+        sure = np.zeros_like(won)
+        np.add.at(won, (of, best), size)
+        np.add.at(sure, (of, best), size * lead)
+        winner = won.argmax(axis=1)
+        letters = np.maximum(1, np.diff(starts))
+        return winner, sure[np.arange(len(winner)), winner] / letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and score of every text; the score is the winner's lead over the next one."""
+        """Language and score of every text.
+
+        The score is the winner's lead over the next language, averaged over the letters of the text;
+        segments that another language wins count as no lead.
+        """
         names, scores = [], np.zeros(len(texts))
         codes = code_table(self.letters)
         at = 0
@@ -175,13 +197,7 @@ class Model:
             found, starts = encode(texts[at:stop], codes)
             lettered = np.diff(starts) > 0
             if self.languages:
-                cost = self.phrases(found, starts) * self.bits / np.maximum(1, np.diff(starts))[:, None]
-                best = cost.argmin(axis=1)
-                if len(self.languages) > 1:
-                    two = np.partition(cost, 1, axis=1)
-                    scores[at:stop] = np.where(lettered, 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9), 0)
-                else:
-                    scores[at:stop] = lettered
+                best, scores[at:stop] = self.votes(found, starts)
                 names += [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
             else:
                 names += [UNKNOWN] * (stop - at)

@@ -378,8 +378,10 @@ def test_cross_parsing():
         return count
 
     texts = ["abcab", "abcabc", "c", "dd", "caa  caa", "A, b. c", "abdab", "aaaaaaa", "cab!caab bca"]
-    got = model.phrases(*language.encode(texts, codes))[:, 0].tolist()
-    assert got == [phrases(t) for t in texts]
+    of, size, count = model.phrases(*language.encode(texts, codes))
+    assert of.tolist() == list(range(len(texts)))
+    assert size.tolist() == [len(language.normalise(t)) for t in texts]
+    assert count[:, 0].tolist() == [phrases(t) for t in texts]
 
 
 def test_language(spark, docs, nothing):
@@ -397,13 +399,17 @@ def test_language(spark, docs, nothing):
     assert language.predict(nothing.drop("score"), model, ["doc_id"]).count() == 0
 
 
-def test_long_texts_are_parsed_whole(spark):
-    codes = language.code_table("ab")
-    found, _ = language.encode(["abab"], codes)
-    model = language.Model("ab", ["x"], [language.automaton(found, 4)], [4])
-    long = "abab" * 10_000
-    got = model.phrases(*language.encode([long, "ab"], codes))[:, 0].tolist()
-    assert got[1] == 1 and 10_000 <= got[0] <= 10_000 + len(long) // language.SEGMENT + 1
+def test_long_texts_are_parsed_whole():
+    codes = language.code_table("abc")
+    model = language.Model(
+        "abc", ["x", "y"], [language.automaton(language.encode([t], codes)[0], 5) for t in ("abab", "caac")], [4, 4]
+    )
+    long = "abab" * 10_000 + "caac" * 3_000
+    of, size, count = model.phrases(*language.encode([long, "ab"], codes))
+    assert size.sum() == len(long) + 2 and (size[of == 0][:-1] == language.SEGMENT).all()
+    assert count[of == 0].min(axis=1).sum() >= len(long) / 4
+    names, scores = model.predict([long, "caac" + long[::-1], "caa", "abab caac caac"])
+    assert names == ["x", "x", "y", "y"] and 0.3 < scores[0] < 0.77
 
 
 def test_licenses(spark, docs, nothing):
