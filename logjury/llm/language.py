@@ -14,8 +14,8 @@ as a table of states and letter classes in which a step that fails already leads
 and is marked as a new phrase; so one look-up per letter parses a text, and all segments of a batch
 of texts are parsed in step with numpy. Every segment begins a phrase; all of a text is parsed.
 
-Learned from are text and language of at most ``SAMPLE_DOCS`` documents of each language in the
-learning fold, in order of a hash of the id, up to ``SAMPLE_CHARS`` letters of each language.
+Learned are the ``LANGUAGES`` most frequent languages, each from about ``SAMPLE_DOCS`` documents of
+the learning fold, taken by a hash of the id, and up to ``SAMPLE_CHARS`` letters of them.
 Language, source and id are no inputs of a prediction.
 
 Scale: prediction is narrow. Automata are built in one task per language and have at most
@@ -40,6 +40,7 @@ from pyspark.sql.types import DoubleType, StringType
 
 from logjury.llm.shared import in_learning_fold, of_texts, ship, stored, table
 
+LANGUAGES = 32
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 30_000
 ALPHABET = 64
@@ -213,8 +214,9 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, limit: int) -> Da
     rows = docs.where(F.col(lang).isNotNull() & in_learning_fold(F.col(doc_id)) & F.col(text).isNotNull())
     order = F.xxhash64(F.lit(8), F.col(doc_id)).bitwiseAND(F.lit((1 << 53) - 1))
     counts = rows.groupBy(F.col(lang).alias("of")).agg(F.count("*").alias("rows"))
-    # One row per language.
-    shares = counts.select("of", (F.lit(limit) / F.col("rows")).alias("share"))
+    # At most as many rows as languages are learned.
+    common = counts.orderBy(F.desc("rows"), "of").limit(LANGUAGES)
+    shares = common.select("of", (F.lit(limit) / F.col("rows")).alias("share"))
     picked = rows.select(F.col(lang).alias("lang"), order.alias("order"), F.col(text).alias("text"))
     joined = picked.join(F.broadcast(shares), F.col("lang") == F.col("of"))
     return joined.where(F.col("order") < F.col("share") * float(1 << 53)).select("lang", "order", "text").distinct()
