@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from logjury.llm import chat, language, licenses, mixing, packing, pages, quality, rules, simhash, vectors
+from logjury.llm import chat, graph, language, licenses, mixing, packing, pages, quality, rules, simhash, vectors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, fp int, _size int, label int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -295,6 +295,30 @@ def test_simhash(spark, docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_components(spark, nothing):
+    """A long chain, a star, random links, loops, repeats and null ends."""
+    rng = np.random.default_rng(9)
+    chain = [(1000 + k, 1001 + k) for k in range(200)]
+    star = [(5000, 5001 + k) for k in range(500)]
+    wild = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))]
+    links = [*chain, *star, *wild, (7, 7), (None, 3), (3, None), chain[0], chain[0][::-1]]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    frame = spark.createDataFrame(links, "a long, b long").repartition(5)
+    found = {r["node"]: r["component"] for r in graph.components(frame).collect()}
+    assert found == {x: find(x) for x in list(parent)}
+    assert graph.components(frame.where("false")).count() == 0
+
+
 def test_fingerprint_tiles_lose_no_link(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 150, dtype=np.int64)
