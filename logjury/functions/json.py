@@ -47,20 +47,24 @@ class JsonObject:
 
     def raw(self, key: str) -> Column:
         """A nested member as written, before its keys are put in order."""
-        parsed = F.from_json(self.text, "map<string,string>", _STRICT)
-        return let(parsed, lambda members: unique_members(members)[key])
+        return raw_members(self.text)[key]
 
     def kind_is(self, key: str, kind: str) -> Column:
         """True if the member is a JSON value of that kind (ARRAY or OBJECT)."""
         opening = {"ARRAY": "[", "OBJECT": "{"}[kind]
-        value = F.element_at(_as_variant_map(self.text), key)
+        value = F.element_at(variant_members(self.text), key)
         return F.when(
             F.startswith(self.members[key], F.lit(opening)),
             F.startswith(F.schema_of_variant(value), F.lit(kind)),
         ).otherwise(F.lit(False))
 
 
-def _as_variant_map(text: Column) -> Column:
+def raw_members(text: Column) -> Column:
+    """Members of an object as written, before nested keys are put in order."""
+    return let(F.from_json(text, "map<string,string>", _STRICT), unique_members)
+
+
+def variant_members(text: Column) -> Column:
     return F.try_parse_json(text).cast("map<string,variant>")
 
 
@@ -114,7 +118,7 @@ def text_map(payload: Column, members: Column) -> Column:
     unique = unique_members(members)
     ambiguous = F.exists(F.map_values(members), lambda value: value.rlike(_AMBIGUOUS))
     exact = let(
-        _as_variant_map(payload),
+        variant_members(payload),
         lambda kinds: F.transform_values(
             unique,
             lambda key, value: F.when(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logjury.functions.json import JsonObject, first_field, text_map
+from logjury.functions.json import JsonObject, first_field, raw_members, text_map, variant_members
 from logjury.functions.text import (
     empty_map,
     let,
@@ -128,37 +128,37 @@ def _api_record(obj: JsonObject, collection: Column) -> Column:
     return let(parts, build)
 
 
-def _collection_items(obj: JsonObject, field: str) -> Column:
-    """Texts of the object items of an array member; NULL if there is none."""
+def _collection(obj: JsonObject) -> Column:
+    """Name and item texts of the first collection field that holds objects, else NULL.
+
+    The line is parsed once for the kinds of its members and once for their texts, however many
+    collection fields it has.
+    """
 
-    def object_items(text: Column) -> Column:
-        texts = F.from_json(text, "array<string>")
-        values = F.try_parse_json(text).cast("array<variant>")
-        kinds = F.transform(values, lambda item: F.schema_of_variant(item))
+    def items(parsed: Column, name: str) -> Column:
+        texts = F.from_json(parsed["raw"][name], "array<string>")
+        kinds = F.transform(parsed["kinds"][name].cast("array<variant>"), lambda item: F.schema_of_variant(item))
         objects = F.filter(
             F.arrays_zip(texts.alias("text"), kinds.alias("kind")),
             lambda item: F.startswith(item["kind"], F.lit("OBJECT")),
         )
         return F.transform(objects, lambda item: item["text"])
 
-    items = let(obj.raw(field), object_items)
-    return F.when(
-        obj.kind_is(field, "ARRAY"), let(items, lambda found: F.when(F.size(found) > 0, found))
-    )
-
-
-def _collection(obj: JsonObject) -> Column:
-    """Name and item texts of the first collection field that holds objects, else NULL."""
-
-    def named(name: str) -> Column:
-        return let(
-            _collection_items(obj, name),
-            lambda items: F.when(
-                items.isNotNull(), F.struct(F.lit(name).alias("name"), items.alias("items"))
-            ),
+    def named(parsed: Column, name: str) -> Column:
+        is_array = F.startswith(obj.members[name], F.lit("[")) & F.startswith(
+            F.schema_of_variant(parsed["kinds"][name]), F.lit("ARRAY")
+        )
+        found = let(
+            items(parsed, name),
+            lambda texts: F.when(F.size(texts) > 0, F.struct(F.lit(name).alias("name"), texts.alias("items"))),
         )
+        return F.when(is_array, found)
 
-    return F.when(obj.has(*COLLECTIONS), F.coalesce(*[named(name) for name in COLLECTIONS]))
+    parsed = F.struct(variant_members(obj.text).alias("kinds"), raw_members(obj.text).alias("raw"))
+    return F.when(
+        obj.has(*COLLECTIONS),
+        let(parsed, lambda both: F.coalesce(*[named(both, name) for name in COLLECTIONS])),
+    )
 
 
 def objects(line: Line) -> Column:
