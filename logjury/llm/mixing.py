@@ -12,7 +12,7 @@ Sums are kept in fixed point (2^-24), so a result depends neither on the partiti
 rounding, and with at most ``cap`` expected copies no document can come more often than that.
 
 Scale: one narrow shuffle by ranges of (source, size, id), which splits a hot source; per-source
-figures are one row per source.
+figures are one row per source; texts are shuffled once, and only for the mixed corpus itself.
 
 Defined cases: a null text has size 0; the null source is a source, last in order; documents of
 size 0 take part but take no words; repeated rows are sampled one by one; an empty table gives an
@@ -108,16 +108,26 @@ def mix_counts(sized: DataFrame, ties: Sequence[str], **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The mixed corpus: every document as often as the sample takes it, with the columns it had."""
-    sized = docs.select(
-        F.struct(*docs.columns).alias("_row"),
-        word_count(F.col(text)).alias("_size"),
-        F.col(source).alias("_source"),
-        F.col(doc_id).alias("_id"),
-        F.xxhash64(text).alias("_tie"),
+    """The mixed corpus: every document as often as the sample takes it, with the columns it had.
+
+    Only ids, sizes and sources are sorted, as a sort by size would bring all long texts together.
+    The texts are dealt once, by id and hash of the text; rows that share both take the copies of such
+    rows in turn.
+    """
+    key = F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.xxhash64(text).cast("string"))
+    sized = docs.select(key.alias("_key"), word_count(F.col(text)).alias("_size"), F.col(source).alias("_source"))
+    copies = (
+        mix_counts(stored(sized), ["_key"], **options)
+        .groupBy(F.col("_key").alias("_of"))
+        .agg(F.sort_array(F.collect_list("_copies"), asc=False).alias("_copies"))
+        .where(F.col("_copies")[0] > 0)
     )
-    counted = mix_counts(sized, ["_id", "_tie"], **options).where(F.col("_copies") > 0)
-    return counted.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key")).withColumn("_turn", turn)
+    joined = rows.join(copies, F.col("_key") == F.col("_of"))
+    own = F.coalesce(F.get("_copies", F.col("_turn") - 1), F.lit(0))
+    taken = joined.select("_row", own.alias("_own")).where(F.col("_own") > 0)
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_own").cast("int")))).select("_row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
