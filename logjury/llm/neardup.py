@@ -1,0 +1,242 @@
+"""Near-duplicates of the pipeline: SimHash candidates of similarity 0.8, checked exactly.
+
+Documents are near-duplicates if the sets of their shingles of five words have a Jaccard similarity of
+``SIMILAR`` or more. Of the different shingles of a text (hashed by XXH64) a SimHash of ``WORDS`` times
+64 bits is made. At similarity 0.8 two of them differ in 15 % of the bits (0.48 rad of 3.14), so 39 of
+256 with a deviation of 6; ``RADIUS`` is five deviations above, and ``FIRST`` as much for the first 64
+bits, which are looked at first. Unrelated texts differ in 128 bits, deviation 8. Sets of four and five
+shingles differ in up to 19 %, three deviations below the radius. Pairs within the radius are
+candidates; their sets of shingle hashes are then compared, so nothing is linked by its fingerprint.
+
+Texts of equal sets collapse to one node first. Similar sets have sizes within the factor
+``SIMILAR``, so nodes are dealt into bands of sizes, bands into tiles of about ``TILE`` nodes, and a
+tile meets the tiles of its own band and the next; none that matters is skipped. Candidates come in two
+rounds: of every tile pair a minimum spanning forest, whose links are checked and joined to
+components, then all candidates between different components. So a large group of copies costs links
+in the number of its members, and no link is lost by the forest.
+
+Scale: fingerprinting is narrow; a tile pair is one unit of work, and units are dealt by their number.
+The comparisons grow with the square of the number of different texts of similar size.
+
+Defined cases: texts without words have an empty set and are near-duplicates of each other; texts of
+fewer than five words have one shingle; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
+
+from logjury.llm.graph import components
+from logjury.llm.shared import in_batches, of_texts, stored
+from logjury.llm.simhash import AT_ONCE, SEED, TILE, forest, shingle_hashes
+
+SHINGLE = 5
+SIMILAR = 0.8
+WORDS = 4
+RADIUS = 68
+FIRST = 24
+PRINTS = [f"f{k}" for k in range(WORDS)]
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of the different shingles of a text, in order."""
+    return np.unique(shingle_hashes(text, SHINGLE))
+
+
+def digest(found: np.ndarray) -> int:
+    """A signed number that stands for the set."""
+    return int(np.array(xxhash.xxh64_intdigest(found.tobytes(), SEED), dtype=np.uint64).view(np.int64))
+
+
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingle hashes in 64-bit words."""
+    total = np.zeros((WORDS, 64), dtype=np.int64)
+    for at in range(0, len(found), 1 << 14):  # a very long text needs no large bit table
+        part = found[at : at + (1 << 14)]
+        for k in range(WORDS):
+            mixed = part + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+            if k:
+                mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                mixed ^= mixed >> np.uint64(31)
+            bits = np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[k] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(found), axis=1, bitorder="little").view("<i8").ravel()
+
+
+def fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(doc_id, node, size, f0, ...)`` for every row."""
+
+    def run(texts: list) -> list[pa.Array]:
+        sets = [shingles(t) for t in texts]
+        prints = np.array([fingerprint(s) for s in sets], dtype=np.int64).reshape(-1, WORDS)
+        return [
+            pa.array([digest(s) for s in sets], pa.int64()),
+            pa.array([len(s) for s in sets], pa.int32()),
+            *(pa.array(prints[:, k]) for k in range(WORDS)),
+        ]
+
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    results = {"node": LongType(), "size": IntegerType()} | {p: LongType() for p in PRINTS}
+    return of_texts(named, ["doc_id"], "text", results, run)
+
+
+def tiles(nodes: DataFrame, tile: int) -> DataFrame:
+    """``(band, block, rows)``: the nodes with their components, packed into tiles."""
+    # Sizes within the factor are in the same band or in neighbouring ones; rounding only widens a band.
+    band = F.floor(F.log(F.greatest("size", F.lit(1))) / float(np.log(1 / SIMILAR) * 1.0001))
+    banded = nodes.withColumn("band", band.cast("int"))
+    # At most some hundred rows.
+    blocks = banded.groupBy("band").agg(F.ceil(F.count("*") / tile).alias("blocks"))
+    return (
+        banded.join(blocks, "band")
+        .withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        .groupBy("band", "block")
+        .agg(F.collect_list(F.struct("node", "size", "component", *PRINTS)).alias("rows"))
+    )
+
+
+def tile_pairs(tiled: DataFrame) -> DataFrame:
+    """``(same, left, right)``: every pair of tiles of the same or neighbouring bands, once."""
+    left = tiled.select(F.col("band").alias("left_band"), F.col("block").alias("left_block"))
+    right = tiled.select(F.col("band").alias("right_band"), F.col("block").alias("right_block"))
+    step = F.col("right_band") - F.col("left_band")
+    listed = left.select("*", F.explode(F.array("left_band", F.col("left_band") + 1)).alias("right_band"))
+    listed = listed.join(right, "right_band").where((step > 0) | (F.col("left_block") <= F.col("right_block")))
+    same = (step == 0) & (F.col("left_block") == F.col("right_block"))
+    keys = ["left_band", "left_block", "right_band", "right_block"]
+    met = listed.join(tiled.toDF("left_band", "left_block", "left"), ["left_band", "left_block"])
+    met = met.join(tiled.toDF("right_band", "right_block", "right"), ["right_band", "right_block"])
+    # The work of a unit is far more than its bytes tell, so their number is not left to the sizes.
+    parts = int(tiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(parts, *keys).select(same.alias("same"), "left", "right")
+
+
+def candidates(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places and bits of all pairs of two tiles within the radius and of sizes within the factor.
+
+    A tile is its sizes, in order, and its words.
+    """
+    step = max(1, AT_ONCE // max(1, len(right[0])))
+    at = 0
+    while at < len(left[0]):
+        stop = min(len(left[0]), at + step)
+        low = np.searchsorted(right[0], np.ceil(left[0][at] * SIMILAR - 1e-6))
+        if left[0] is right[0]:  # each pair once
+            low = max(low, at)
+        high = np.searchsorted(right[0], left[0][stop - 1] / SIMILAR + 1e-6, side="right")
+        bits = np.bitwise_count(left[1][at:stop, None] ^ right[1][None, low:high])
+        i, j = np.nonzero(bits <= FIRST)
+        total = bits[i, j].astype(np.int64)
+        i, j = i + at, j + low
+        for a, b in zip(left[2:], right[2:], strict=True):
+            total += np.bitwise_count(a[i] ^ b[j])
+        hit = total <= RADIUS
+        yield i[hit], j[hit], total[hit]
+        at = stop
+
+
+def spanning(labels: np.ndarray, i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels after joining the links, and the places of a minimum spanning forest's links."""
+    order = np.argsort(bits, kind="stable")
+    chosen = []
+    while True:
+        order = order[labels[i[order]] != labels[j[order]]]
+        if not len(order):
+            return labels, np.concatenate(chosen) if chosen else order
+        least = np.full(len(labels), len(order))
+        ranks = np.arange(len(order))
+        np.minimum.at(least, labels[i[order]], ranks)
+        np.minimum.at(least, labels[j[order]], ranks)
+        picked = order[np.unique(least[least < len(order)])]
+        chosen.append(picked)
+        labels = forest(labels, i[picked], j[picked])
+
+
+def _links(whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def columns(lists: pa.ListArray, row: int) -> list[np.ndarray]:
+            own = lists[row].values
+            found = [own.field(k).to_numpy(zero_copy_only=False) for k in range(3 + WORDS)]
+            order = np.argsort(found[1], kind="stable")
+            return [f[order] for f in found[:3]] + [f[order].view(np.uint64) for f in found[3:]]
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                left = columns(batch.column(1), row)
+                same = batch.column(0)[row].as_py()
+                right = left if same else columns(batch.column(2), row)
+                shift = 0 if same else len(left[0])
+                nodes = left[0] if same else np.concatenate([left[0], right[0]])
+                of = left[2] if same else np.concatenate([left[2], right[2]])
+                _, first, place = np.unique(of, return_index=True, return_inverse=True)
+                labels = first[place]  # a node is labelled by the first one of its component
+                for i, j, bits in candidates([left[1], *left[3:]], [right[1], *right[3:]]):
+                    j = j + shift
+                    apart = labels[i] != labels[j]
+                    if same:
+                        apart &= i < j
+                    i, j, bits = i[apart], j[apart], bits[apart]
+                    if not whole:
+                        labels, chosen = spanning(labels, i, j, bits)
+                        i, j = i[chosen], j[chosen]
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], names=["a", "b"])
+
+    return run
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for left, right in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = left.values.to_numpy(), right.values.to_numpy()
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(common >= SIMILAR * (len(x) + len(y) - common) - 1e-9)
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def checked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The pairs whose sets are similar."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = wanted.join(nodes.select("node", "first_id"), "node")
+    texts = docs.select(F.col(doc_id).alias("first_id"), F.col(text).alias("text"))
+    texts = texts.join(wanted, "first_id").select("node", "text")
+
+    def run(found: list) -> list[pa.Array]:
+        sets = [shingles(t) for t in found]
+        values = pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())
+        ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+        return [pa.array([digest(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)]
+
+    kinds = {"made": LongType(), "hashes": ArrayType(LongType())}
+    # Rows that share an id may have other texts.
+    sets = of_texts(texts, ["node"], "text", kinds, run).where("node = made").dropDuplicates(["node"])
+    sets = stored(sets.select("node", "hashes"))
+    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    return in_batches(both.select("a", "b", "left", "right"), _similar, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """``(doc_id, component_id)`` for every row of ``docs``."""
+    marked = stored(fingerprints(docs, doc_id, text))
+    sums = [F.first(c).alias(c) for c in ("size", *PRINTS)]
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), *sums))
+    links, joined = None, nodes.withColumn("component", F.col("node"))
+    for whole in (False, True):
+        tiled = stored(tiles(joined, tile))
+        pairs = stored(in_batches(tile_pairs(tiled), _links(whole), "a long, b long").distinct())
+        found = stored(checked(pairs, nodes, docs, doc_id, text))
+        links = found if links is None else links.union(found)
+        grouped = components(links).toDF("node", "own")
+        joined = nodes.join(grouped, "node", "left").withColumn("component", F.coalesce("own", "node")).drop("own")
+    smallest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    by_node = stored(joined.join(smallest, "component").select("node", "component_id"))
+    return marked.join(by_node, "node").select("doc_id", "component_id")

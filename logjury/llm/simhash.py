@@ -24,7 +24,7 @@ there is no other id; repeated rows stay; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +47,11 @@ QUARTER = (1 << 16) - 1
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hash of every shingle of a text."""
     words = _WORD.findall((text or "").encode().lower())
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -59,14 +59,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     last = max(1, len(words) - shingle + 1)
     stops = ends[len(words) - last :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array(
+    return np.array(
         [digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), stops, strict=True)], dtype="<u8"
     )
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     total = np.zeros(64, dtype=np.int64)
-    for at in range(0, last, 1 << 14):  # a very long text needs no large bit table
+    for at in range(0, len(hashes), 1 << 14):  # a very long text needs no large bit table
         part = hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
         total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > last, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def _signed(value: int) -> int:
@@ -213,14 +220,16 @@ def near_duplicates(
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with their columns.
+def representatives(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find: Callable = near_duplicates, **options
+) -> DataFrame:
+    """The rows of ``docs`` that stand for their group, with their columns; ``find`` tells the groups.
 
     Rows that share an id are one document, of which one row stays; rows without an id cannot stand
     for a group and are kept as they are.
     """
     named = docs.where(F.col(doc_id).isNotNull())
-    groups = near_duplicates(named, doc_id, text, **options)
+    groups = find(named, doc_id, text, **options)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id))
     first = named.join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).select(*docs.columns)
     return first.union(docs.where(F.col(doc_id).isNull()))

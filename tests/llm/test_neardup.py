@@ -1,0 +1,51 @@
+"""The pipeline's near-duplicates against exact similarities of all pairs."""
+
+import numpy as np
+import pytest
+from test_operators import WORD, brute_components
+
+from logjury.llm import neardup, stages
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def shingles(text):
+    words = WORD.findall((text or "").lower())
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Texts with copies that change a few words, some just above and some just below the threshold."""
+    rng = np.random.default_rng(4)
+    made = [None, "", " \n", "one", "One", "one two"]
+    for k in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 30 + 9 * k)]
+        made.append(" ".join(base))
+        for edits in (1, 1 + len(base) // 60, 1 + len(base) // 45, 1 + len(base) // 25):
+            near = list(base)
+            for at in rng.choice(len(base), edits, replace=False):
+                near[at] = "edited"
+            made.append(" ".join(near))
+    base = [f"v{x}" for x in rng.integers(0, 5000, 300)]
+    made += [" ".join([*base[: 3 * k], f"x{k}", *base[3 * k :]]) for k in range(80)]  # a large group
+    return list(enumerate(made))
+
+
+@pytest.mark.parametrize("tile", [40, 1 << 15])
+def test_near_duplicates(spark, rows, tile):
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [shingles(t) for _, t in rows]
+    groups = brute_components(sets, lambda a, b: similarity(a, b) >= 0.8)
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame, tile=tile).collect()}
+    assert found == dict(enumerate(groups))
+
+
+def test_stage_takes_similar_texts_of_other_fingerprints(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [shingles(t) for _, t in rows]
+    groups = brute_components(sets, lambda a, b: similarity(a, b) >= 0.8)
+    kept = stages.one_of_each_group(spark, frame, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(groups))
