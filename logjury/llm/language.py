@@ -9,26 +9,30 @@ Merhav, 1993). A text is parsed in segments of ``SEGMENT`` letters; each goes to
 wins it, and the text to the language that wins most letters, so a quoted passage in another
 language, whose letters cost very much in the language of the rest, does not decide it.
 
-Text is seen as letters in lower case, every run of other signs as one space. The automaton is kept
-as a table of states and letter classes in which a step that fails already leads on from the root
-and is marked as a new phrase; so one look-up per letter parses a text, and all segments of a batch
-of texts are parsed in step with numpy. Every segment begins a phrase; all of a text is parsed.
-
-Learned are the ``LANGUAGES`` most frequent languages, each from about ``SAMPLE_DOCS`` documents of
-the learning fold, taken by a hash of the id, and up to ``SAMPLE_CHARS`` letters of them.
+Text is seen as letters in lower case, every run of other signs as one space; every letter of any
+sample is a class of its own. The steps of all states lie in one row, displaced so that none meet,
+and each holds the state it belongs to; a step that is not there leads on from the root as a new
+phrase. So two look-ups per letter parse a text, the number of classes costs next to nothing, and all
+segments of a batch of texts are parsed in step with numpy. Every segment begins a phrase; all of a
+text is parsed.
+
+Learned is every language with labelled text, each from about ``SAMPLE_DOCS`` documents of the
+learning fold, taken by a hash of the id, and up to ``SAMPLE_CHARS`` letters of them.
 Language, source and id are no inputs of a prediction.
 
-Scale: prediction is narrow. Automata are built in one task per language and have at most
-2 * ``SAMPLE_CHARS`` states of ``ALPHABET`` classes, whatever the data.
+Scale: prediction is narrow, and its work grows with the number of languages. Automata are built in
+one task per language and have at most 3 * ``SAMPLE_CHARS`` steps, some 2 MB, whatever the data.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; letters that are in
-no sample count as one class that fits nowhere; null languages teach nothing; without any labelled
+no sample count as one class that no automaton has; null languages teach nothing; without any labelled
 text every prediction is ``und``; ties go to the first language in order; repeated rows get equal
 predictions; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,15 +42,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from logjury.llm.shared import in_learning_fold, of_texts, ship, stored, table
+from logjury.llm.shared import in_batches, in_learning_fold, of_texts, stored, table
 
-LANGUAGES = 32
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 30_000
-ALPHABET = 64
 SEGMENT = 256
 # Letters parsed in step at once: a few tens of bytes of memory each.
 LETTERS = 1 << 21
+# Segments times languages at once: some fifty bytes of memory each.
+CELLS = 1 << 21
 UNKNOWN = "und"
 
 
@@ -59,7 +63,7 @@ def normalise(text: str) -> str:
 def code_table(letters: str) -> np.ndarray:
     """Class of every code point: 0 space, 1 a letter of no sample, then the letters in order."""
     known = {c: k + 2 for k, c in enumerate(letters)}
-    codes = np.zeros(0x110000, dtype=np.uint8)
+    codes = np.zeros(0x110000, dtype=np.min_scalar_type(len(letters) + 1))
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
@@ -79,16 +83,17 @@ def encode(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     apart[1:] = np.diff(letters) > 1
     apart[cuts[:-1][cuts[:-1] < len(letters)]] = 0  # no space before the first letter of a text
     places = np.cumsum(apart + 1) - 1
-    row = np.zeros(len(letters) + int(apart.sum()), dtype=np.uint8)
+    row = np.zeros(len(letters) + int(apart.sum()), dtype=codes.dtype)
     row[places] = found[letters]
     return row, np.append(0, places + 1)[cuts]
 
 
 def automaton(sample: np.ndarray, classes: int) -> np.ndarray:
-    """Suffix automaton of a row of classes as a table of ``(state, class)``.
+    """Suffix automaton of a row of classes as one row of steps.
 
-    An entry is twice the next state, plus 1 if the step begins a new phrase. States are numbered
-    from 0, the root.
+    A state is a place, and its step by a class is that many entries on. An entry holds the state it
+    belongs to in its upper half, or is -1, and in its lower half twice the next state, plus 1 if the
+    step begins a new phrase. State 0 is the root, which has a step for every class.
     """
     step: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
@@ -116,13 +121,44 @@ def automaton(sample: np.ndarray, classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = copy
         last = state
-    root = np.ones(classes, dtype=np.int32)  # a class the sample lacks: a phrase of its own
-    for c, q in step[0].items():
-        root[c] = 2 * q + 1
-    rows = np.tile(root, (len(step), 1))  # at the root no phrase is open, so any step begins one
-    of = np.repeat(np.arange(1, len(step)), [len(s) for s in step[1:]])
-    rows[of, [c for s in step[1:] for c in s]] = [2 * q for s in step[1:] for q in s.values()]
-    return rows
+    place = _places(step, classes)
+    row = np.full(int(place.max()) + classes, -1, dtype=np.int64)
+    row[:classes] = 1  # a class the sample lacks: a phrase of its own
+    for c, q in step[0].items():  # at the root no phrase is open, so any step begins one
+        row[c] = 2 * place[q] + 1
+    at = np.repeat(place[1:], [len(s) for s in step[1:]])
+    to = place[[q for s in step[1:] for q in s.values()]]
+    row[at + np.array([c for s in step[1:] for c in s], dtype=np.int64)] = (at << 32) | (2 * to)
+    return row
+
+
+def _places(step: list[dict[int, int]], classes: int) -> np.ndarray:
+    """A place for every state, such that the steps of no two states meet."""
+    place = np.zeros(len(step), dtype=np.int64)
+    # Three of four entries stay empty, so a few places tried at random are enough.
+    draw = random.Random(0)
+    wide = classes + 4 * sum(map(len, step))
+    used: set[int] = set(range(classes))  # the root's
+    taken = {0}
+    none = []
+    for state in sorted(range(1, len(step)), key=lambda s: -len(step[s])):
+        own = step[state]
+        if not own:
+            none.append(state)
+            continue
+        tries = 0
+        at = int(draw.random() * wide) + 1
+        while at in taken or any(at + c in used for c in own):
+            at = int(draw.random() * wide) + 1
+            tries += 1
+            if tries % 256 == 0:
+                wide *= 2
+        taken.add(at)
+        place[state] = at
+        used.update([at + c for c in own])
+    # States without a step need no place of their own, only one that no entry names.
+    place[none] = max(taken) + classes
+    return place
 
 
 class Model:
@@ -130,13 +166,10 @@ class Model:
 
     def __init__(self, letters: str, languages: list[str], tables: list[np.ndarray], sizes: list[int]):
         self.letters, self.languages = letters, languages
-        self.classes = len(letters) + 2
         self.roots = np.cumsum([0] + [len(t) for t in tables])[:-1]
-        shifted = [t + 2 * root for t, root in zip(tables, self.roots, strict=True)]
-        # Entries hold twice the place of the next state's row, plus the mark.
-        self.steps = np.concatenate(
-            [((t >> 1) * self.classes * 2 + (t & 1)).astype(np.int32).ravel() for t in shifted]
-        ) if tables else np.zeros(0, np.int32)
+        # The states of each language are moved on by those before it.
+        moved = [np.where(t < 0, -1, t + (root << 32) + 2 * root) for t, root in zip(tables, self.roots, strict=True)]
+        self.steps = np.concatenate(moved) if moved else np.zeros(0, np.int64)
         self.bits = np.log2(np.maximum(2, np.array(sizes, dtype=np.float64)))
 
     def phrases(self, found: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,15 +182,18 @@ class Model:
         size = np.minimum(lengths[of] - number * SEGMENT, SEGMENT)
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
-        place = np.tile((self.roots * self.classes).astype(np.int32), (len(of), 1))
+        place = np.tile(self.roots, (len(of), 1))
         count = np.zeros((len(of), len(self.languages)), dtype=np.int32)
         steps = int(size[0]) if len(size) else 0
         # How many segments are still being parsed at each step; the longest come first.
         active = len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")
-        found = found.astype(np.int32)
+        found = found.astype(np.int64)
         for t, m in enumerate(active.tolist()):
-            letter = found[begin[:m] + t]
-            entry = self.steps.take(place[:m] + letter[:, None])
+            letter = found[begin[:m] + t][:, None]
+            entry = self.steps.take(place[:m] + letter)
+            fails = np.nonzero(entry >> 32 != place[:m])
+            entry[fails] = self.steps.take(self.roots[fails[1]] + letter[fails[0], 0])
+            entry &= 0xFFFFFFFF
             count[:m] += entry & 1
             place[:m] = entry >> 1
         back = np.empty_like(order)
@@ -191,9 +227,13 @@ class Model:
         codes = code_table(self.letters)
         at = 0
         while at < len(texts):
-            stop, total = at, 0
-            while stop < len(texts) and (stop == at or total + len(texts[stop]) < LETTERS):
-                total += len(texts[stop])
+            stop, total, parts = at, 0, 0
+            most = CELLS // max(1, len(self.languages))
+            while stop < len(texts):
+                more = -(-len(texts[stop]) // SEGMENT)
+                if stop > at and (total + len(texts[stop]) >= LETTERS or parts + more > most):
+                    break
+                total, parts = total + len(texts[stop]), parts + more
                 stop += 1
             found, starts = encode(texts[at:stop], codes)
             lettered = np.diff(starts) > 0
@@ -214,14 +254,18 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, limit: int) -> Da
     rows = docs.where(F.col(lang).isNotNull() & in_learning_fold(F.col(doc_id)) & F.col(text).isNotNull())
     order = F.xxhash64(F.lit(8), F.col(doc_id)).bitwiseAND(F.lit((1 << 53) - 1))
     counts = rows.groupBy(F.col(lang).alias("of")).agg(F.count("*").alias("rows"))
-    # At most as many rows as languages are learned.
-    common = counts.orderBy(F.desc("rows"), "of").limit(LANGUAGES)
-    shares = common.select("of", (F.lit(limit) / F.col("rows")).alias("share"))
+    shares = counts.select("of", (F.lit(limit) / F.col("rows")).alias("share"))
     picked = rows.select(F.col(lang).alias("lang"), order.alias("order"), F.col(text).alias("text"))
-    joined = picked.join(F.broadcast(shares), F.col("lang") == F.col("of"))
+    joined = picked.join(shares, F.col("lang") == F.col("of"))
     return joined.where(F.col("order") < F.col("share") * float(1 << 53)).select("lang", "order", "text").distinct()
 
 
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen = {c.lower()[0] for text in batch.column(0).to_pylist() for c in set(text) if c.isalpha()}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["letter"])
+
+
 def fit(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -231,12 +275,10 @@ def fit(
     chars: int = SAMPLE_CHARS,
 ) -> Model:
     """Automata built in one task per language from the bounded sample."""
-    spark = docs.sparkSession
     taken = stored(sample(docs, doc_id, text, lang, limit))
-    counted = taken.select(F.explode(F.split(F.lower("text"), "")).alias("c")).groupBy("c").count()
-    common = counted.where(F.col("c").rlike(r"^\p{L}$")).orderBy(F.desc("count"), "c").limit(ALPHABET - 2)
-    letters = "".join(sorted(row["c"] for row in common.collect()))
-    ship(spark)
+    # At most as many rows as there are letters.
+    found = in_batches(taken.select("text"), _letters, "letter string").distinct().collect()
+    letters = "".join(sorted(row["letter"] for row in found))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         codes = code_table(letters)
@@ -244,17 +286,17 @@ def fit(
         for own in rows.sort_values(["order", "text"])["text"]:
             if total < chars:
                 found, _ = encode([own], codes)
-                kept += [found[: chars - total], np.zeros(1, np.uint8)]
+                kept += [found[: chars - total], np.zeros(1, found.dtype)]
                 total += len(found) + 1
         found = np.concatenate(kept)
         made = automaton(found, len(letters) + 2)
         return pd.DataFrame(
-            {"lang": [rows["lang"].iloc[0]], "size": [len(found)], "steps": [made.astype("<i4").tobytes()]}
+            {"lang": [rows["lang"].iloc[0]], "size": [len(found)], "steps": [made.astype("<i8").tobytes()]}
         )
 
     built = taken.groupBy("lang").applyInPandas(build, "lang string, size long, steps binary").collect()
     built.sort(key=lambda row: row["lang"])
-    tables = [np.frombuffer(row["steps"], dtype="<i4").reshape(-1, len(letters) + 2) for row in built]
+    tables = [np.frombuffer(row["steps"], dtype="<i8") for row in built]
     return Model(letters, [row["lang"] for row in built], tables, [row["size"] for row in built])
 
 

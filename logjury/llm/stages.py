@@ -23,7 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without letters and those that fit none go."""
+    """Documents with a language: those without letters go, and all if no language is labelled."""
     names = unused(docs, "lang_pred"), unused(docs, "score")
     found = language.predict(docs, language.fit(docs), docs.columns, names=names)
     return found.where(F.col(names[0]) != language.UNKNOWN).select(*docs.columns)
