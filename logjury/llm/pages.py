@@ -1,8 +1,11 @@
 """Operator 3: main text of web pages by a maximum-scoring subsequence.
 
-A page is a row of words and tags. Elements that never hold article text (scripts, styles, forms,
-menus, side bars, adverts, reader comments, notices and the like, by tag, role or a word of class and
-id) are cut out first. Then every word scores positive and every tag negative, with weights learned
+A page is a row of words and tags. Elements that never hold article text by their tag (scripts, styles,
+forms, menus and the like) are cut out first. An element that is hidden, or that role or a word of class
+or id marks as side bar, advert, reader comments or the like, is a row of its own. Its best stretch
+counts ``MARKED`` of its sum, none if hidden, and wins only if that is more than the best stretch around
+it, and never on a page that marks its content. If all content (``article``, ``main``) of a page stands
+in such elements, these belong to the page's own row; a mark on the content itself counts for nothing. Then every word scores positive and every tag negative, with weights learned
 from labelled pages, and one linear scan finds the contiguous stretch of the largest sum
 (Pasternack and Roth, 2009). The blocks of that stretch are the text.
 
@@ -41,6 +44,8 @@ WORD_LEAST, WORD_MOST = 0.2, 2.0
 TAG_LEAST, TAG_MOST = 0.02, 3.0
 # Penalty of a tag the labelled pages lack outside what is cut out.
 TAG_UNKNOWN = 0.1
+# Share of its sum that a stretch within a marked element counts.
+MARKED = 0.2
 
 _PARTS = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -52,7 +57,8 @@ _PARTS = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+_NAMED = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 # Elements that never hold article text.
@@ -84,12 +90,24 @@ CONTENT = frozenset(["article", "main"])
 NEVER_MARKED = frozenset(["html", "body", "main"])
 
 
+def _is_hidden(rest: str) -> bool:
+    """True if the attributes hide the element; the word in a value does not."""
+    low = rest.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for match in _NAMED.finditer(rest):
+        name, value = match[1].lower(), match[2] or match[3] or match[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
+            return True
+        if name == "style" and _NOT_SHOWN.search(value):
+            return True
+    return False
+
+
 def _is_marked(rest: str, in_content: bool) -> bool:
-    """True for the attributes of an element that holds no article text."""
-    if not rest or ("=" not in rest and "hidden" not in rest):
+    """True for the attributes of an element that tells to hold no article text."""
+    if "=" not in rest:
         return False
-    if _HIDDEN.search(rest):
-        return True
     for match in _ATTRIBUTE.finditer(rest):
         value = (match[2] or match[3] or match[4] or "").lower()
         parts = [part for part in _SPLIT.split(value) if part]
@@ -99,13 +117,23 @@ def _is_marked(rest: str, in_content: bool) -> bool:
     return False
 
 
+class Region:
+    """The page, or a marked or hidden element; ``depth`` is that of the element, ``content`` if it has any."""
+
+    __slots__ = ("content", "depth", "inside", "parent", "weight")
+
+    def __init__(self, parent: Region | None, depth: int, weight: float, inside: bool):
+        self.parent, self.depth, self.weight, self.inside, self.content = parent, depth, weight, inside, False
+
+
 class Token:
     """A tag (``words`` 0) or a piece of text; ``block`` counts the blocks begun before it."""
 
-    __slots__ = ("block", "content", "tag", "text", "words")
+    __slots__ = ("block", "content", "region", "tag", "text", "words")
 
-    def __init__(self, tag: str, text: str, words: int, block: int, content: bool):
+    def __init__(self, tag: str, text: str, words: int, block: int, content: bool, region: Region):
         self.tag, self.text, self.words, self.block, self.content = tag, text, words, block, content
+        self.region = region
 
 
 def tokens(page: str) -> list[Token]:
@@ -114,6 +142,7 @@ def tokens(page: str) -> list[Token]:
     stack: list[str] = []
     open_tags: Counter = Counter()
     dropped_from = None  # depth of the element being dropped
+    regions = [Region(None, 0, 1.0, False)]
     content = block = at = 0
     while at < len(page):
         match = _PARTS.match(page, at)
@@ -122,14 +151,14 @@ def tokens(page: str) -> list[Token]:
         if text is not None:
             if dropped_from is None:
                 plain = references.unescape(text)
-                found.append(Token(stack[-1] if stack else "", plain, len(plain.split()), block, content > 0))
+                found.append(Token(stack[-1] if stack else "", plain, len(plain.split()), block, content > 0, regions[-1]))
             continue
         raw = match["raw"]
         if raw:
             close = re.compile(rf"</{raw}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = close.end() if close else len(page)
             if dropped_from is None:
-                found.append(Token(raw.lower(), "", 0, block, content > 0))
+                found.append(Token(raw.lower(), "", 0, block, content > 0, regions[-1]))
             continue
         tag = (match["tag"] or match["tag2"] or "").lower()
         if not tag:
@@ -148,6 +177,11 @@ def tokens(page: str) -> list[Token]:
                 dropped_from = None
                 block += 1
                 continue
+            if regions[-1].depth > len(stack):
+                while regions[-1].depth > len(stack):
+                    regions.pop()
+                block += 1
+                continue
         elif tag not in VOID and not rest.endswith("/"):
             if tag in CONTENT and dropped_from is not None and not _closes(page, at, stack[dropped_from - 1]):
                 # The element being dropped has no end tag, so the content must have ended it.
@@ -156,22 +190,41 @@ def tokens(page: str) -> list[Token]:
                 del stack[dropped_from - 1 :]
                 dropped_from = None
                 block += 1
+            if tag in CONTENT and dropped_from is None and not content and regions[-1].depth:
+                outer = regions[-1]
+                if not _closes(page, at, stack[outer.depth - 1]):  # as above
+                    for closed in stack[outer.depth - 1 :]:
+                        open_tags[closed] -= 1
+                    del stack[outer.depth - 1 :]
+                    regions.pop()
+                    block += 1
             if tag in SELF_CLOSING and stack and stack[-1] == tag and dropped_from != len(stack):
                 stack.pop()
                 open_tags[tag] -= 1
+                if regions[-1].depth > len(stack):
+                    regions.pop()
+                    block += 1
             stack.append(tag)
             open_tags[tag] += 1
             if dropped_from is None:
                 is_head = tag == "header" and not content
-                if tag in DROPPED or is_head or (tag not in NEVER_MARKED and _is_marked(rest, content > 0)):
+                is_whole = tag in NEVER_MARKED or (tag in CONTENT and not content)
+                if tag in DROPPED or is_head:
                     dropped_from = len(stack)
-                    found.append(Token(tag, "", 0, block, content > 0))
+                    found.append(Token(tag, "", 0, block, content > 0, regions[-1]))
                     block += 1
+                elif not is_whole and ((hidden := _is_hidden(rest)) or _is_marked(rest, content > 0)):
+                    found.append(Token(tag, "", 0, block, content > 0, regions[-1]))
+                    block += 1
+                    weight = 0.0 if hidden else MARKED * regions[-1].weight
+                    regions.append(Region(regions[-1], len(stack), weight, content > 0))
+                elif tag in CONTENT and not content:
+                    regions[-1].content = True
             content += tag in CONTENT
         if dropped_from is None:
             if tag not in INLINE:
                 block += 1
-            found.append(Token(tag, " " if tag in ("br", "td", "th") else "", 0, block, content > 0))
+            found.append(Token(tag, " " if tag in ("br", "td", "th") else "", 0, block, content > 0, regions[-1]))
     return found
 
 
@@ -213,11 +266,40 @@ class Weights:
         ]
 
 
+def by_region(found: list[Token]) -> dict[Region, list[Token]]:
+    """The tokens of every region, the page first, which takes in the regions of all its content if it has none."""
+    rows: dict[Region, list[Token]] = {}
+    if not found:
+        return rows
+    page = found[0].region
+    while page.parent:
+        page = page.parent
+    own = {page}
+    if not page.content:
+        for region in {t.region for t in found if t.region.content and not t.region.inside}:
+            page.content = True
+            while region:
+                own.add(region)
+                region = region.parent
+    rows[page] = []
+    for token in found:
+        rows.setdefault(page if token.region in own else token.region, []).append(token)
+    return rows
+
+
 def main_text(page: str | None, weights: Weights) -> str:
-    row = tokens(page or "")
-    first, stop = best_stretch(weights.scores(row))
+    rows = by_region(tokens(page or ""))
+    best, chosen = 0.0, []
+    for region, row in rows.items():
+        scores = weights.scores(row)
+        first, stop = best_stretch(scores)
+        total = sum(scores[first:stop]) * region.weight
+        if total > best:
+            best, chosen = total, row[first:stop]
+        if region.content:
+            break  # the page's own row comes first
     blocks: dict[int, list[str]] = {}
-    for token in row[first:stop]:
+    for token in chosen:
         blocks.setdefault(token.block, []).append(token.text)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(text for text in joined if text)
@@ -228,7 +310,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     outside: Counter = Counter()
     for batch in batches:
         for page in batch.column(0).to_pylist():
-            for token in tokens(page):
+            for token in next(iter(by_region(tokens(page)).values()), []):
                 key = (token.tag, token.words > 0)
                 (inside if token.content else outside)[key] += max(1, token.words)
     keys = sorted(inside.keys() | outside.keys())
