@@ -24,7 +24,7 @@ there is no other id; repeated rows stay; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -221,15 +221,15 @@ def near_duplicates(
 
 
 def representatives(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find: Callable = near_duplicates, **options
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
 ) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with their columns; ``find`` tells the groups.
+    """The rows of ``docs`` that stand for their group of near-duplicates, with their columns.
 
     Rows that share an id are one document, of which one row stays; rows without an id cannot stand
     for a group and are kept as they are.
     """
     named = docs.where(F.col(doc_id).isNotNull())
-    groups = find(named, doc_id, text, **options)
+    groups = near_duplicates(named, doc_id, text, **options)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id))
     first = named.join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).select(*docs.columns)
     return first.union(docs.where(F.col(doc_id).isNull()))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logjury.llm import language, mixing, neardup, packing, quality, simhash
+from logjury.llm import language, mixing, packing, quality, simhash
 from logjury.llm.shared import table, unused
 
 
@@ -30,8 +30,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates (five-word shingles, similarity 0.8) the document that names it, once."""
-    return simhash.representatives(docs, find=neardup.near_duplicates)
+    """Of every group of linked fingerprints (four-word shingles, four bits) the document that names it, once."""
+    return simhash.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
