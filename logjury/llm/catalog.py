@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from logjury.llm import chat, language, licenses, mixing, packing, pages, quality, rules, simhash, vectors
+from logjury.llm import (
+    chat,
+    divergence,
+    filters,
+    language,
+    licenses,
+    mixing,
+    packing,
+    pages,
+    quality,
+    rules,
+    simhash,
+    vectors,
+)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,10 +28,14 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_licenses": licenses.op9_licenses,
     "op10_quality_rules": rules.op10_quality_rules,
+    "op12_filter_audit": filters.op12_filter_audit,
+    "op13_divergence": divergence.op13_divergence,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_chat": chat.OP2_SQL,
     "op7_embedding_links": vectors.OP7_SQL,
+    "op12_filter_audit": filters.OP12_SQL,
+    "op13_divergence": divergence.OP13_SQL,
 }
