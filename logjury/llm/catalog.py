@@ -11,6 +11,7 @@ from logjury.llm import (
     mixing,
     packing,
     pages,
+    pii,
     quality,
     rules,
     simhash,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_licenses": licenses.op9_licenses,
     "op10_quality_rules": rules.op10_quality_rules,
+    "op11_pii": pii.op11_pii,
     "op12_filter_audit": filters.op12_filter_audit,
     "op13_divergence": divergence.op13_divergence,
 }
