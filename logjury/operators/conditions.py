@@ -1,13 +1,22 @@
-"""What a condition text may say: constant patterns, no raising functions, null-safe fields.
+"""What a condition text may say, decided on the tree that Spark's own parser makes of it.
 
-Nothing here parses SQL; the texts are only scanned for string literals, calls of a few known
-functions and comparisons of three fields.
+A condition may use the operators and functions listed here, which answer NULL and never raise, whatever a
+line holds. Everything else is refused by name. The text is changed only at places the tree points to:
+
+* A pattern must be a constant; one that cannot be compiled becomes NULL, so the rule is undecided where it
+  needs that pattern and still decided where it does not. A LIKE pattern may also come from the record; where it
+  is malformed, the rule is undecided on that record.
+* ``Log.Level``, ``Log.Service`` and ``Log.Timestamp`` may be absent. In a test of equality with constants
+  (``=``, ``<>``, ``IN``, ``NOT IN``) an absent field is merely unequal to all of them. In every other use it is
+  NULL, which leaves the rule undecided unless the rest of the condition decides it.
+* Calls go to the form of the function that takes what they are called on (text, list, map, struct), and
+  ``in_cidr`` with a constant network becomes a test on the bits of the address, which are made once per record.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,171 +24,259 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from logjury.functions.predicates import (
+    DEFINITIONS,
     MAP_RECEIVERS,
     PATTERN_ARGUMENTS,
     WIDE_RECEIVERS,
     java_pattern_problem,
 )
 
-_LITERAL = r"(?:[rR]?'(?:[^'\\]|\\.)*'|[rR]?\"(?:[^\"\\]|\\.)*\")"
-_FIELD = r"\bLog\s*\.\s*(?:Level|Service|Timestamp)\b"
-_EQUALS = r"(?:==?(?![>=])|<>|!=)"
-_COMPARED = re.compile(
-    rf"(?P<field>{_FIELD})\s*(?P<op>{_EQUALS})\s*(?P<value>{_LITERAL})"
-    rf"|(?P<value2>{_LITERAL})\s*(?P<op2>{_EQUALS})\s*(?P<field2>{_FIELD})(?!\s*[.\[])"
-    rf"|{_LITERAL}",
-    re.IGNORECASE | re.DOTALL,
+# Fields that a record may lack, and the text that stands for them in tests of equality. No log line holds it.
+ABSENT_FIELDS = frozenset({"log.level", "log.service", "log.timestamp"})
+ABSENT = "'\\u0000absent\\u0000'"
+
+# Operators that answer NULL at worst (arithmetic and casts are analysed with ANSI errors off).
+OPERATORS = frozenset(
+    "And Or Not EqualTo EqualNullSafe LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual In Like ILike LikeAny "
+    "LikeAll NotLikeAny NotLikeAll IsNull IsNotNull IsTrue IsFalse IsUnknown CaseWhen Cast Concat Add Subtract Multiply "
+    "Divide IntegralDivide Remainder UnaryMinus UnaryPositive Literal UnresolvedAttribute UnresolvedExtractValue "
+    "UnresolvedFunction LambdaFunction UnresolvedNamedLambdaVariable CreateNamedStruct BitwiseAnd BitwiseOr BitwiseXor "
+    "BitwiseNot Substring StringTrim StringTrimLeft StringTrimRight StringLocate Coalesce".split()
 )
-_CALL = re.compile(rf"{_LITERAL}|\b(?P<name>\w+)\s*(?P<open>\()", re.DOTALL)
-
-# Functions and operators of Spark that can stop a job on one bad value, or on purpose; all have a
-# rule function or a ``try_`` form that gives NULL instead.
-RAISING = frozenset(
-    "raise_error assert_true element_at rlike regexp regexp_like regexp_extract regexp_extract_all regexp_replace "
-    "regexp_substr regexp_instr regexp_count split java_method reflect parse_json to_number to_binary "
-    "sequence array_repeat repeat aes_decrypt from_json from_csv from_xml schema_of_json xpath".split()
+# Functions of Spark that answer NULL at worst, whatever texts they are given.
+BUILT_IN = frozenset(
+    "contains startswith endswith lower upper lcase ucase trim ltrim rtrim btrim length char_length character_length len "
+    "octet_length bit_length substr substring substring_index left right coalesce nullif ifnull nvl nvl2 nullifzero zeroifnull if "
+    "concat concat_ws locate position instr charindex replace translate reverse initcap ascii overlay between isnull isnotnull "
+    "size cardinality array array_size array_contains array_position array_distinct array_max array_min array_sort sort_array "
+    "array_compact array_union array_intersect array_except arrays_overlap array_join array_remove slice get map_keys "
+    "map_values map_entries map_contains_key map_filter transform_values exists any_match forall filter transform aggregate reduce "
+    "try_element_at try_add try_subtract try_multiply try_divide try_mod try_to_binary try_url_decode try_parse_json "
+    "try_variant_get get_json_object json_array_length abs sign floor ceil ceiling round greatest least isnan nanvl mod "
+    "md5 sha sha1 sha2 crc32 hash xxhash64 hex soundex levenshtein luhn_check bit_count "
+    "year month day dayofmonth hour minute second dayofweek weekday quarter current_date current_timestamp now "
+    "unix_seconds unix_millis unix_micros named_struct struct boolean string int bigint double float is_valid_utf8".split()
 )
+OWN = frozenset(DEFINITIONS) | {"contains_any", "matches_any"}
+SAFE_FORMS = {
+    "element_at": "try_element_at",
+    "url_decode": "try_url_decode",
+    "parse_json": "try_parse_json",
+    "to_binary": "try_to_binary",
+    "regexp_like": "matches",
+    "rlike": "matches",
+    "regexp": "matches",
+}
+LIKES = {"Like": 1, "ILike": 1}
 
 
 class ConditionError(ValueError):
     """A condition that must not be used, with the reason."""
 
 
-def null_safe(text: str) -> str:
-    """A field that may be absent is merely unequal to every literal, as in a record without level.
+@dataclass
+class Node:
+    """A node of the parsed tree: what it is, where its text stands, and its children."""
+
+    kind: str
+    start: int
+    stop: int  # exclusive
+    name: str = ""  # of a function or field, in lower case
+    children: list[Node] = field(default_factory=list)
+
+    def walk(self) -> Iterator[Node]:
+        """All nodes, children before parents."""
+        for child in self.children:
+            yield from child.walk()
+        yield self
+
+    def is_constant(self) -> bool:
+        return not any(n.kind in ("UnresolvedAttribute", "UnresolvedNamedLambdaVariable") for n in self.walk())
+
+
+def parse(spark: SparkSession, text: str) -> Node:
+    """The tree Spark's parser makes of an expression; places count from 0."""
+    try:
+        tree = spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
+    except PySparkException as error:
+        raise ConditionError(f"cannot be analysed: {str(error).strip().splitlines()[0]}") from error
+    return _node(tree)
+
+
+def _node(tree) -> Node:
+    kind, origin, below = tree.getClass().getSimpleName(), tree.origin(), tree.children()
+    start, stop = origin.startIndex(), origin.stopIndex()
+    made = Node(
+        kind, start.get() if start.isDefined() else 0, stop.get() + 1 if stop.isDefined() else 0,
+        children=[_node(below.apply(k)) for k in range(below.length())],
+    )
+    if kind in ("UnresolvedFunction", "UnresolvedAttribute"):
+        made.name = tree.nameParts().mkString(".").lower()
+    return made
+
+
+class Editor:
+    """Replacements in a text, at places of its tree. A replacement takes in those made inside of it before."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.edits: list[tuple[int, int, str]] = []
+
+    def now(self, start: int, stop: int) -> str:
+        """The text between two places with the replacements made so far."""
+        parts, at = [], start
+        for first, last, new in sorted(e for e in self.edits if start <= e[0] and e[1] <= stop):
+            parts += [self.text[at:first], new]
+            at = last
+        return "".join([*parts, self.text[at:stop]])
+
+    def of(self, node: Node) -> str:
+        return self.now(node.start, node.stop)
+
+    def put(self, start: int, stop: int, new: str) -> None:
+        self.edits = [e for e in self.edits if not (start <= e[0] and e[1] <= stop)]
+        self.edits.append((start, stop, new))
+
+    def result(self) -> str:
+        return self.now(0, len(self.text))
+
 
-    ``Log.Level = 'x'`` becomes ``Log.Level <=> 'x'``; only comparisons with a literal are changed.
+def check(tree: Node, own: frozenset[str] = frozenset()) -> None:
+    """Refuse what is not listed; ``own`` names functions of the caller that never raise."""
+    for node in tree.walk():
+        if node.kind == "UnresolvedFunction" and node.name not in BUILT_IN | OWN | own:
+            hint = f"; use {SAFE_FORMS[node.name]}" if node.name in SAFE_FORMS else ""
+            raise ConditionError(f"is refused: {node.name} may not be used in a condition{hint}")
+        if node.kind not in OPERATORS:
+            hint = "; use matches" if node.kind == "RLike" else ""
+            raise ConditionError(f"is refused: {node.kind} may not be used in a condition{hint}")
+
+
+def compiled(
+    spark: SparkSession, sample: DataFrame, text: str, addresses: dict[str, str], own: frozenset[str] = frozenset()
+) -> str:
+    """The condition as it is evaluated.
+
+    ``sample`` is a record with its roots, by which types are told. ``addresses`` collects the address
+    expressions with the columns that are to hold their bits.
     """
+    tree = parse(spark, text)
+    check(tree, own)
+    editor = Editor(text)
+    within: set[int] = set()  # inside lambda functions names may be variables
+    for node in tree.walk():
+        if node.kind == "LambdaFunction":
+            within |= {id(n) for n in node.walk()}
+    for node in tree.walk():
+        if node.kind in ("EqualTo", "In"):
+            _absent(node, editor)
+        elif node.kind in LIKES:
+            _like(spark, node, editor)
+        elif node.kind in ("LikeAny", "LikeAll", "NotLikeAny", "NotLikeAll"):
+            if _fails(spark, f"'' {editor.of(node)}"):
+                raise ConditionError(f"is refused: the patterns of {editor.of(node)} must be constants that can be read")
+        elif node.kind == "UnresolvedFunction":
+            _patterns(spark, node, editor)
+            if node.name in MAP_RECEIVERS and id(node) not in within:
+                _receiver(sample, node, editor)
+            elif node.name == "in_cidr" and id(node) not in within:
+                _network(spark, sample, node, editor, addresses)
+    return editor.result()
 
-    def replace(match: re.Match) -> str:
-        field = match["field"] or match["field2"]
-        if field is None:
-            return match[0]
-        safe = f"({field} <=> {match['value'] or match['value2']})"
-        return safe if (match["op"] or match["op2"]).startswith("=") else f"(NOT {safe})"
 
-    return _COMPARED.sub(replace, text)
+def _absent(node: Node, editor: Editor) -> None:
+    """An absent field in a test of equality with constants."""
+    fields = [c for c in node.children if c.kind == "UnresolvedAttribute" and c.name in ABSENT_FIELDS]
+    others = [c for c in node.children if c not in fields]
+    if len(fields) == 1 and all(c.is_constant() for c in others) and (node.kind == "EqualTo" or fields[0] is node.children[0]):
+        editor.put(fields[0].start, fields[0].stop, f"coalesce({editor.of(fields[0])}, {ABSENT})")
 
 
-def _arguments(text: str, start: int) -> list[tuple[int, int]]:
-    """Bounds of the arguments of a call whose parenthesis opens just before ``start``."""
-    bounds, depth, at, begin = [], 1, start, start
-    step = re.compile(rf"{_LITERAL}|.", re.DOTALL)
-    while at < len(text):
-        part = step.match(text, at)
-        if part[0] in "([{":
-            depth += 1
-        elif part[0] in ")]}":
-            depth -= 1
-        if depth == 0 or (depth == 1 and part[0] == ","):
-            bounds.append((begin, at))
-            begin = part.end()
-        if depth == 0:
-            return bounds
-        at = part.end()
-    return bounds
+def _fails(spark: SparkSession, text: str) -> bool:
+    try:
+        spark.sql("SELECT 1 AS one").select(F.expr(text)).first()
+    except PySparkException:
+        return True
+    return False
 
 
-def _calls(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    for match in _CALL.finditer(text):
-        if match["name"]:
-            yield match["name"].lower(), _arguments(text, match.end())
+def _like(spark: SparkSession, node: Node, editor: Editor) -> None:
+    """A malformed pattern is NULL: a constant one is tried here, one of the record is looked at there."""
+    pattern = node.children[LIKES[node.kind]]
+    if pattern.is_constant():
+        if _fails(spark, f"'' {editor.of(node)}"):
+            editor.put(pattern.start, pattern.stop, "CAST(NULL AS STRING)")
+        return
+    if editor.text[pattern.stop : node.stop].strip(") \t\r\n"):
+        raise ConditionError("is refused: LIKE with ESCAPE needs a constant pattern")
+    own = editor.of(pattern)
+    editor.put(pattern.start, pattern.stop, rf"(CASE WHEN ({own}) RLIKE r'^(?s:[^\\]|\\[\\_%])*+\z' THEN ({own}) END)")
 
 
-def _outside_literals(text: str) -> str:
-    return re.sub(_LITERAL, "''", text)
+def _patterns(spark: SparkSession, node: Node, editor: Editor) -> None:
+    for place in PATTERN_ARGUMENTS.get(node.name, ()):
+        if place < len(node.children):
+            argument = node.children[place]
+            if _problem(spark, editor, argument) is not None:
+                editor.put(argument.start, argument.stop, "CAST(NULL AS STRING)")
 
 
-def with_receivers(sample: DataFrame, text: str) -> str:
-    """Calls led to the form of a function that takes what they are called on.
+def _problem(spark: SparkSession, editor: Editor, argument: Node) -> str | None:
+    text = editor.of(argument)
+    if not argument.is_constant():
+        raise ConditionError(f"is refused: the pattern {text} must be a constant")
+    try:
+        pattern = spark.sql("SELECT 1 AS one").select(F.expr(text).cast("string")).first()[0]
+    except PySparkException:
+        raise ConditionError(f"is refused: the pattern {text} must be a constant") from None
+    return None if pattern is None else java_pattern_problem(spark, pattern)
+
+
+def _receiver(sample: DataFrame, node: Node, editor: Editor) -> None:
+    """Lead a call to the form of the function that takes what it is called on.
 
     A text or a list has forms of its own; a struct such as ``Log`` is taken as the map of its fields,
     of which those that are no texts have no value.
     """
-    for start in sorted((m.end() for m in _CALL.finditer(text) if m["name"]), reverse=True):
-        name = re.search(r"(\w+)\s*\(\Z", text[:start])
-        if name[1].lower() not in MAP_RECEIVERS:
-            continue
-        first, stop = _arguments(text, start)[0]
-        receiver = text[first:stop]
-        try:
-            kind = sample.select(F.expr(receiver).alias("r")).schema[0].dataType
-        except PySparkException:
-            continue  # the whole condition is refused later, with its own message
-        if isinstance(kind, StructType):
-            values = (
-                f"({receiver}).{field.name}" if isinstance(field.dataType, StringType) else "CAST(NULL AS STRING)"
-                for field in kind
-            )
-            pairs = ", ".join(f"'{field.name}', {value}" for field, value in zip(kind, values, strict=True))
-            text = f"{text[:first]}map({pairs}){text[stop:]}"
-        elif name[1].lower() in WIDE_RECEIVERS and isinstance(kind, (StringType, ArrayType)):
-            form = "text" if isinstance(kind, StringType) else "list"
-            text = f"{text[: name.end(1)]}_{form}{text[name.end(1) :]}"
-    return text
-
-
-def hoisted_networks(spark: SparkSession, sample: DataFrame, text: str, addresses: dict[str, str]) -> str:
-    """``in_cidr`` with a constant network as a test on the bits of the address.
-
-    ``addresses`` collects the address expressions with the columns that are to hold their bits, so an
-    address is taken apart once for a record and not once for a rule.
-    """
-    changes = []
-    for match in _CALL.finditer(text):
-        if (match["name"] or "").lower() != "in_cidr":
-            continue
-        bounds = _arguments(text, match.end())
-        if len(bounds) != 2:
-            continue
-        (a, b), (first, stop) = bounds
-        address = text[a:b].strip()
-        try:
-            row = spark.sql("SELECT 1 AS one").select(
-                F.expr(f"ip_bits(split_part({text[first:stop]}, '/', 1))"), F.expr(f"cidr_prefix({text[first:stop]})")
-            ).first()
-            sample.select(F.expr(address))
-        except PySparkException:
-            continue
-        if row[0] is None or row[1] is None:
-            test = "CAST(NULL AS BOOLEAN)"
-        else:
-            column = addresses.setdefault(address, f"_address_{len(addresses)}")
-            if row[1] < len(row[0]):
-                test = f"startswith({column}, '{row[0][: row[1] + 1]}')"
-            else:  # no such prefix in the network's family; addresses of the other one are outside
-                test = f"CASE WHEN left({column}, 1) <> '{row[0][0]}' THEN false END"
-        changes.append((match.start(), stop + 1, test))
-    for start, stop, test in sorted(changes, reverse=True):
-        text = f"{text[:start]}{test}{text[stop:]}"
-    return text
-
-
-def without_traps(spark: SparkSession, text: str) -> str:
-    """The text with every pattern checked: a pattern that cannot be compiled becomes NULL.
-
-    So the rule is undecided where it needs that pattern and still decided where it does not.
-    Patterns must be constants, since a pattern taken from a line could stop the job.
-    """
-    plain = _outside_literals(text)
-    for name in re.findall(r"\b\w+\b(?=\s*\()|\b(?:rlike|regexp)\b", plain, re.IGNORECASE):
-        if name.lower() in RAISING:
-            raise ConditionError(f"{name} may not be used in a condition")
-    changes = []
-    for name, bounds in _calls(text):
-        for place in PATTERN_ARGUMENTS.get(name, ()):
-            if place < len(bounds):
-                first, stop = bounds[place]
-                if _problem(spark, text[first:stop]) is not None:
-                    changes.append((first, stop))
-    for first, stop in sorted(changes, reverse=True):
-        text = f"{text[:first]}CAST(NULL AS STRING){text[stop:]}"
-    return text
-
-
-def _problem(spark: SparkSession, argument: str) -> str | None:
+    if not node.children:
+        return
+    first = node.children[0]
+    receiver = editor.of(first)
     try:
-        pattern = spark.sql("SELECT 1 AS one").select(F.expr(argument).cast("string")).first()[0]
+        kind = sample.select(F.expr(receiver).alias("r")).schema[0].dataType
     except PySparkException:
-        raise ConditionError(f"the pattern {argument.strip()} must be a constant") from None
-    return None if pattern is None else java_pattern_problem(spark, pattern)
+        return  # the whole condition is refused later, with its own message
+    if isinstance(kind, StructType):
+        pairs = ", ".join(
+            f"'{f.name}', " + (f"({receiver}).{f.name}" if isinstance(f.dataType, StringType) else "CAST(NULL AS STRING)")
+            for f in kind
+        )
+        editor.put(first.start, first.stop, f"map({pairs})")
+    elif node.name in WIDE_RECEIVERS and isinstance(kind, (StringType, ArrayType)):
+        form = "text" if isinstance(kind, StringType) else "list"
+        editor.put(node.start, node.start + len(node.name), f"{node.name}_{form}")
+
+
+def _network(
+    spark: SparkSession, sample: DataFrame, node: Node, editor: Editor, addresses: dict[str, str]
+) -> None:
+    """``in_cidr`` with a constant network as a test on the bits of the address."""
+    if len(node.children) != 2 or not node.children[1].is_constant():
+        return
+    address, network = (editor.of(c) for c in node.children)
+    try:
+        row = spark.sql("SELECT 1 AS one").select(
+            F.expr(f"ip_bits(split_part({network}, '/', 1))"), F.expr(f"cidr_prefix({network})")
+        ).first()
+        sample.select(F.expr(address))
+    except PySparkException:
+        return
+    if row[0] is None or row[1] is None:
+        test = "CAST(NULL AS BOOLEAN)"
+    else:
+        column = addresses.setdefault(address, f"_address_{len(addresses)}")
+        if row[1] < len(row[0]):
+            test = f"startswith({column}, '{row[0][: row[1] + 1]}')"
+        else:  # no such prefix in the network's family; addresses of the other one are outside
+            test = f"(CASE WHEN left({column}, 1) <> '{row[0][0]}' THEN false END)"
+    editor.put(node.start, node.stop, test)

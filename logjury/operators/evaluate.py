@@ -19,13 +19,7 @@ from pyspark.sql import types as T
 
 from logjury.functions.predicates import java_pattern_problem, pattern_set_functions, register_functions
 from logjury.operators.roots import ROOTS, with_roots
-from logjury.operators.conditions import (
-    ConditionError,
-    hoisted_networks,
-    null_safe,
-    with_receivers,
-    without_traps,
-)
+from logjury.operators.conditions import ConditionError, compiled
 from logjury.operators.records import literal_rows
 from logjury.operators.rules import RuleError, RuleSet
 from logjury.schema import RECORD_FIELDS
@@ -109,14 +103,13 @@ def compile_rules(spark: SparkSession, rule_set: RuleSet) -> tuple[list[Predicat
         spark.sql(statement)
     sample = _sample(spark)
     addresses: dict[str, str] = {}
+    own = frozenset(name.lower() for name in rule_set.functions)
     texts = {}
     for rule in rule_set.ordered_rules():
         try:
-            text = with_receivers(sample, rule_set.condition_of(rule))
-            text = null_safe(without_traps(spark, text))
-            texts[rule.name] = hoisted_networks(spark, sample, text, addresses)
+            texts[rule.name] = compiled(spark, sample, rule_set.condition_of(rule), addresses, own)
         except ConditionError as error:
-            raise RuleError(f"rule {rule.name}: {error}") from error
+            raise RuleError(f"rule {rule.name} {error}") from error
     sample = _with_addresses(sample, addresses)
     with _lenient(spark):
         try:

@@ -350,6 +350,14 @@ _NO_TRAPS = RuleSet(
         Rule("level", "Log.Level = 'error'", priority=2),
         Rule("other", "'error' <> Log.Level", priority=3),
         Rule("none", "Log.Level IS NULL", priority=4),
+        Rule("joined", "Log.Level = 'err' || 'or' -- Log.Level = 'x'", priority=5),
+        Rule("among", "(Log.Level) IN ('error', lower('WARNING'))", priority=6),
+        Rule("apart", "Log.Level NOT IN ('error', 'info')", priority=7),
+        Rule("like", "Log.Level LIKE 'err%'", priority=8),
+        Rule("called", "lower_ascii(Log.Level) = 'error'", priority=9),
+        Rule("torn", r"Log.Service = 'shop' OR Log.Message LIKE r'a\q'", priority=10),
+        Rule("given", "Log.Message LIKE Log.Attributes['p']", priority=11),
+        Rule("decoded", "try_url_decode(Log.Attributes['u']) = 'a b'", priority=12),
     ),
 )
 
@@ -362,12 +370,24 @@ _NO_TRAPS = RuleSet(
  UNION ALL SELECT event_id, 'broken', CASE WHEN svc = 'shop' THEN true END FROM e
  UNION ALL SELECT event_id, 'level', event_id % 3 <> 0 AND level = 'error' FROM e
  UNION ALL SELECT event_id, 'other', event_id % 3 = 0 OR level <> 'error' FROM e
- UNION ALL SELECT event_id, 'none', event_id % 3 = 0 FROM e)"""
+ UNION ALL SELECT event_id, 'none', event_id % 3 = 0 FROM e
+ UNION ALL SELECT event_id, 'joined', event_id % 3 <> 0 AND level = 'error' FROM e
+ UNION ALL SELECT event_id, 'among', event_id % 3 <> 0 AND level IN ('error', 'warning') FROM e
+ UNION ALL SELECT event_id, 'apart', event_id % 3 = 0 OR level NOT IN ('error', 'info') FROM e
+ UNION ALL SELECT event_id, 'like', CASE WHEN event_id % 3 <> 0 THEN starts_with(level, 'err') END FROM e
+ UNION ALL SELECT event_id, 'called', CASE WHEN event_id % 3 <> 0 THEN level = 'error' END FROM e
+ UNION ALL SELECT event_id, 'torn', CASE WHEN svc = 'shop' THEN true END FROM e
+ UNION ALL SELECT event_id, 'given', CASE event_id % 4 WHEN 0 THEN starts_with(msg, 'event error') WHEN 1 THEN true END FROM e
+ UNION ALL SELECT event_id, 'decoded', CASE event_id % 2 WHEN 0 THEN true END FROM e)"""
     ),
 )
 def g2_no_traps(spark, sf_dir):
-    """A pattern that cannot be compiled and lines without a level stop neither job nor other rules."""
-    line = to_line(time="t", level=F.when(c("event_id") % 3 != 0, c("lvl")), service="svc", message="msg")
+    """Neither a malformed pattern, of the rule or of the line, nor an absent level stops the job or other rules."""
+    line = to_line(
+        time="t", level=F.when(c("event_id") % 3 != 0, c("lvl")), service="svc", message="msg",
+        p=F.get(F.array(*map(F.lit, ("event error%", "e_ent%", "a\\q", "%\\"))), (c("event_id") % 4).cast("int")),
+        u=F.when(c("event_id") % 2 == 0, F.lit("a%20b")).otherwise(F.lit("%zz")),
+    )
     rows = evaluate(parse(events(spark, sf_dir), line, keep=["event_id"]), _NO_TRAPS)
     matched = F.when(c("error").isNull(), c("matched"))
     return rows.select("event_id", "condition", matched.alias("matched"), "error")

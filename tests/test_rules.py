@@ -308,6 +308,52 @@ def test_conditions_refuse_traps(records):
     assert [found["texts", i] for i in (1, 2, 3)] == [True, False, False]
 
 
+def test_conditions_refuse_what_may_stop_a_job(records):
+    for text in (
+        "url_decode(Log.Message) = 'x'",
+        "size(str_to_map(Log.Message)) > 1",
+        "xpath_string(Log.Message, 'a') = 'b'",
+        "from_utc_timestamp(now(), Log.Message) IS NULL",
+        "decode(encode(Log.Message, 'utf-8'), Log.Attributes['p']) = 'x'",
+        "Log.Message LIKE Log.Service ESCAPE '/'",
+        "(SELECT true)",
+        "Log.Message LIKE ANY ('a\\\\q', 'b')",
+        "count(*) > 1",
+    ):
+        with pytest.raises(RuleError, match="rule bad is refused"):
+            evaluate(records, RuleSet(rules=(Rule("good", "true"), Rule("bad", text))))
+    with pytest.raises(RuleError, match="rule bad cannot be analysed"):
+        evaluate(records, RuleSet(rules=(Rule("bad", "Log.Level = = 'x'"),)))
+
+
+def test_conditions_are_changed_on_the_tree(records):
+    """Comments, joined literals, brackets and names in literals do not mislead."""
+    found = answers(
+        records,
+        (
+            Rule("joined", "Log.Level = 'err' || 'or' /* contains( */ -- Log.Level = 'no'"),
+            Rule("turned", "'error' = (Log.Level)"),
+            Rule("set", "NOT (Log.Level) IN ('error', concat('in', 'fo'))"),
+            Rule("other", "Log.Level = Log.Service"),
+            Rule("texts", "any_value_contains ( /* of */ Log.Message, 'denied') OR has_key(Log, 'Log.Level IN (1)')"),
+            Rule("lambda", "exists(map_values(Log.Attributes), v -> v = 'a' OR contains(v, 'x'))"),
+        ),
+    )
+    assert [found["joined", i] for i in (1, 2, 3)] == [True, False, False]
+    assert [found["turned", i] for i in (1, 2, 3)] == [True, False, False]
+    assert found["set", 3] is True and found["set", 1] is False
+    assert found["other", 3] == "no answer: condition is null"
+    assert [found["texts", i] for i in (1, 2, 3)] == [False, True, False]
+
+
+def test_functions_of_the_caller(spark, records):
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION is_door(s STRING) RETURNS BOOLEAN RETURN contains(s, 'door')")
+    rules = (Rule("own", "is_door(Log.Message)"),)
+    with pytest.raises(RuleError, match="is_door may not be used"):
+        evaluate(records, RuleSet(rules=rules))
+    assert evaluate(records, RuleSet(rules=rules, functions=("is_door",)), hits_only=True).count() == 1
+
+
 def test_rules_and_groups_in_tables(spark):
     rules = spark.createDataFrame(
         [("a", "1", 0, "true", ["g", "none"], "and"), ("b", "2", 0, None, ["g"], "xor"), ("c", "3", -1, " ", [], "or")],
