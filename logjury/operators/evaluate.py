@@ -13,17 +13,18 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logjury.functions.predicates import java_pattern_problem, pattern_set_functions, register_functions
 from logjury.operators.roots import ROOTS, with_roots
 from logjury.operators.conditions import ConditionError, compiled
+from logjury.operators.numbering import number
 from logjury.operators.records import literal_rows
 from logjury.operators.rules import RuleError, RuleSet
 from logjury.schema import RECORD_FIELDS
-from logjury.session import prepare
+from logjury.session import prepare, settled
 
 NOT_MATCHED, MATCHED, UNDECIDED, WRONG_TYPE = 0, 1, 2, 3
 
@@ -207,15 +208,25 @@ def _rule_literal(rule_set: RuleSet, predicates: list[Predicate]) -> Column:
     )
 
 
+# Grams of a literal that key a rule; shorter literals are grams themselves.
+GRAM = 4
+# Bits of the filter over the keys of a rule table: 32 a rule, within these bounds (at most 128 KB).
+FEWEST_BITS, MOST_BITS = 1 << 10, 1 << 20
+
+
 def evaluate_table(records: DataFrame, rules: DataFrame) -> DataFrame:
     """Matches for rules kept in a table, for rule sets too large to write as text.
 
     A rule is a conjunction: ``(condition, source_eq, level_eq, service_eq, contains array)``, where
-    NULL or an empty array means "any"; ``rule_id``, ``tags`` and ``priority`` may be given. A rule
-    is keyed by the most telling equality it has (service, then source, then level), a record by its
-    own values, so only rules that agree on that key meet a record; rules without any equality have
-    to look at every record. The sides are joined without a hint: Catalyst broadcasts a rule table
-    whose size is below its threshold, and else splits hot keys at run time.
+    NULL or an empty array means "any"; ``rule_id``, ``tags`` and ``priority`` may be given.
+
+    Every rule is keyed once: by the gram of its literals that fewest rules hold, else by its most telling
+    equality (service, then source, then level), else by a key that all records have. A record has the keys of its own
+    values and all grams of its message, of the kinds and lengths that rules use; a bit filter of bounded size
+    over the keys of the rules, tested inside the record, leaves about those that rules have before the
+    record is repeated per key. Then records and rules are joined by key and every part of the rule is tested. The
+    sides are joined without a hint: Catalyst broadcasts a rule table whose size is below its threshold, and else
+    splits hot keys at run time. So rows grow with the text and the answers, not with records times rules.
 
     Quarantined lines are no records. The tests are null-safe, so a record without a level merely
     does not match; no rule of this form can fail, and ``error`` is always NULL.
@@ -231,23 +242,11 @@ def evaluate_table(records: DataFrame, rules: DataFrame) -> DataFrame:
         "priority": F.lit(0).cast("bigint"),
     }
     rules = rules.withColumns({name: c for name, c in given.items() if name not in rules.columns})
-
-    def key(kind: str, value: str) -> Column:
-        return F.concat(F.lit(f"{kind}="), F.col(value))
-
-    # One row per rule meets here, never a record.
-    rank = F.row_number().over(Window.orderBy("priority", "condition")) - 1
-    keyed_rules = rules.select(
-        "*",
-        rank.alias("rule_rank"),
-        F.coalesce(
-            key("service", "service_eq"), key("source", "source_eq"), key("level", "level_eq"), F.lit("*")
-        ).alias("rule_key"),
-    )
-    keys = F.array_compact(
-        F.array(key("service", "service"), key("source", "source"), key("level", "level"), F.lit("*"))
-    )
-    record, rule = records.withColumn("rule_key", F.explode(keys)).alias("record"), keyed_rules.alias("rule")
+    ranked = number(rules, ["priority", "condition"], "rule_rank", start=0)
+    keyed_rules = settled(_keyed(ranked.withColumn("rule_rank", F.col("rule_rank").cast("int"))))
+    keys = _keys_of_records(keyed_rules)
+    record = records.withColumn("rule_key", F.explode(keys)).alias("record")
+    rule = keyed_rules.alias("rule")
 
     def agrees(name: str) -> Column:
         return F.col(f"rule.{name}_eq").isNull() | F.col(f"record.{name}").eqNullSafe(F.col(f"rule.{name}_eq"))
@@ -263,3 +262,62 @@ def evaluate_table(records: DataFrame, rules: DataFrame) -> DataFrame:
         F.lit(True).alias("matched"),
         F.lit(None).cast("string").alias("error"),
     )
+
+
+def _grams(text: Column | str, length: int) -> Column:
+    """All grams of a text, overlapping ones too."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), 1)
+
+
+def _keyed(rules: DataFrame) -> DataFrame:
+    """Rules with ``rule_key`` and its ``kind``: the length of a gram, or 0.
+
+    Keys of equalities and the key of all records are longer than any gram, so they never meet one.
+    """
+    size = F.char_length("part")
+    parts = rules.select("rule_rank", F.explode("contains").alias("part")).where(size > 0)
+    grams = parts.select(
+        "rule_rank",
+        F.explode(F.when(size <= GRAM, F.array("part")).otherwise(F.array_distinct(_grams("part", GRAM)))).alias("gram"),
+    ).distinct()
+    spread = grams.groupBy("gram").agg(F.count("*").alias("rules"))
+    # The longest gram that fewest rules hold; equal ones by hash, so that a rule's choice is fixed.
+    order = F.struct(F.char_length("gram").alias("n"), (-F.col("rules")).alias("few"), F.xxhash64("gram").alias("h"))
+    chosen = grams.join(spread, "gram").groupBy("rule_rank").agg(F.max_by("gram", order).alias("gram"))
+    joined = rules.join(chosen, "rule_rank", "left")
+    fields = [F.concat(F.lit(f"{kind}="), F.col(f"{kind}_eq")) for kind in ("service", "source", "level")]
+    return joined.select(
+        *rules.columns,
+        F.coalesce("gram", *fields, F.lit("any record")).alias("rule_key"),
+        F.coalesce(F.char_length("gram"), F.lit(0)).alias("kind"),
+    )
+
+
+def _keys_of_records(rules: DataFrame) -> Column:
+    """The keys of a record that some rule may have."""
+    facts = rules.agg(F.count("*").alias("rules"), F.collect_set("kind").alias("kinds")).first()
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (32 * facts["rules"]).bit_length()))
+
+    def place(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(bits))
+
+    one = F.lit(1).cast("long")
+    words = (
+        rules.select(place(F.col("rule_key")).alias("at"))
+        .groupBy(F.shiftright("at", 6).alias("word"))
+        .agg(F.bit_or(F.call_function("shiftleft", one, F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+        .collect()  # at most MOST_BITS / 64 rows
+    )
+    held = {row["word"]: row["bits"] for row in words}
+    listed = ",".join(str(held.get(k, 0)) for k in range(bits // 64))
+    table = F.from_json(F.lit(f"[{listed}]"), "array<bigint>")
+
+    def known(key: Column) -> Column:
+        at = place(key)
+        word = F.get(table, F.shiftright(at, 6).cast("int"))
+        return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(one) == 1
+
+    fields = [F.concat(F.lit(f"{kind}="), F.col(kind)) for kind in ("service", "source", "level")]
+    own = F.array_compact(F.array(*fields, F.lit("any record")))
+    grams = [_grams("message", kind) for kind in sorted(facts["kinds"]) if kind]
+    return F.array_distinct(F.filter(F.concat(own, *grams) if grams else own, known))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logjury.operators.evaluate import evaluate
+from logjury.operators.numbering import number
 from logjury.operators.records import literal_rows
 from logjury.operators.rules import RuleSet, action_rows
 from logjury.schema import ACTION, CALLBACK_INTENT, ORDER_KEY
-from logjury.session import ensure_checkpoint_dir
 
 HANDLES = f"struct<handler_rank: int, handler: string, actions: array<{ACTION.simpleString()}>>"
 
@@ -98,34 +98,6 @@ def _outcome(failed: Column, is_intent: Column) -> Column:
     )
 
 
-def number(rows: DataFrame, keys: list[str] | None = None, column: str = "seq", start: int = 1) -> DataFrame:
-    """Consecutive numbers in key order without pulling the rows into one partition.
-
-    Rows are range-partitioned by the key and sorted within partitions, which splits any hot
-    value of a key prefix. Position and partition are written down as data and cut off by a
-    checkpoint, so a lost executor cannot change them. Only one count per partition is added up.
-    """
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
-    keys = keys or ORDER_KEY
-    placed = (
-        rows.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-        .checkpoint()
-    )
-    sizes = placed.groupBy("_part").agg((F.max("_pos") + 1).alias("rows"))
-    # One row per partition: small enough for a single running total.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_skip"))
-    return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(column, F.col("_skip") + F.col("_pos") + start)
-        .drop("_part", "_pos", "_skip")
-    )
-
-
 def with_ids(decisions: DataFrame, start: int = 1) -> DataFrame:
     """Decisions with ``seq`` and ``id`` = ``decision-<seq>``."""
     return number(decisions, start=start).withColumn(

@@ -565,6 +565,29 @@ def g1_table(spark, sf_dir):
     return rows.where("matched").select("event_id", "condition")
 
 
+@query(
+    "g1_text_rules_table",
+    """WITH parts AS (SELECT doc_id, k, substr(text, 30 * k + 11, 12) AS part FROM documents, range(10) t(k)),
+ rules AS (SELECT 'r' || doc_id || '-' || k AS condition, part,
+   CASE WHEN k = 3 THEN substr(text, 1, 3) WHEN k = 4 THEN substr(text, 400, 8) ELSE '' END AS more
+   FROM parts JOIN documents USING (doc_id) WHERE length(part) = 12 AND regexp_matches(part, '^[a-zA-Z ,.]*$') AND part = trim(part))
+ SELECT d.doc_id, r.condition FROM documents d JOIN rules r ON contains(d.text, r.part) AND contains(d.text, r.more)""",
+)
+def g1_text_rules_table(spark, sf_dir):
+    """Rules of literals alone, up to ten from every document, on the texts of all documents."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    part = F.substring("text", 30 * c("k") + 11, F.lit(12))
+    parts = texts.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).select("doc_id", "k", "text", part.alias("part"))
+    parts = parts.where((F.char_length("part") == 12) & c("part").rlike(r"^[a-zA-Z ,.]*\z") & (c("part") == F.trim("part")))
+    more = F.when(c("k") == 3, F.substring("text", 1, 3)).when(c("k") == 4, F.substring("text", 400, 8)).otherwise(F.lit(""))
+    none = F.lit(None).cast("string")
+    rules = parts.select(
+        F.concat(F.lit("r"), "doc_id", F.lit("-"), "k").alias("condition"), none.alias("source_eq"), none.alias("level_eq"),
+        none.alias("service_eq"), F.array("part", more).alias("contains"),
+    )
+    return evaluate_table(text_table(spark, sf_dir, "documents"), rules).select(c("ord").alias("doc_id"), "condition")
+
+
 _TABLE_HANDLERS = RuleSet(
     conditions_enabled=True,
     rules=(Rule("views", "true"), Rule("loud", "true")),

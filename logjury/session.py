@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Text times are rendered and read in UTC; duplicate JSON keys keep the last value.
 REQUIRED_CONF = {
@@ -38,3 +39,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="logjury-checkpoint-")
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read again: computed once, of a size Catalyst knows."""
+    path = f"{ensure_checkpoint_dir(frame.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
