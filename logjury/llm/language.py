@@ -254,7 +254,8 @@ def sample(docs: DataFrame, doc_id: str, text: str, lang: str, limit: int) -> Da
     rows = docs.where(F.col(lang).isNotNull() & in_learning_fold(F.col(doc_id)) & F.col(text).isNotNull())
     order = F.xxhash64(F.lit(8), F.col(doc_id)).bitwiseAND(F.lit((1 << 53) - 1))
     counts = rows.groupBy(F.col(lang).alias("of")).agg(F.count("*").alias("rows"))
-    shares = counts.select("of", (F.lit(limit) / F.col("rows")).alias("share"))
+    # Written, as Catalyst broadcasts a table whose size it knows to be small: no text is dealt by its language.
+    shares = stored(counts.select("of", (F.lit(limit) / F.col("rows")).alias("share")))
     picked = rows.select(F.col(lang).alias("lang"), order.alias("order"), F.col(text).alias("text"))
     joined = picked.join(shares, F.col("lang") == F.col("of"))
     return joined.where(F.col("order") < F.col("share") * float(1 << 53)).select("lang", "order", "text").distinct()
