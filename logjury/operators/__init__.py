@@ -1,6 +1,8 @@
 from logjury.operators.evaluate import compile_rules, evaluate, evaluate_table
-from logjury.operators.judge import decide, judge, number, recent, status, with_ids
+from logjury.operators.judge import decide, judge, recent, status, with_ids
+from logjury.operators.networks import longest_networks
 from logjury.operators.normalize import BUILTIN, counted, normalize, unparsed
+from logjury.operators.numbering import number
 from logjury.operators.rules import (
     Action,
     Fragment,
@@ -32,6 +34,7 @@ __all__ = [
     "evaluate",
     "evaluate_table",
     "judge",
+    "longest_networks",
     "merge",
     "normalize",
     "number",

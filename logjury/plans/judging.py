@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logjury.operators.evaluate import evaluate, evaluate_table
 from logjury.operators.judge import decide, judge, recent, status, with_ids
+from logjury.operators.networks import longest_networks
 from logjury.operators.roots import with_roots
 from logjury.operators.rules import (
     Action,
@@ -625,6 +626,64 @@ def g1_table_decisions(spark, sf_dir):
     )
 
 
+_SYLLABLES = "the er and on ing tion re ha en in ed es at or st nt ly an le wh".split()
+_MANY = tuple(a + b + d for a in _SYLLABLES for b in _SYLLABLES for d in _SYLLABLES)
+_LITERALS = RuleSet(
+    rules=(
+        Rule("ends", "contains_any(Log.Message, 'ends')"),
+        Rule("doubled", "contains_any(Log.Message, 'doubled')"),
+        Rule("signs", "contains_any(Log.Message, 'signs')"),
+    ),
+    pattern_sets=(
+        PatternSet("ends", "contains", tuple(f"{word}.\n" for word in _MANY)),
+        PatternSet("doubled", "contains", tuple(f" {word}{word[::-1]}" for word in _MANY)),
+        PatternSet("signs", "contains", ("#{(", "$^", "\\E", "[a]|*", "##", "= \"")),
+    ),
+)
+
+
+@query(
+    "f20_many_literals",
+    f"""WITH s AS (SELECT unnest({_SYLLABLES!r}) AS x), many AS (SELECT a.x || b.x || d.x AS w FROM s a, s b, s d),
+ ends AS (SELECT w || '.' || chr(10) AS w FROM many), doubled AS (SELECT ' ' || w || reverse(w) AS w FROM many)
+SELECT doc_id, 'ends' AS condition, count(*) > 0 AS matched FROM documents SEMI JOIN ends ON contains(text, w) GROUP BY doc_id
+UNION ALL SELECT doc_id, 'doubled', true FROM documents SEMI JOIN doubled ON contains(text, w)
+UNION ALL SELECT doc_id, 'signs', true FROM documents WHERE contains(text, '##') OR contains(text, '= "') OR contains(text, '$^')
+  OR contains(text, '#{{(') OR contains(text, chr(92) || 'E') OR contains(text, '[a]|*')""",
+)
+def f20_many_literals(spark, sf_dir):
+    """Sets of eight thousand literals on the texts of all documents."""
+    rows = evaluate(text_table(spark, sf_dir, "documents"), _LITERALS, hits_only=True)
+    return rows.select(c("ord").alias("doc_id"), "condition", "matched")
+
+
+@query(
+    "f10_network_table",
+    f"""WITH e AS ({EVENTS_SQL}), r AS (SELECT event_id, user_id, user_id % 4 AS a, k % 256 AS b, event_id % 256 AS d,
+  CASE WHEN event_id % 11 = 0 THEN 'x' ELSE '10.' || user_id % 4 || '.' || k % 256 || '.' || event_id % 256 END AS ip,
+  ((user_id % 4) * 256 + k % 256) * 256 + event_id % 256 AS n FROM e),
+ nets AS (SELECT DISTINCT '10.' || a || '.' || b || '.' || d || '/' || p AS cidr, n // (1 << (32 - p)) AS part, p
+   FROM (SELECT *, CAST(22 + user_id % 9 AS INTEGER) AS p FROM r WHERE event_id % 7 = 0)),
+ firsts AS (SELECT part, p, min(cidr) AS cidr FROM nets GROUP BY part, p),
+ sizes AS (SELECT DISTINCT p FROM firsts)
+SELECT event_id, ip, arg_max(cidr, p) AS cidr FROM (
+  SELECT r.event_id, r.ip, f.cidr, f.p FROM r JOIN sizes s ON true
+    LEFT JOIN firsts f ON r.ip <> 'x' AND f.p = s.p AND f.part = r.n // (1 << (32 - s.p))) GROUP BY event_id, ip""",
+)
+def f10_network_table(spark, sf_dir):
+    """Every event's address in networks made of every seventh event's, of nine sizes and some of the other family."""
+    octets = [c("user_id") % 4, c("k") % 256, c("event_id") % 256]
+    ip = F.concat_ws(".", F.lit("10"), *octets)
+    table = events(spark, sf_dir)
+    line = app_line(ip=F.when(c("event_id") % 11 == 0, F.lit("x")).otherwise(ip))
+    records = with_roots(parse(table, line, keep=["event_id"])).select("event_id", c("Request.Client.Ip").alias("ip"))
+    own = table.where(c("event_id") % 7 == 0)
+    networks = own.select(F.concat(ip, F.lit("/"), 22 + c("user_id") % 9).alias("cidr"), F.lit(4).alias("family"))
+    others = own.select(F.concat(F.lit("fe80::"), c("event_id") % 256, F.lit("/"), 100 + c("user_id") % 40).alias("cidr"), F.lit(6).alias("family"))
+    found = longest_networks(records, networks.union(others).distinct(), c("ip"))
+    return found.select("event_id", "ip", c("network.cidr").alias("cidr"))
+
+
 # ------------------------------------------------------------------ decisions
 
 _JUDGED = RuleSet(

@@ -1,4 +1,5 @@
 import ipaddress
+import json
 import random
 
 import pytest
@@ -17,6 +18,7 @@ from logjury import (
     evaluate,
     evaluate_table,
     judge,
+    longest_networks,
     merge,
     normalize,
     recent,
@@ -25,7 +27,7 @@ from logjury import (
     validate_rule_table,
     with_ids,
 )
-from logjury.functions.predicates import call
+from logjury.functions.predicates import any_of_pattern, call
 
 LINES = [
     '{"service":"authelia-7","level":"error","message":"door jammed"}',
@@ -405,3 +407,79 @@ def test_networks_in_rules(records, spark):
     got = {(r["condition"], r["ord"]): None if r["error"] else r["matched"] for r in rows}
     for name, (_, want) in rules.items():
         assert [got[name, k] for k in range(4)] == want, name
+
+
+def test_pattern_of_many_literals(spark):
+    """The trie finds what looking for each literal finds."""
+    rng = random.Random(5)
+    signs = "ab.\\[*^$|#é\n-😀&Q"
+    for n in (1, 3, 40, 400):
+        literals = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 6))) for _ in range(n)]
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 9))) for _ in range(300)] + literals
+        pattern = any_of_pattern(literals)
+        frame = spark.createDataFrame([(t,) for t in texts], "s string")
+        found = frame.select("s", F.col("s").rlike(pattern).alias("hit")).collect()
+        assert all(r["hit"] == any(x in r["s"] for x in literals) for r in found)
+    deep = ["a" * k + "b" for k in range(300)]
+    row = spark.sql("SELECT 1").select(F.lit("xaab").rlike(any_of_pattern(deep)), F.lit("xaac").rlike(any_of_pattern(deep))).first()
+    assert list(row) == [True, False]
+    assert any_of_pattern(["", "x"]) == "" and any_of_pattern(["ab", "abc", "b"]) == "[b]|ab"
+
+
+def test_literal_sets_keep_their_answers(records):
+    sets = (PatternSet("none", "contains"), PatternSet("all", "contains", ("", "q")), PatternSet("some", "contains", ("jam", "7")))
+    rules = tuple(Rule(s.name, f"contains_any(Log.Message, '{s.name}')") for s in sets) + (
+        Rule("absent", "contains_any(Log.Timestamp, 'some')"),
+    )
+    found = answers(records, rules, pattern_sets=sets)
+    assert [found["none", i] for i in (1, 2, 3)] == [False] * 3
+    assert [found["all", i] for i in (1, 2, 3)] == [True] * 3
+    assert [found["some", i] for i in (1, 2, 3)] == [True, False, True]
+    assert found["absent", 1] == "no answer: condition is null"
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_longest_networks_like_ipaddress(spark, threshold):
+    rng = random.Random(9)
+    address = lambda: str(ipaddress.IPv4Address(rng.getrandbits(4) << 28 | rng.getrandbits(3) << 8 | rng.getrandbits(2)))
+    wide = lambda: str(ipaddress.IPv6Address(1 << 120 | rng.getrandbits(3) << 60 | rng.getrandbits(2)))
+    nets = [f"{address()}/{rng.choice([0, 3, 24, 31, 32])}" for _ in range(40)]
+    nets += [f"{wide()}/{rng.choice([8, 66, 128])}" for _ in range(20)] + ["10.0.0.0/33", "x", "1.2.3.4"]
+    ips = [address() for _ in range(150)] + [wide() for _ in range(60)] + [None, "", "x"] * 5
+    ips += [ips[0]] * 400  # a hot address
+    frame = spark.createDataFrame([(k, ip, {"a": "b"}) for k, ip in enumerate(ips)], "n long, ip string, m map<string, string>")
+    table = spark.createDataFrame([(net, k) for k, net in enumerate(nets)], "cidr string, k long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        rows = longest_networks(frame, table, F.col("ip")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    good = [(net, ipaddress.ip_network(net, strict=False)) for net in nets[:60]]
+    assert len(rows) == len(ips)
+    for row in rows:
+        try:
+            ip = ipaddress.ip_address(row["ip"] or "")
+        except ValueError:
+            assert row["network"] is None
+            continue
+        holding = [(-net.prefixlen, text) for text, net in good if net.version == ip.version and ip in net]
+        assert (row["network"] and row["network"]["cidr"]) == (min(holding)[1] if holding else None)
+
+
+def test_rules_of_literals_meet_only_what_holds_their_gram(spark):
+    """Short and long literals, several of them, none, and letters of two code units."""
+    rng = random.Random(2)
+    words = ["alpha", "beta", "a", "é", "😀x", "gamma delta", "zz", "##", "ta al"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 8))) for _ in range(60)]
+    records = normalize(spark.createDataFrame([(k, json.dumps({"message": t})) for k, t in enumerate(texts)], "ord long, value string"))
+    literals = [rng.sample([*words, "absent", "lpha b", ""], rng.randint(0, 3)) for _ in range(80)]
+    rules = spark.createDataFrame(
+        [(f"r{k:02}", None, None, None, own) for k, own in enumerate(literals)],
+        "condition string, source_eq string, level_eq string, service_eq string, contains array<string>",
+    )
+    rows = evaluate_table(records, rules).collect()
+    want = {(f"r{k:02}", t) for k, own in enumerate(literals) for t, text in enumerate(texts) if all(x in text for x in own)}
+    assert {(r["condition"], r["ord"]) for r in rows} == want and len(rows) == len(want)
+    assert all(r["rule_rank"] == int(r["condition"][1:]) for r in rows)
+    assert evaluate_table(records, rules.where("false")).count() == 0
