@@ -32,6 +32,7 @@ from logjury.plans.base import (
     to_line,
 )
 from logjury.streaming.pipeline import RecentStore, run_recent, run_to_table
+from logjury.streaming.state import keep_recent, kept_recent
 
 QUERIES = {}
 ORACLES = {}
@@ -909,15 +910,35 @@ def s1(spark, sf_dir):
     ),
 )
 def s2(spark, sf_dir):
-    """The latest decisions over micro-batches: two files, one after the other, numbered on and on."""
+    """The latest decisions over micro-batches: two halves, one after the other, numbered on and on."""
     folder = scratch(spark)
     lines = mixed_lines(spark, sf_dir)
     middle = F.lit(lines.agg(F.median("ord")).first()[0])
-    for half in (c("ord") < middle, c("ord") >= middle):
-        lines.where(half).coalesce(1).sortWithinPartitions("ord").write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     store = RecentStore(spark, f"{folder}/recent", _JUDGED.max_decisions)
-    running = run_recent(stream, _JUDGED, store, f"{folder}/state", sink=f"{folder}/out")
-    running.awaitTermination()
+    for half in (c("ord") < middle, c("ord") >= middle):
+        lines.where(half).repartitionByRange("ord").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(lines.schema).parquet(f"{folder}/in")
+        running = run_recent(stream, _JUDGED, store, f"{folder}/state", sink=f"{folder}/out")
+        running.awaitTermination()
     rows = store.read(running.lastProgress["batchId"])
     return rows.select(c("seq").alias("number"), "id", "condition", "handler", "action_rank", "outcome", "record_message")
+
+
+@query(
+    "s3_stream_state",
+    oracle(
+        f"""SELECT event_id, condition, handler, action_rank, outcome, record_message FROM ({_MIXED_SQL})
+ ORDER BY event_id DESC, rule_rank DESC, handler_rank DESC, action_rank DESC LIMIT 256"""
+    ),
+)
+def s3(spark, sf_dir):
+    """The latest decisions in the state store, over two runs of one query: the second goes on from its checkpoint."""
+    folder = scratch(spark)
+    lines = mixed_lines(spark, sf_dir)
+    for half in (c("ord") % 2 == 1, c("ord") % 2 == 0):
+        lines.where(half).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(lines.schema).parquet(f"{folder}/in")
+        decisions = judge(normalize(stream), _JUDGED)
+        keep_recent(decisions, _JUDGED.max_decisions, f"{folder}/state", f"{folder}/counts").awaitTermination()
+    rows = kept_recent(spark, decisions.schema, _JUDGED.max_decisions, f"{folder}/state")
+    return rows.select(c("ord").alias("event_id"), "condition", "handler", "action_rank", "outcome", "record_message")

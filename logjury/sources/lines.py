@@ -25,7 +25,7 @@ def stream_lines(
     """The same columns from files as they arrive.
 
     Streams know no line positions: ``ord`` is the file's modification time in microseconds, so
-    it orders files, not the lines of one file. ``run_recent`` puts positions in per micro-batch.
+    it orders files, not the lines of one file. ``run_recent`` puts the lines' places in per micro-batch.
     """
     reader = spark.readStream.format("text")
     if max_files_per_trigger:

@@ -5,5 +5,6 @@ from logjury.streaming.pipeline import (
     run_recent,
     run_to_table,
 )
+from logjury.streaming.state import keep_recent, kept_recent
 
-__all__ = ["RecentStore", "judge_stream", "normalize_stream", "run_recent", "run_to_table"]
+__all__ = ["RecentStore", "judge_stream", "keep_recent", "kept_recent", "normalize_stream", "run_recent", "run_to_table"]

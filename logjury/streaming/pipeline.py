@@ -2,11 +2,13 @@
 
 Normalizing, evaluating and judging are stateless, so a streaming frame goes through the very
 same functions. Only the latest-decisions view keeps state: at most ``max_decisions`` rows,
-rewritten per micro-batch.
+rewritten per micro-batch, or kept in the state store (``state``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +17,7 @@ from logjury.operators.judge import judge, recent, with_ids
 from logjury.operators.normalize import normalize
 from logjury.operators.rules import RuleSet
 from logjury.schema import ORDER_KEY
+from logjury.sources.lines import number_lines
 
 
 def normalize_stream(lines: DataFrame, **options) -> DataFrame:
@@ -76,14 +79,18 @@ class RecentStore:
             raise RuntimeError(f"{self.path} holds no batch {batch - 1}; store and checkpoint belong together")
         return self.spark.read.parquet(self._counter(batch - 1)).first()["next"]
 
-    def update(self, decisions: DataFrame, batch: int) -> None:
+    def next_line(self, batch: int) -> int:
+        """The position the first line of this batch gets."""
+        return 0 if batch == 0 else self.spark.read.parquet(self._counter(batch - 1)).first()["next_line"]
+
+    def update(self, decisions: DataFrame, batch: int, next_line: int = 0) -> None:
         """Merge the numbered decisions of one micro-batch; call from ``foreachBatch``."""
         first = self.next_number(batch)
         new = recent(decisions, self.max_decisions).withColumn("batch_id", F.lit(batch).cast("bigint"))
         if batch > 0:
             new = self.spark.read.parquet(self._folder(batch - 1)).unionByName(new)
         recent(new, self.max_decisions, self.KEY).write.mode("overwrite").parquet(self._folder(batch))
-        counted = decisions.agg((F.count("*") + first).alias("next"))
+        counted = decisions.agg((F.count("*") + first).alias("next"), F.lit(next_line).cast("long").alias("next_line"))
         counted.write.mode("overwrite").parquet(self._counter(batch))
         if batch > 1:
             self._drop(self._folder(batch - 2))
@@ -96,7 +103,7 @@ class RecentStore:
 
 def run_recent(
     lines: DataFrame,
-    rule_set: RuleSet,
+    rule_set: RuleSet | Callable[[], RuleSet],
     store: RecentStore,
     checkpoint: str,
     sink: str | None = None,
@@ -104,20 +111,37 @@ def run_recent(
 ) -> StreamingQuery:
     """Judge a line stream in micro-batches and keep the latest decisions in ``store``.
 
-    ``ord`` becomes the position of the line in its batch. Decisions are numbered on and on over the
+    Lines of files (``stream_lines``) get their place: ``line_no`` in the file, ``ord`` over all files and
+    batches, so that order and ids are those of a batch run over the same files in the order they came. Other lines keep
+    the ``ord`` they have, or get their place in the batch. Decisions are numbered on and on over the
     batches. With ``sink`` all decisions of a batch are written there too, one folder per batch.
-    ``options`` go to ``normalize``.
+    ``rule_set`` may be a function, which is asked at every batch: rules can change while a stream runs, and decisions
+    carry the generation they come from. ``options`` go to ``normalize``.
     """
 
     def on_batch(batch_lines: DataFrame, batch: int) -> None:
-        placed = batch_lines.withColumn("ord", F.monotonically_increasing_id())
-        decisions = judge(normalize(placed, **options), rule_set)
+        rules = rule_set() if callable(rule_set) else rule_set
+        of_files = {"file", "split"} <= set(batch_lines.columns)
+        next_line = 0
+        if of_files:
+            batch_lines = batch_lines.persist()  # counted, numbered and judged
+            start = store.next_line(batch)
+            next_line = start + batch_lines.count()
+            numbered = number_lines(batch_lines.withColumn("ord", F.monotonically_increasing_id()))
+            placed = numbered.withColumn("ord", F.col("ord") + start)
+        elif "ord" in batch_lines.columns:
+            placed = batch_lines
+        else:
+            placed = batch_lines.withColumn("ord", F.monotonically_increasing_id())
+        decisions = judge(normalize(placed, **options), rules)
         decisions = with_ids(decisions, start=store.next_number(batch))
         if sink:
             target = f"{sink.rstrip('/')}/batch={batch}"
             decisions.write.mode("overwrite").parquet(target)
             decisions = batch_lines.sparkSession.read.parquet(target)
-        store.update(decisions, batch)
+        store.update(decisions, batch, next_line)
+        if of_files:
+            batch_lines.unpersist()
 
     return (
         lines.writeStream.option("checkpointLocation", checkpoint)

@@ -1,9 +1,12 @@
+import os
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import Observation
 
-from logjury import Action, counted, Handler, Rule, RuleSet, judge, ndjson, normalize, number_lines, read_lines, stream_lines, with_ids, write_ndjson
+from logjury import Action, counted, Handler, Rule, RuleSet, judge, ndjson, normalize, number_lines, read_lines, recent, stream_lines, with_ids, write_ndjson
 from logjury.schema import ORDER_KEY
-from logjury.streaming import RecentStore, run_recent, run_to_table
+from logjury.streaming import RecentStore, keep_recent, kept_recent, run_recent, run_to_table
 
 RULES = RuleSet(
     rules=(Rule("deny", "contains(Log.Message, 'denied')"),),
@@ -111,3 +114,68 @@ def test_ids_do_not_depend_on_splits(spark, folder):
         seen.append([(r["id"], r["ord"], r["record_message"]) for r in rows])
     assert seen[0] == seen[1] and len(seen[0]) == 10
     assert [m for _, _, m in seen[0]] == [f"denied {k}" for k in range(1, 20, 2)]
+
+
+@pytest.mark.parametrize("split", ["64", "128m"])
+def test_stream_places_equal_batch_places(spark, tmp_path, split):
+    """Lines, order and ids of a stream are those of a batch, whatever the splits and batches."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for part in range(3):
+        file = folder / f"{part}.log"
+        file.write_text("\n".join([*LINES[: 5 + part * 6], "", "denied at the end"]) + "\n")
+        os.utime(file, (1_000_000 + part, 1_000_000 + part))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        numbered = number_lines(read_lines(spark, str(folder)))
+        want = with_ids(judge(normalize(numbered), RULES)).orderBy("seq").collect()
+        lines = stream_lines(spark, str(folder), max_files_per_trigger=1)
+        store = RecentStore(spark, str(tmp_path / "recent"), RULES.max_decisions)
+        query = run_recent(lines, RULES, store, str(tmp_path / "state"), sink=str(tmp_path / "all"))
+        query.awaitTermination()
+        got = spark.read.parquet(str(tmp_path / "all")).orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert query.lastProgress["batchId"] == 2
+    shape = lambda rows: [(r["id"], r["ord"], r["rec_idx"], r["record_message"]) for r in rows]
+    assert shape(got) == shape(want) and len(got) > 10
+
+
+def test_given_order_is_kept_and_rules_may_change(spark, tmp_path):
+    """A line stream with places of its own keeps them; every batch asks for the rules."""
+    rows = [(100 - k, f"denied {k}") for k in range(6)]
+    folder = str(tmp_path / "in")
+    store = RecentStore(spark, str(tmp_path / "recent"), 20)
+    asked = []
+
+    def rules():
+        asked.append(len(asked))
+        return replace(RULES, generation=len(asked))
+
+    for part in (rows[:3], rows[3:]):
+        spark.createDataFrame(part, "ord long, value string").repartition(3).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("ord long, value string").parquet(folder)
+        query = run_recent(stream, rules, store, str(tmp_path / "state"))
+        query.awaitTermination()
+    found = store.read(query.lastProgress["batchId"]).orderBy("seq").collect()
+    assert [r["ord"] for r in found] == [98, 99, 100, 95, 96, 97]
+    assert [r["seq"] for r in found] == [1, 2, 3, 4, 5, 6]
+    assert [r["generation"] for r in found] == [1, 1, 1, 2, 2, 2]
+
+
+@pytest.mark.parametrize("n", [0, 4, 1000])
+def test_state_goes_on_after_a_restart(spark, tmp_path, n):
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    for part in (range(0, 40), range(40, 55), range(-3, 0)):
+        rows = [(k, f'{{"service":"s{k % 3}","msg":"denied {k}","n":{k}}}') for k in part]
+        spark.createDataFrame(rows, "ord long, value string").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("ord long, value string").option("maxFilesPerTrigger", 1).parquet(folder)
+        decisions = judge(normalize(stream), RULES)
+        keep_recent(decisions, n, state, str(tmp_path / "counts"), shards=3).awaitTermination()
+    got = kept_recent(spark, decisions.schema, n, state)
+    want = recent(judge(normalize(spark.read.parquet(folder)), RULES), n)
+    drop = "created_at_unix_ms"
+    assert list(map(str, got.drop(drop).collect())) == list(map(str, want.drop(drop).collect()))
+    assert got.count() == min(n, 58)
+    counts = spark.read.parquet(str(tmp_path / "counts")).groupBy("shard").agg({"rows": "max"}).collect()
+    assert sum(r[1] for r in counts) == 58
