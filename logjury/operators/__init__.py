@@ -17,6 +17,7 @@ from logjury.operators.rules import (
     validate_handler_table,
     validate_rule_table,
 )
+from logjury.operators.tables import at_generation, merged_conditions
 
 __all__ = [
     "BUILTIN",
@@ -28,6 +29,7 @@ __all__ = [
     "Rule",
     "RuleError",
     "RuleSet",
+    "at_generation",
     "compile_rules",
     "counted",
     "decide",
@@ -36,6 +38,7 @@ __all__ = [
     "judge",
     "longest_networks",
     "merge",
+    "merged_conditions",
     "normalize",
     "number",
     "recent",

@@ -19,6 +19,7 @@ from logjury.operators.rules import (
     validate_handler_table,
     validate_rule_table,
 )
+from logjury.operators.tables import at_generation, merged_conditions
 from logjury.plans.base import (
     EVENTS_SQL,
     app_line,
@@ -467,6 +468,55 @@ def g6(spark, sf_dir):
     return rows.select("event_id", "condition", "matched")
 
 
+@query(
+    "g5_table_merge",
+    """WITH u AS (SELECT DISTINCT user_id AS u FROM events),
+ own AS (SELECT u, 'Log.Service = ' || chr(39) || 's' || u || chr(39) AS w,
+   CASE u % 3 WHEN 0 THEN 'and' WHEN 1 THEN 'or' ELSE 'override' END AS m,
+   CASE u % 4 WHEN 0 THEN '(a = 1)' WHEN 1 THEN '((a = 1)) OR (b = ' || u || ')' WHEN 2 THEN '(c)' END AS head FROM u),
+ told AS (SELECT *, u % 6 <> 5 AS has FROM own)
+SELECT 'r' || u AS name,
+ CASE WHEN u % 4 = 3 OR u % 4 = 2 AND has AND m = 'override' THEN NULL WHEN NOT has THEN head
+   WHEN m = 'override' THEN '(' || w || ')' ELSE '(' || head || ') ' || upper(m) || ' (' || w || ')' END AS condition,
+ CASE WHEN u % 4 = 3 THEN 'no such group: none' WHEN u % 4 = 2 AND has AND m = 'override' THEN 'more than one override' END AS error
+FROM told""",
+)
+def g5_table_merge(spark, sf_dir):
+    """Conditions of one rule per user, folded from groups in tables; some hide shared groups, some are broken."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    u = c("user_id")
+    group = "struct<name: string, when: string, merge_condition_as: string, conditions: array<struct<when: string, merge_condition_as: string>>>"
+    local = F.struct(
+        F.lit("second").alias("name"), F.concat(F.lit("b = "), u).alias("when"), F.lit("or").alias("merge_condition_as"),
+        F.array().cast("array<struct<when: string, merge_condition_as: string>>").alias("conditions"),
+    )
+    names = F.when(u % 4 == 0, F.array(F.lit("first"))).when(u % 4 == 1, F.array(F.lit("first"), F.lit("second")))
+    names = names.when(u % 4 == 2, F.array(F.lit("first"), F.lit("third"))).otherwise(F.array(F.lit("none"), F.lit("first")))
+    rules = users.select(
+        F.concat(F.lit("r"), u).alias("name"), F.when(u % 6 != 5, F.concat(F.lit("Log.Service = 's"), u, F.lit("'"))).alias("when"),
+        names.alias("groups"), F.get(F.array(*map(F.lit, ("and", "or", "override"))), (u % 3).cast("int")).alias("merge_condition_as"),
+        F.when(u % 4 == 1, F.array(local)).cast(f"array<{group}>").alias("rule_groups"),
+    )
+    groups = spark.createDataFrame(
+        [("first", "a = 1", "and", []), ("second", "hidden", "and", []), ("third", None, "and", [("x", "and"), ("c", "override")])],
+        "name string, when string, merge_condition_as string, conditions array<struct<when: string, merge_condition_as: string>>",
+    )
+    return merged_conditions(rules, groups)
+
+
+@query(
+    "h9_generations",
+    """WITH g AS (SELECT user_id AS generation, min(ts) AS valid_from FROM events WHERE user_id % 5 = 0 GROUP BY user_id)
+SELECT event_id, (SELECT max(generation) FROM g WHERE valid_from = (SELECT max(valid_from) FROM g WHERE valid_from <= ts)) AS generation
+FROM events""",
+)
+def h9_generations(spark, sf_dir):
+    """Every event with the last generation begun at its time; every fifth user begins one with its first event."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    begun = table.where(c("user_id") % 5 == 0).groupBy(c("user_id").alias("generation")).agg(F.min("ts").alias("valid_from"))
+    return at_generation(table.select("event_id", "ts"), begun, c("ts")).select("event_id", "generation")
+
+
 def _rule_definitions(spark, sf_dir):
     """Every event as a rule definition, some of them broken."""
     texts = events(spark, sf_dir)
