@@ -50,12 +50,14 @@ MARKED = 0.2
 _PARTS = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|noscript|template|title|textarea|iframe|svg|math)\b(?P<raw_rest>[^>]*)>"
+    r"|<(?P<raw>script|style|title|textarea)\b(?P<raw_rest>[^>]*)>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>"
     r"|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
+_RAW_ENDS = {raw: re.compile(rf"</{raw}\b[^>]*>", re.IGNORECASE) for raw in ("script", "style", "title", "textarea")}
+_NO_TEXT = re.compile(r"<[!?]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _NAMED = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
@@ -85,6 +87,9 @@ INLINE = frozenset(
 )
 # Elements that the next one of their kind ends.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
+# Drawings, and elements that cannot stand in one.
+DRAWINGS = frozenset(["svg", "math"])
+HTML_ONLY = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 li ol p pre table ul article main section".split())
 CONTENT = frozenset(["article", "main"])
 # Their class and id tell of the whole page.
 NEVER_MARKED = frozenset(["html", "body", "main"])
@@ -144,7 +149,9 @@ def tokens(page: str) -> list[Token]:
     dropped_from = None  # depth of the element being dropped
     regions = [Region(None, 0, 1.0, False)]
     content = block = at = 0
-    while at < len(page):
+    closes = EndTags(page)
+    last = page.rfind(">")  # beyond it nothing is a tag
+    while at <= last:
         match = _PARTS.match(page, at)
         at = match.end()
         text = match["text"]
@@ -155,7 +162,7 @@ def tokens(page: str) -> list[Token]:
             continue
         raw = match["raw"]
         if raw:
-            close = re.compile(rf"</{raw}\b[^>]*>", re.IGNORECASE).search(page, at)
+            close = _RAW_ENDS[raw.lower()].search(page, at, last + 1)
             at = close.end() if close else len(page)
             if dropped_from is None:
                 found.append(Token(raw.lower(), "", 0, block, content > 0, regions[-1]))
@@ -183,7 +190,15 @@ def tokens(page: str) -> list[Token]:
                 block += 1
                 continue
         elif tag not in VOID and not rest.endswith("/"):
-            if tag in CONTENT and dropped_from is not None and not _closes(page, at, stack[dropped_from - 1]):
+            if dropped_from is not None and tag in HTML_ONLY and stack[dropped_from - 1] in DRAWINGS and "foreignobject" not in stack:
+                # Such an element ends a drawing around it, whose end tag is missing.
+                for closed in stack[dropped_from - 1 :]:
+                    open_tags[closed] -= 1
+                    content -= closed in CONTENT
+                del stack[dropped_from - 1 :]
+                dropped_from = None
+                block += 1
+            if tag in CONTENT and dropped_from is not None and not closes.after(at, stack[dropped_from - 1]):
                 # The element being dropped has no end tag, so the content must have ended it.
                 for closed in stack[dropped_from - 1 :]:
                     open_tags[closed] -= 1
@@ -192,7 +207,7 @@ def tokens(page: str) -> list[Token]:
                 block += 1
             if tag in CONTENT and dropped_from is None and not content and regions[-1].depth:
                 outer = regions[-1]
-                if not _closes(page, at, stack[outer.depth - 1]):  # as above
+                if not closes.after(at, stack[outer.depth - 1]):  # as above
                     for closed in stack[outer.depth - 1 :]:
                         open_tags[closed] -= 1
                     del stack[outer.depth - 1 :]
@@ -225,11 +240,24 @@ def tokens(page: str) -> list[Token]:
             if tag not in INLINE:
                 block += 1
             found.append(Token(tag, " " if tag in ("br", "td", "th") else "", 0, block, content > 0, regions[-1]))
+    if at < len(page) and dropped_from is None:
+        plain = references.unescape(_NO_TEXT.split(page[at:], maxsplit=1)[0])
+        found.append(Token(stack[-1] if stack else "", plain, len(plain.split()), block, content > 0, regions[-1]))
     return found
 
 
-def _closes(page: str, at: int, tag: str) -> bool:
-    return re.compile(rf"</{re.escape(tag)}\b", re.IGNORECASE).search(page, at) is not None
+class EndTags:
+    """Whether an element's end tag comes later in a page; the page is searched once per name asked for."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last: dict[str, int] = {}
+
+    def after(self, at: int, tag: str) -> bool:
+        if tag not in self.last:
+            found = re.compile(rf"</{re.escape(tag)}\b", re.IGNORECASE).finditer(self.page)
+            self.last[tag] = max((match.start() for match in found), default=-1)
+        return self.last[tag] >= at
 
 
 def best_stretch(scores: list[float]) -> tuple[int, int]:

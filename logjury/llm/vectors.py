@@ -16,7 +16,8 @@ A tile pair returns the number of links of each vector and a spanning forest of
 dense group costs no row per pair.
 
 Scale: a tile is sent to all tiles of its label; comparisons grow with the square of a label's
-different vectors. Tiles have bounded rows, so a hot label is many tasks.
+different vectors. Pairs of tiles are listed by number and dealt by label and both numbers, so a hot label is
+many tasks; a tile has about ``TILE`` rows.
 
 Defined cases: null labels, null or empty vectors, null ids, zero vectors and vectors with null or
 non-finite components link with nothing; vectors of different dimension are not compared; ids are
@@ -64,6 +65,8 @@ def tile_links(
     """Index pairs with cosine at or above the threshold; of one tile each pair once."""
     sides = []
     for raw in (left, right):
+        # By a power of two, which changes no digit: squares of very large and small numbers stay in range.
+        raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
         length = np.sqrt((raw * raw).sum(axis=1))
         sides.append((raw, length, *quantise(raw / length[:, None])))
     (a, a_len, a_code, a_scale, a_err), (b, b_len, b_code, b_scale, b_err) = sides
@@ -120,6 +123,21 @@ def _compare_batches(threshold: float):
     return run
 
 
+def tile_pairs(tiled: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(same, left, right)``: every pair of tiles of a label, once.
+
+    The pairs are listed by number first and dealt by their whole key, so the comparisons within one label are as
+    many units as it has pairs; each side joins by label and block.
+    """
+    key = ["label", "dims"]
+    listed = blocks.select(*key, "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("left_block"))
+    listed = listed.select(*key, "left_block", F.explode(F.sequence(F.col("left_block"), F.col("blocks") - 1)).alias("right_block"))
+    listed = listed.repartition(*key, "left_block", "right_block")
+    left, right = (tiled.select(*key, F.col("block").alias(f"{side}_block"), F.col("rows").alias(side)) for side in ("left", "right"))
+    met = listed.join(left, [*key, "left_block"]).join(right, [*key, "right_block"])
+    return met.select((F.col("left_block") == F.col("right_block")).alias("same"), "left", "right")
+
+
 def near_vectors(
     vectors: DataFrame,
     vec_id: str = "vec_id",
@@ -147,12 +165,7 @@ def near_vectors(
         .groupBy("label", "dims", "block")
         .agg(F.collect_list(F.struct("node", "copies", "embedding")).alias("rows"))
     )
-    left = tiled.select("label", "dims", F.col("block").alias("left_block"), F.col("rows").alias("left"))
-    pairs = (
-        left.join(tiled, ["label", "dims"])
-        .where("left_block <= block")
-        .select((F.col("left_block") == F.col("block")).alias("same"), "left", F.col("rows").alias("right"))
-    )
+    pairs = tile_pairs(tiled, stored(blocks))
     found = stored(in_batches(pairs, _compare_batches(threshold), "node long, root long, links long"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = components(found, "node", "root").withColumnRenamed("node", "of")
