@@ -3,12 +3,15 @@
 All licence templates form one generalised suffix automaton over words (between two templates lies a
 token no text has, so no match crosses them). The words of a file are streamed through it: at every
 word the state gives the longest run ending there that some template contains. Where such a run
-cannot be extended and has at least ``MIN_MATCH`` words it is a match; matches of one template with
-rising places and gaps of at most ``GAP`` words are chained to a span, and the share of the
+cannot be extended and has at least ``MIN_MATCH`` words it is a match, at every place where its template holds it;
+matches of one template with rising places and gaps of at most ``GAP`` words are chained to a span, several chains of a
+template at a time, and the share of the
 template's words that a span covers is its score. A span of at least ``COVER`` gives the label of the
-template. Stretches without licence words are skipped: no run of a template lies in them.
+template; of spans of a template that overlap the one that covers most stays. Stretches without licence words are
+skipped: no run of a template lies in them.
 
-The base phrases are reported at every place where their words stand one after the other.
+The base phrases are rows of the automaton as well: a state knows the phrases that end in it, so every place where the
+words of one stand one after the other is read off the same stream.
 
 Scale: one narrow pass; the automaton is built from the templates, a fixed text, in every worker.
 
@@ -19,6 +22,7 @@ repeated rows get equal results; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -104,13 +108,15 @@ def words(text: str | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton of token rows.
 
-    ``ends`` has for every state, by template, the smallest place at which its runs end there.
+    ``ends`` has for every state, by row, the smallest place at which its runs end there, ``places`` all of them.
+    ``said`` has the rows of ``phrases``, by number, that end in a state, with their sizes.
     """
 
-    def __init__(self, rows: list[list[int]]):
+    def __init__(self, rows: list[list[int]], phrases: range = range(0)):
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.ends: list[dict[int, int]] = [{}]
+        self.places: list[dict[int, set[int]]] = []
         last = 0
         for template, row in enumerate(rows):
             for place, token in enumerate(row):
@@ -120,6 +126,29 @@ class Automaton:
             above = self.ends[self.link[state]]
             for template, place in self.ends[state].items():
                 above[template] = min(place, above.get(template, place))
+        self._gather(rows, phrases)
+
+    def _gather(self, rows: list[list[int]], phrases: range) -> None:
+        """All places of every state, from those whose runs are longer, and the phrases, from those shorter."""
+        order = sorted(range(1, len(self.step)), key=self.length.__getitem__)
+        self.places = [{} for _ in self.step]
+        for row, tokens in enumerate(rows):
+            state = 0
+            for place, token in enumerate(tokens):  # the state of a whole beginning is of its own length
+                state = self.step[state][token]
+                self.places[state].setdefault(row, set()).add(place)
+        for state in reversed(order):
+            for row, own in self.places[state].items():
+                self.places[self.link[state]].setdefault(row, set()).update(own)
+        self.said: list[list[tuple[int, int]]] = [[] for _ in self.step]
+        for row in phrases:
+            state = 0
+            for token in rows[row]:
+                state = self.step[state][token]
+            if state:
+                self.said[state].append((row, len(rows[row])))
+        for state in order:
+            self.said[state] = self.said[self.link[state]] + self.said[state]
 
     def _state(self, step: dict[int, int], link: int, length: int) -> int:
         self.step.append(step)
@@ -148,8 +177,13 @@ class Automaton:
                 self.link[q] = self.link[new] = copy
         return new
 
-    def matches(self, tokens: list[int], shortest: int) -> Iterator[tuple[int, int, int]]:
-        """``(first word, length, state)`` of the runs that cannot be extended, in order."""
+    def matches(
+        self, tokens: list[int], shortest: int, spoken: list[tuple[int, int]] | None = None
+    ) -> Iterator[tuple[int, int, int]]:
+        """``(first word, length, state)`` of the runs that cannot be extended, in order.
+
+        ``spoken`` collects ``(first word, row)`` of the phrases on the way.
+        """
         state = size = 0
         for at, token in enumerate(tokens):
             grown = token in self.step[state]
@@ -161,6 +195,8 @@ class Automaton:
             if token in self.step[state]:
                 state = self.step[state][token]
                 size += 1
+            if spoken is not None:
+                spoken += [(at + 1 - n, row) for row, n in self.said[state] if n <= size]
         if size >= shortest:
             yield len(tokens) - size, size, state
 
@@ -174,47 +210,60 @@ class Scanner:
         spoken = [words(text) for text, _ in phrases]
         self.ids = {w: k for k, w in enumerate(dict.fromkeys(w for row in rows + spoken for w in row))}
         self.sizes = [len(row) for row in rows]
-        self.automaton = Automaton([[self.ids[w] for w in row] for row in rows])
-        self.phrases = [([self.ids[w] for w in row], label) for row, (_, label) in zip(spoken, phrases, strict=True)]
-
-    def base(self, ids: np.ndarray) -> list[tuple[int, str]]:
-        found = []
-        for row, label in self.phrases:
-            count = len(ids) - len(row) + 1
-            if count > 0:
-                hit = np.ones(count, dtype=bool)
-                for k, word in enumerate(row):
-                    hit &= ids[k : k + count] == word
-                found += [(int(at), label) for at in np.flatnonzero(hit)]
-        return found
-
-    def spans(self, ids: np.ndarray) -> list[tuple[str, int, int, float]]:
-        """Label, first and last word, and covered share of every chain that covers enough."""
+        every = rows + spoken
+        of_phrases = range(len(rows), len(every))
+        self.automaton = Automaton([[self.ids[w] for w in row] for row in every], of_phrases)
+        self.phrases = dict(zip(of_phrases, (label for _, label in phrases), strict=True))
+        self.shortest = min([MIN_MATCH, *(len(row) for row in spoken if row)])
+
+    def found(self, ids: np.ndarray) -> tuple[list[tuple[int, str]], list[tuple[str, int, int, float]]]:
+        """Places of base phrases, and label, first and last word and covered share of every chain that covers enough."""
         known = np.concatenate([[False], ids >= 0, [False]])
         edges = np.flatnonzero(known[1:] != known[:-1])
-        open_chains: dict[int, list[int]] = {}
+        base: list[tuple[int, str]] = []
+        chains: dict[int, list[list[int]]] = {}  # those that may go on, by template
         done: list[tuple[int, list[int]]] = []
         for first, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if stop - first < MIN_MATCH:
+            if stop - first < self.shortest:
                 continue
-            for at, size, state in self.automaton.matches(ids[first:stop].tolist(), MIN_MATCH):
-                start, end = first + at, first + at + size - 1
-                for template, place in self.automaton.ends[state].items():
-                    # A chain: first word, last word, place in the template, words covered.
-                    chain = open_chains.get(template)
-                    fits = chain and start - chain[1] - 1 <= GAP and 0 < place - chain[2] <= size + GAP
-                    if fits:
-                        chain[3] += min(size, place - chain[2], end - chain[1])
-                        chain[1:3] = [end, place]
-                    else:
-                        if chain:
-                            done.append((template, chain))
-                        open_chains[template] = [start, end, place, size]
-        done += open_chains.items()
+            spoken: list[tuple[int, int]] = []
+            for at, size, state in self.automaton.matches(ids[first:stop].tolist(), MIN_MATCH, spoken):
+                for template, places in self.automaton.places[state].items():
+                    if template not in self.phrases:
+                        self._chain(chains.setdefault(template, []), done, template, first + at, size, sorted(places))
+            base += [(first + at, self.phrases[row]) for at, row in spoken]
+        done += [(template, chain) for template, own in chains.items() for chain in own]
+        return sorted(base), self._covering(done)
+
+    def _chain(
+        self, chains: list[list[int]], done: list[tuple[int, list[int]]], template: int, start: int, size: int, places: list[int]
+    ) -> None:
+        """Go on with the chains that a match fits, at the nearest of its places; it begins chains at its other ones."""
+        end = start + size - 1
+        for chain in [c for c in chains if start - c[1] - 1 > GAP]:
+            done.append((template, chain))
+            chains.remove(chain)
+        taken = set()
+        # A chain: first word, last word, place in the template, words covered.
+        for chain in chains:
+            place = next((p for p in places if 0 < p - chain[2] <= size + GAP), None)
+            if place is not None:
+                chain[3] += min(size, place - chain[2], end - chain[1])
+                chain[1:3] = [end, place]
+                taken.add(place)
+        chains += [[start, end, place, size] for place in places if place not in taken]
+
+    def _covering(self, done: list[tuple[int, list[int]]]) -> list[tuple[str, int, int, float]]:
+        """Chains that cover enough of their template; of those that overlap the one that covers most."""
         found = []
-        for template, (start, end, _, covered) in done:
+        kept: dict[int, list[tuple[int, int]]] = {}  # of a template, apart from each other and in order
+        for template, (start, end, _, covered) in sorted(done, key=lambda d: (-d[1][3], d[1][0], d[1][1])):
             share = min(1.0, covered / self.sizes[template])
-            if share >= COVER:
+            own = kept.setdefault(template, [])
+            at = bisect_left(own, (start, end))
+            free = (at == 0 or own[at - 1][1] < start) and (at == len(own) or end < own[at][0])
+            if share >= COVER and free:
+                own.insert(at, (start, end))
                 found.append((self.labels[template], start, end, share))
         return sorted(found, key=lambda span: (span[1], span[2], span[0]))
 
@@ -222,7 +271,7 @@ class Scanner:
         row = words(text)
         get = self.ids.get
         ids = np.array([get(w, -1) for w in row], dtype=np.int64)
-        return len(row), self.base(ids), self.spans(ids) if len(row) >= MIN_MATCH else []
+        return len(row), *self.found(ids)
 
 
 @lru_cache(maxsize=4)
