@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from logjury.llm.shared import table, with_position
 
 PART = 256
+SALTS = 64
 SYSTEM = "system"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -52,11 +53,18 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
         F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|im_"), F.lit("< |im_")).alias("text"),
     )
     placed = with_position(said, "conv_id", "turn", "role", "text")
-    dialogues = placed.groupBy(F.col("conv_id").alias("of")).agg(
-        F.min("_position").alias("first"),
-        F.array_sort(F.collect_set(F.when(F.col("role") != SYSTEM, F.col("role")))).alias("speakers"),
+    # What a dialogue is known by goes to its turns by a salt of their places, so one dialogue is many tasks.
+    salted = placed.withColumn("salt", F.pmod("_position", F.lit(SALTS)).cast("int"))
+    role_of_party = F.when(F.col("role") != SYSTEM, F.col("role"))
+    shares = salted.groupBy("conv_id", "salt").agg(F.min("_position").alias("first"), F.collect_set(role_of_party).alias("own"))
+    dialogues = shares.groupBy(F.col("conv_id").alias("of")).agg(
+        F.min("first").alias("first"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("speakers"),
+        F.collect_list("salt").alias("salts"),
     )
-    numbered = placed.join(dialogues, F.col("conv_id").eqNullSafe(F.col("of"))).select(
+    dialogues = dialogues.select("of", "first", "speakers", F.explode("salts").alias("part_of"))
+    same = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("part_of"))
+    numbered = salted.join(dialogues, same).select(
         "conv_id", "speakers", "role", "text", "_position",
         F.floor((F.col("_position") - F.col("first")) / part).alias("part"),
     )

@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from logjury.llm import language, pages, vectors
+from logjury.llm import chat, language, pages, vectors
 
 
 @pytest.mark.parametrize("part", ["<a ", "<nav><article>x", "<script ", "<a '>x ", "<svg><p>x", "< b ", "<article><aside>x"])
@@ -78,3 +78,22 @@ def test_language_sample_shuffles_no_text_by_language(spark):
     plan = language.sample(docs, "doc_id", "text", "lang", 5)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
     assert not [line for line in plan.splitlines() if "hashpartitioning(lang" in line and "text" not in line.split("hashpartitioning")[1]]
+
+
+def test_dialogues_do_not_meet_by_their_id_alone(spark):
+    rows = [(1, k, ("ann", "bob", "system")[k % 3], f"t{k}") for k in range(700)] + [(None, 0, "x", "y")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = chat.rotate(turns)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert joins and all("salt" in line or "_part" in line for line in joins)
+    assert sorted((r["conv_id"] or 0, r["perspective"], r["part"], r["n_turns"]) for r in rows) == [
+        (0, "x", 0, 1), (1, "ann", 0, 256), (1, "ann", 1, 256), (1, "ann", 2, 188),
+        (1, "bob", 0, 256), (1, "bob", 1, 256), (1, "bob", 2, 188),
+    ]
