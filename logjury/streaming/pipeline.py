@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logjury.operators.judge import judge, recent, with_ids
-from logjury.operators.normalize import normalize
+from logjury.operators.normalize import counted, normalize
 from logjury.operators.rules import RuleSet
 from logjury.schema import ORDER_KEY
 from logjury.sources.lines import number_lines
@@ -101,12 +101,17 @@ class RecentStore:
         return self.spark.read.parquet(self._folder(batch)).orderBy(*self.KEY)
 
 
+class TooManyMalformed(RuntimeError):
+    """A batch with more malformed lines than are tolerated."""
+
+
 def run_recent(
     lines: DataFrame,
     rule_set: RuleSet | Callable[[], RuleSet],
     store: RecentStore,
     checkpoint: str,
     sink: str | None = None,
+    tolerance: float | None = None,
     **options,
 ) -> StreamingQuery:
     """Judge a line stream in micro-batches and keep the latest decisions in ``store``.
@@ -116,7 +121,8 @@ def run_recent(
     the ``ord`` they have, or get their place in the batch. Decisions are numbered on and on over the
     batches. With ``sink`` all decisions of a batch are written there too, one folder per batch.
     ``rule_set`` may be a function, which is asked at every batch: rules can change while a stream runs, and decisions
-    carry the generation they come from. ``options`` go to ``normalize``.
+    carry the generation they come from. With ``tolerance`` a batch of which a larger share of lines is malformed
+    fails the query before anything of it is kept; a restart tries it again. ``options`` go to ``normalize``.
     """
 
     def on_batch(batch_lines: DataFrame, batch: int) -> None:
@@ -133,8 +139,15 @@ def run_recent(
             placed = batch_lines
         else:
             placed = batch_lines.withColumn("ord", F.monotonically_increasing_id())
-        decisions = judge(normalize(placed, **options), rules)
-        decisions = with_ids(decisions, start=store.next_number(batch))
+        seen = Observation()
+        records = normalize(placed, **options)
+        records = records if tolerance is None else counted(records, seen)
+        decisions = with_ids(judge(records, rules), start=store.next_number(batch))
+        if tolerance is not None:
+            # Numbering has run the batch, twice where it drew a sample: only the share is told.
+            bad, good = seen.get["quarantined"], seen.get["lines"]
+            if bad > tolerance * (bad + good):
+                raise TooManyMalformed(f"batch {batch}: {bad / (bad + good):.0%} of the lines are malformed")
         if sink:
             target = f"{sink.rstrip('/')}/batch={batch}"
             decisions.write.mode("overwrite").parquet(target)

@@ -2,6 +2,7 @@ import os
 from dataclasses import replace
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Observation
 
 from logjury import Action, counted, Handler, Rule, RuleSet, judge, ndjson, normalize, number_lines, read_lines, recent, stream_lines, with_ids, write_ndjson
@@ -179,3 +180,24 @@ def test_state_goes_on_after_a_restart(spark, tmp_path, n):
     assert got.count() == min(n, 58)
     counts = spark.read.parquet(str(tmp_path / "counts")).groupBy("shard").agg({"rows": "max"}).collect()
     assert sum(r[1] for r in counts) == 58
+
+
+def test_malformed_share_stops_the_stream(spark, tmp_path):
+    """The bad file fails its batch; what was kept before stays, and a larger tolerance goes on from there."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for part, lines in enumerate((LINES, [*LINES[:6], '{"cut', "{", '{"x":'], LINES)):
+        file = folder / f"{part}.log"
+        file.write_text("\n".join(lines) + "\n")
+        os.utime(file, (1_000_000 + part, 1_000_000 + part))
+    store = RecentStore(spark, str(tmp_path / "recent"), 100)
+
+    def run(tolerance):
+        lines = stream_lines(spark, str(folder), max_files_per_trigger=1)
+        return run_recent(lines, RULES, store, str(tmp_path / "state"), tolerance=tolerance)
+
+    with pytest.raises(StreamingQueryException, match="33% of the lines are malformed"):
+        run(0.1).awaitTermination()
+    assert store.read(0).count() == 10
+    run(0.5).awaitTermination()
+    assert [r["seq"] for r in store.read(2).collect()] == list(range(1, 24))
