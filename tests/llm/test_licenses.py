@@ -77,9 +77,10 @@ def test_buckets_follow_the_corpus(spark):
     assert [rules.buckets_for(n) for n in (0, 1, 10_000, 51_000, 256_000, 15_000_000)] == [
         1 << 10, 1 << 10, 1 << 13, 1 << 15, 1 << 16, 1 << 19
     ]
+    assert [rules.trusted_for(n) for n in (0, 10_000, 256_000)] == [4096, 4096, 20_239]
     docs = spark.createDataFrame([(k, f"word{k % 3} and {k}", "x") for k in range(30)], "doc_id long, text string, _good string")
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)] + [(1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     docs = docs.drop("_good")
-    one = rules.ratios_of_labelled(docs, labels, "text", 64).first()[0]
+    one = rules.ratios_of_labelled(docs, labels, "text", 64, 100).first()[0]
     two = rules.ratios(docs, rules.trusted_documents(docs, labels), buckets=64).first()[0]
     assert np.allclose(one, two)
