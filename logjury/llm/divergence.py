@@ -1,9 +1,9 @@
 """Operator 13: how far the sources of a language differ in their words, by run-length columns.
 
 Every language keeps the terms that occur in at least ``SPREAD`` of its documents. Every source of the
-language is a column of counts over these terms. The terms are put in the order of their counts over all
-sources, so that equal counts stand together, and cut into blocks; within a block every column is
-encoded as runs of equal counts. Two sources are compared by intersecting the bounds of their runs: within
+language is a column of counts over these terms. The terms are ordered by a hash of their counts over all
+sources, so that terms of equal counts stand together, and cut into blocks; within a block they are put in the order of
+the counts themselves, and every column is encoded as runs of equal counts. Two sources are compared by intersecting the bounds of their runs: within
 a piece both counts are constant, so the difference is taken once and multiplied by the length of
 the piece. Sums over pieces and blocks are exact whole numbers.
 
@@ -179,8 +179,8 @@ def divergence(
     """``(lang, source, part, item, value, rank)``: distances of sources and the terms that set them apart."""
     kept = stored(term_counts(docs, text, lang, source))
     known = stored(source_totals(docs, kept, lang, source))
-    ordered = with_position(kept, "lang", "counts", "term")
-    blocks = stored(ordered.withColumn("block", F.floor(F.col("_position") / block)).drop("_position"))
+    ordered = with_position(kept.withColumn("alike", F.xxhash64("counts")), "lang", "alike", "term")
+    blocks = stored(ordered.withColumn("block", F.floor(F.col("_position") / block)).drop("_position", "alike"))
     headers = blocks.select("lang", "block").distinct().join(known, "lang").toDF("of", "at", "terms", "sources")
     ship(docs.sparkSession)
     units = blocks.groupBy("lang", "block").cogroup(headers.groupBy("of", "at"))
