@@ -25,6 +25,7 @@ from logjury.plans.base import (
 from logjury.sources.lines import clean_lines, number_lines, read_lines
 from logjury.sources.ndjson import ndjson
 from logjury.sources.registry import Descriptor, Provider
+from logjury.sources.sink import NdjsonSink
 
 QUERIES = {}
 ORACLES = {}
@@ -128,6 +129,22 @@ def a5(spark, sf_dir):
     return parse(events(spark, sf_dir), line, keep=["event_id"]).select("event_id", ndjson().alias("line"))
 
 
+@query(
+    "a5_committed_batches",
+    oracle("SELECT event_id % 3 AS batch, src AS source, '{\"schema\":\"logjury.log.v1\",\"source\":\"' || src || '\",\"message\":\"' || event_id || '\"}' AS value FROM e"),
+)
+def a5_committed(spark, sf_dir):
+    """Three batches in a committed sink: one is written twice, one has an attempt that was never committed."""
+    sink = NdjsonSink(spark, scratch(spark))
+    table = events(spark, sf_dir)
+    parsed = parse(table, to_line(service="svc", message=c("event_id").cast("string")), keep=["event_id"])
+    records = parsed.withColumns({"service": F.lit(None).cast("string")})
+    sink.prepare(records.where(c("event_id") % 3 == 1))
+    for batch in (0, 1, 2, 1):
+        sink.write(records.where(c("event_id") % 3 == batch), batch)
+    return sink.read()
+
+
 @query(
     "a6_count",
     "SELECT count(DISTINCT event_id) AS lines, count(*) AS records FROM events, generate_series(1, 3) g(i) WHERE i <= event_id % 3 + 1",

@@ -1,11 +1,14 @@
+import json
 import os
+from collections import Counter
 from dataclasses import replace
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
-from logjury import Action, counted, Handler, Rule, RuleSet, judge, ndjson, normalize, number_lines, read_lines, recent, stream_lines, with_ids, write_ndjson
+from logjury import Action, NdjsonSink, run_to_sink, counted, Handler, Rule, RuleSet, judge, ndjson, normalize, number_lines, read_lines, recent, stream_lines, with_ids, write_ndjson
 from logjury.schema import ORDER_KEY
 from logjury.streaming import RecentStore, keep_recent, kept_recent, run_recent, run_to_table
 
@@ -201,3 +204,37 @@ def test_malformed_share_stops_the_stream(spark, tmp_path):
     assert store.read(0).count() == 10
     run(0.5).awaitTermination()
     assert [r["seq"] for r in store.read(2).collect()] == list(range(1, 24))
+
+
+def test_batches_are_committed_once(spark, tmp_path):
+    """A batch written twice is there once, one that failed is not there, a restarted stream adds nothing again."""
+    lines = [(k, f'{{"service":"{"authelia" if k % 2 else "shop"}","msg":"m{k}"}}') for k in range(12)] + [(99, "{")]
+    frame = spark.createDataFrame(lines, "ord long, value string")
+    sink = NdjsonSink(spark, str(tmp_path / "sink"))
+    assert sink.read().count() == 0
+    records = normalize(frame)
+    failed = sink.prepare(records)
+    assert sink.read().count() == 0
+    assert sink.write(records.where("ord < 6"), 0) and not sink.write(records, 0)
+    assert sink.commit(1, failed) and not sink.commit(1, failed)
+    rows = sink.read().collect()
+    assert Counter(r["batch"] for r in rows) == {0: 6, 1: 12}
+    assert {r["source"] for r in rows} == {"authelia", "docker_logs"}
+    assert sink.read("authelia").count() == 9
+    assert all(json.loads(r["value"])["source"] == r["source"] for r in rows)
+    empty = sink.prepare(records.where("false"))
+    assert sink.commit(2, empty) and sink.read().count() == 18
+
+    def bad(batch_lines):
+        made = normalize(batch_lines)
+        return made.where(F.when(F.col("message") == "m11", F.raise_error(F.lit("torn"))).otherwise(True))
+
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ord long, value string").parquet(str(tmp_path / "in"))
+    own = NdjsonSink(spark, str(tmp_path / "own"))
+    with pytest.raises(StreamingQueryException):
+        run_to_sink(stream, own, str(tmp_path / "state"), bad).awaitTermination()
+    assert own.read().count() == 0
+    for _ in range(2):
+        run_to_sink(stream, own, str(tmp_path / "state"), normalize).awaitTermination()
+    assert own.read().count() == 12
