@@ -15,8 +15,10 @@ line holds. Everything else is refused by name. The text is changed only at plac
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -74,15 +76,34 @@ class ConditionError(ValueError):
     """A condition that must not be used, with the reason."""
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
-    """A node of the parsed tree: what it is, where its text stands, and its children."""
+    """A node of the parsed tree: what it is, its children, and where its text stands.
+
+    Kinds and names come with one call for the whole tree; places are asked for where they are needed.
+    """
 
     kind: str
-    start: int
-    stop: int  # exclusive
     name: str = ""  # of a function or field, in lower case
     children: list[Node] = field(default_factory=list)
+    parent: Node | None = None
+    index: int = 0
+    root: object = None  # the parser's own node, at the root
+
+    @cached_property
+    def tree(self):
+        return self.root if self.parent is None else self.parent.tree.children().apply(self.index)
+
+    @cached_property
+    def start(self) -> int:
+        found = self.tree.origin().startIndex()
+        return found.get() if found.isDefined() else 0
+
+    @cached_property
+    def stop(self) -> int:
+        """The place behind the last sign."""
+        found = self.tree.origin().stopIndex()
+        return found.get() + 1 if found.isDefined() else 0
 
     def walk(self) -> Iterator[Node]:
         """All nodes, children before parents."""
@@ -100,18 +121,15 @@ def parse(spark: SparkSession, text: str) -> Node:
         tree = spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
     except PySparkException as error:
         raise ConditionError(f"cannot be analysed: {str(error).strip().splitlines()[0]}") from error
-    return _node(tree)
-
-
-def _node(tree) -> Node:
-    kind, origin, below = tree.getClass().getSimpleName(), tree.origin(), tree.children()
-    start, stop = origin.startIndex(), origin.stopIndex()
-    made = Node(
-        kind, start.get() if start.isDefined() else 0, stop.get() + 1 if stop.isDefined() else 0,
-        children=[_node(below.apply(k)) for k in range(below.length())],
-    )
-    if kind in ("UnresolvedFunction", "UnresolvedAttribute"):
-        made.name = tree.nameParts().mkString(".").lower()
+    return _node(iter(json.loads(tree.toJSON())), None, 0, tree)
+
+
+def _node(listed: Iterator[dict], parent: Node | None, index: int, root: object = None) -> Node:
+    """The next node of a list in which every node stands before its children."""
+    facts = next(listed)
+    name = ".".join(str(facts.get("nameParts", "")).strip("[]").split(", ")).lower()
+    made = Node(facts["class"].rsplit(".", 1)[-1], name, parent=parent, index=index, root=root)
+    made.children = [_node(listed, made, k) for k in range(facts["num-children"])]
     return made
 
 
