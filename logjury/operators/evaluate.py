@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +22,11 @@ from pyspark.sql import types as T
 from logjury.functions.predicates import java_pattern_problem, pattern_set_functions, register_functions
 from logjury.operators.roots import ROOTS, with_roots
 from logjury.operators.conditions import ConditionError, compiled
+from logjury.operators.literals import FIELDS, LENGTHS, matcher, prepared
 from logjury.operators.numbering import number
 from logjury.operators.records import literal_rows
 from logjury.operators.rules import RuleError, RuleSet
-from logjury.schema import RECORD_FIELDS
+from logjury.schema import RECORD_FIELDS, RULE
 from logjury.session import prepare, settled
 
 NOT_MATCHED, MATCHED, UNDECIDED, WRONG_TYPE = 0, 1, 2, 3
@@ -208,10 +211,10 @@ def _rule_literal(rule_set: RuleSet, predicates: list[Predicate]) -> Column:
     )
 
 
-# Grams of a literal that key a rule; shorter literals are grams themselves.
-GRAM = 4
-# Bits of the filter over the keys of a rule table: 32 a rule, within these bounds (at most 128 KB).
-FEWEST_BITS, MOST_BITS = 1 << 10, 1 << 20
+# Rules that stand in one row of the table of rules; tests that tasks are sent at once.
+LIST, TILE = 128, 1 << 20
+# A row of rules is numbered by its test and, in so many bits, by its place among the rows of the test.
+SHIFT = 24
 
 
 def evaluate_table(records: DataFrame, rules: DataFrame) -> DataFrame:
@@ -220,13 +223,15 @@ def evaluate_table(records: DataFrame, rules: DataFrame) -> DataFrame:
     A rule is a conjunction: ``(condition, source_eq, level_eq, service_eq, contains array)``, where
     NULL or an empty array means "any"; ``rule_id``, ``tags`` and ``priority`` may be given.
 
-    Every rule is keyed once: by the gram of its literals that fewest rules hold, else by its most telling
-    equality (service, then source, then level), else by a key that all records have. A record has the keys of its own
-    values and all grams of its message, of the kinds and lengths that rules use; a bit filter of bounded size
-    over the keys of the rules, tested inside the record, leaves about those that rules have before the
-    record is repeated per key. Then records and rules are joined by key and every part of the rule is tested. The
-    sides are joined without a hint: Catalyst broadcasts a rule table whose size is below its threshold, and else
-    splits hot keys at run time. So rows grow with the text and the answers, not with records times rules.
+    Rules that test the same are one test. Tests are sent to the tasks, ``TILE`` at a time, and each record gets the
+    numbers of the tests it passes, in one walk over its message (``literals``). Every test is keyed once: by a gram of
+    up to 16 bytes of its longest literals, the one that fewest tests hold, else by its most telling equality (service,
+    then source, then level), else by nothing, which all records have. Of a table of more than ``TILE`` tests the
+    records are stored and walked once a tile, so the memory of a task does not grow with the table.
+
+    The rules of a test are rows of ``LIST`` rules at most, which are joined by number and without a hint, as the last
+    step: a row of the join is a record, a test it passes and a list, without a text that nobody asks for, and
+    Catalyst broadcasts the lists while they are small. So rows grow with the answers, and not with records times rules.
 
     Quarantined lines are no records. The tests are null-safe, so a record without a level merely
     does not match; no rule of this form can fail, and ``error`` is always NULL.
@@ -241,83 +246,80 @@ def evaluate_table(records: DataFrame, rules: DataFrame) -> DataFrame:
         "tags": F.array().cast("array<string>"),
         "priority": F.lit(0).cast("bigint"),
     }
-    rules = rules.withColumns({name: c for name, c in given.items() if name not in rules.columns})
-    ranked = number(rules, ["priority", "condition"], "rule_rank", start=0)
-    keyed_rules = settled(_keyed(ranked.withColumn("rule_rank", F.col("rule_rank").cast("int"))))
-    keys = _keys_of_records(keyed_rules)
-    record = records.withColumn("rule_key", F.explode(keys)).alias("record")
-    rule = keyed_rules.alias("rule")
-
-    def agrees(name: str) -> Column:
-        return F.col(f"rule.{name}_eq").isNull() | F.col(f"record.{name}").eqNullSafe(F.col(f"rule.{name}_eq"))
-
-    texts = F.coalesce(
-        F.forall("rule.contains", lambda part: F.contains(F.col("record.message"), part)), F.lit(True)
-    )
-    answer = agrees("source") & agrees("level") & agrees("service") & texts
-    joined = record.join(rule, (F.col("record.rule_key") == F.col("rule.rule_key")) & answer)
-    return joined.select(
-        *[F.col(f"record.{name}") for name in records.columns],
-        *[F.col(f"rule.{name}") for name in ("rule_rank", "condition", "rule_id", "tags", "priority")],
+    rules = settled(rules.withColumns({name: c for name, c in given.items() if name not in rules.columns}))
+    tests, lists = _tests_and_lists(number(rules, ["priority", "condition"], "rule_rank", start=0))
+    passed = F.explode(F.sequence(F.lit(0), F.col("_test").bitwiseAND(F.lit((1 << SHIFT) - 1)) - 1)).alias("_list")
+    found = _tested(records, tests).select(*records.columns, "_test", passed)
+    at = F.shiftleft(F.shiftright("_test", SHIFT), SHIFT).bitwiseOR(F.col("_list").cast("long"))
+    joined = found.withColumn("rule_key", at).alias("record").join(lists.alias("rule"), "rule_key")
+    ruled = joined.select(*[F.col(f"record.{name}") for name in records.columns], F.explode("rule.rules").alias("_rule"))
+    return ruled.select(
+        *records.columns,
+        *[F.col("_rule")[name].alias(name) for name in RULE.names],
         F.lit(True).alias("matched"),
         F.lit(None).cast("string").alias("error"),
     )
 
 
-def _grams(text: Column | str, length: int) -> Column:
-    """All grams of a text, overlapping ones too."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), 1)
-
+def _tests_and_lists(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different tests of rules with the gram that keys them, and the rules of each in lists."""
+    literals = F.filter("contains", lambda part: F.octet_length(part) > 0)
+    parts = F.array_sort(F.array_distinct(F.coalesce(literals, F.array().cast("array<string>"))))
+    rule = F.struct(*[F.col(n).cast("int").alias(n) if n == "rule_rank" else F.col(n) for n in RULE.names])
+    same = ["source_eq", "level_eq", "service_eq", "parts"]
+    placed = ranked.select(rule.alias("rule"), *same[:-1], parts.alias("parts"))
+    sizes = placed.groupBy(*same).agg(
+        F.min("rule.rule_rank").cast("long").alias("test"), F.ceil(F.count("*") / LIST).cast("long").alias("lists")
+    )
+    tests = settled(sizes)
+    one, other = placed.alias("one"), tests.alias("other")
+    on = reduce(Column.__and__, [F.col(f"one.{name}").eqNullSafe(F.col(f"other.{name}")) for name in same])
+    place = F.pmod(F.xxhash64("one.rule.rule_rank"), "other.lists")
+    listed = one.join(other, on).select(F.shiftleft("other.test", SHIFT).bitwiseOR(place).alias("rule_key"), "one.rule")
+    lists = settled(listed.groupBy("rule_key").agg(F.collect_list("rule").alias("rules")))
+    return settled(_keyed(tests)), lists
+
+
+def _keyed(tests: DataFrame) -> DataFrame:
+    """Tests with ``gram``, which keys them, and ``rest``, the literals that it does not hold as a whole."""
+
+    def length(part: Column) -> Column:
+        size = F.octet_length(part)
+        return reduce(lambda found, n: F.when(size >= n, F.lit(n)).otherwise(found), LENGTHS, F.lit(None).cast("int"))
+
+    longest = tests.withColumn("length", F.array_max(F.transform("parts", length)))
+    parts = longest.select("test", "length", F.explode(F.filter("parts", lambda part: length(part) == F.col("length"))).alias("part"))
+    whole, bytes_ = F.octet_length("part") == F.col("length"), F.col("part").cast("binary")
+    starts = F.sequence(F.lit(1), F.octet_length("part") - F.col("length") + 1)
+    cut = F.array_distinct(F.transform(starts, lambda at: F.substring(bytes_, at, F.col("length"))))
+    grams = parts.select("test", F.when(whole, F.col("part")).alias("whole"), F.explode(F.when(whole, F.array(bytes_)).otherwise(cut)).alias("gram"))
+    spread = grams.groupBy("gram").agg(F.count("*").alias("tests"))
+    # The gram that fewest tests hold; equal ones by hash, so that a test's choice is fixed.
+    order = F.struct((-F.col("tests")).alias("few"), F.xxhash64("gram").alias("h"), F.col("whole").isNotNull().alias("w"))
+    chosen = grams.join(spread, "gram").groupBy("test").agg(F.max_by(F.struct("gram", "whole"), order).alias("key"))
+    rest = F.filter("parts", lambda part: ~part.eqNullSafe(F.col("key.whole")))
+    return tests.join(chosen, "test", "left").select(
+        "test", "lists", "key.gram", *[f"{name}_eq" for name in FIELDS], F.transform(rest, lambda part: part.cast("binary")).alias("rest")
+    )
 
-def _keyed(rules: DataFrame) -> DataFrame:
-    """Rules with ``rule_key`` and its ``kind``: the length of a gram, or 0.
 
-    Keys of equalities and the key of all records are longer than any gram, so they never meet one.
-    """
-    size = F.char_length("part")
-    parts = rules.select("rule_rank", F.explode("contains").alias("part")).where(size > 0)
-    grams = parts.select(
-        "rule_rank",
-        F.explode(F.when(size <= GRAM, F.array("part")).otherwise(F.array_distinct(_grams("part", GRAM)))).alias("gram"),
-    ).distinct()
-    spread = grams.groupBy("gram").agg(F.count("*").alias("rules"))
-    # The longest gram that fewest rules hold; equal ones by hash, so that a rule's choice is fixed.
-    order = F.struct(F.char_length("gram").alias("n"), (-F.col("rules")).alias("few"), F.xxhash64("gram").alias("h"))
-    chosen = grams.join(spread, "gram").groupBy("rule_rank").agg(F.max_by("gram", order).alias("gram"))
-    joined = rules.join(chosen, "rule_rank", "left")
-    fields = [F.concat(F.lit(f"{kind}="), F.col(f"{kind}_eq")) for kind in ("service", "source", "level")]
-    return joined.select(
-        *rules.columns,
-        F.coalesce("gram", *fields, F.lit("any record")).alias("rule_key"),
-        F.coalesce(F.char_length("gram"), F.lit(0)).alias("kind"),
-    )
+def _tested(records: DataFrame, tests: DataFrame) -> DataFrame:
+    """A row for every record and test it passes, ``_test``: the number of the test and that of its lists."""
+    spark = records.sparkSession
+    facts = tests.agg(F.count("*").alias("tests"), F.count("gram").alias("grams")).first()
+    tiles = max(1, -(-facts["tests"] // TILE))
+    if tiles > 1 and not records.isStreaming:
+        records = settled(records)
+    match = matcher(SHIFT, facts["grams"] > 0)
 
+    def walked(tile: DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast(prepared(tile.toArrow()))
 
-def _keys_of_records(rules: DataFrame) -> Column:
-    """The keys of a record that some rule may have."""
-    facts = rules.agg(F.count("*").alias("rules"), F.collect_set("kind").alias("kinds")).first()
-    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (32 * facts["rules"]).bit_length()))
+        @F.arrow_udf("array<bigint>")
+        def passed(message: pa.Array, service: pa.Array, source: pa.Array, level: pa.Array) -> pa.Array:
+            return match(shared.value, message, {"service": service, "source": source, "level": level})
 
-    def place(key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(bits))
+        return records.withColumn("_test", F.explode(passed("message", *FIELDS)))
 
-    one = F.lit(1).cast("long")
-    words = (
-        rules.select(place(F.col("rule_key")).alias("at"))
-        .groupBy(F.shiftright("at", 6).alias("word"))
-        .agg(F.bit_or(F.call_function("shiftleft", one, F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-        .collect()  # at most MOST_BITS / 64 rows
-    )
-    held = {row["word"]: row["bits"] for row in words}
-    listed = ",".join(str(held.get(k, 0)) for k in range(bits // 64))
-    table = F.from_json(F.lit(f"[{listed}]"), "array<bigint>")
-
-    def known(key: Column) -> Column:
-        at = place(key)
-        word = F.get(table, F.shiftright(at, 6).cast("int"))
-        return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(one) == 1
-
-    fields = [F.concat(F.lit(f"{kind}="), F.col(kind)) for kind in ("service", "source", "level")]
-    own = F.array_compact(F.array(*fields, F.lit("any record")))
-    grams = [_grams("message", kind) for kind in sorted(facts["kinds"]) if kind]
-    return F.array_distinct(F.filter(F.concat(own, *grams) if grams else own, known))
+    parts = [walked(tests.where(F.pmod(F.xxhash64("test"), F.lit(tiles)) == k)) for k in range(tiles)]
+    return reduce(DataFrame.unionAll, parts)

@@ -483,3 +483,53 @@ def test_rules_of_literals_meet_only_what_holds_their_gram(spark):
     assert {(r["condition"], r["ord"]) for r in rows} == want and len(rows) == len(want)
     assert all(r["rule_rank"] == int(r["condition"][1:]) for r in rows)
     assert evaluate_table(records, rules.where("false")).count() == 0
+
+
+def test_rule_tables_in_tiles_and_lists(spark, monkeypatch):
+    """Many rules of one test, more tests than a tile, long literals, equalities, absent fields, empty and long texts."""
+    monkeypatch.setattr("logjury.operators.literals.WINDOW", 64)
+    monkeypatch.setitem(evaluate_table.__globals__, "TILE", 20)
+    monkeypatch.setitem(evaluate_table.__globals__, "LIST", 3)
+    rng = random.Random(8)
+    words = ["ab", "é", "the long and winding literal of a rule", "sixteen bytes!!!", "sixteen bytes!!?", "\U0001f600x", "a b c d e f g h", " "]
+    pick = lambda values: rng.choice([None, None, *values])
+    names = {"source": ["s1", "s2"], "level": ["error", "info"], "service": ["shop", ""]}
+    fields = list(names)
+    made = lambda k: (k, *[pick(names[f]) for f in fields], "".join(rng.choices(words, k=rng.choice([0, 1, 3, 8]))))
+    records = [made(k) for k in range(150)] + [(150, "s1", "error", "shop", None)]
+    literals = [*words, "winding literal of a r", "bytes!!!ab", "absent", "", None, "e long and winding literal of a ruleé"]
+    rules = [(f"r{k:03}", *[pick(names[f]) if k % 3 else None for f in fields], rng.choices(literals, k=rng.choice([0, 1, 1, 2, 4]))) for k in range(120)]
+    rules += [(f"same{k}", None, None, "shop", ["é", "ab"][:: 1 - 2 * (k % 2)]) for k in range(11)] + [("none", None, None, None, None)]
+    frame = spark.createDataFrame(records, "ord long, source string, level string, service string, message string").repartition(3)
+    table = spark.createDataFrame(rules, "condition string, source_eq string, level_eq string, service_eq string, contains array<string>")
+    rows = evaluate_table(frame, table).collect()
+
+    def passes(record, rule):
+        equal = all(want is None or want == own for want, own in zip(rule[1:4], record[1:4]))
+        return equal and record[4] is not None and all(part in record[4] for part in rule[4] or () if part)
+
+    want = {(rule[0], record[0]) for rule in rules for record in records if passes(record, rule)}
+    assert {(r["condition"], r["ord"]) for r in rows} == want and len(rows) == len(want)
+    order = {name: rank for rank, name in enumerate(sorted(rule[0] for rule in rules))}
+    texts = {record[0]: record[4] for record in records}
+    assert all(r["rule_rank"] == order[r["condition"]] and r["message"] == texts[r["ord"]] for r in rows)
+
+
+def test_rule_tables_join_without_the_text(spark):
+    """What meets the rules is the number of a test, with the columns that are asked for; rules of one test are one row."""
+    rows = spark.range(40).selectExpr("id AS ord", "'s' AS source", "'info' AS level", "'w' AS service", "concat('denied ', id) AS message")
+    none = F.lit(None).cast("string")
+    rules = spark.range(60).select(
+        F.concat(F.lit("r"), "id").alias("condition"), none.alias("source_eq"), none.alias("level_eq"), none.alias("service_eq"), F.array(F.lit("denied")).alias("contains")
+    )
+    found = evaluate_table(rows, rules).select("ord", "condition")
+    plans, joins = [found._jdf.queryExecution().optimizedPlan()], []
+    while plans:
+        plan = plans.pop()
+        below = plan.children()
+        plans += [below.apply(k) for k in range(below.size())]
+        if plan.nodeName() == "Join":
+            sides = [below.apply(k).output() for k in range(2)]
+            joins.append([{side.apply(k).name() for k in range(side.size())} for side in sides])
+    assert joins and all("message" not in side for sides in joins for side in sides)
+    assert found.count() == 40 * 60
